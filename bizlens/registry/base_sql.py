@@ -58,6 +58,12 @@ CTES: dict[str, str] = {
                CAST(CAST(l_quantity AS DECIMAL(18,2)) * CAST(p_retailprice AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS cost, l_returnflag <> 'N' AS is_core
         FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(18,2)) - CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS amt FROM lineitem) l
         JOIN part ON p_partkey = l_partkey)""",
+    "amounts": """amounts AS (
+        SELECT l_orderkey AS invoice_no, CAST(l_shipdate AS DATE) AS invoice_date, amt AS amount_expected,
+               CASE WHEN l_linestatus = 'F' THEN amt ELSE CAST(0 AS DECIMAL(18,4)) END AS amount_confirmed
+        FROM (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (CAST(1 AS DECIMAL(18,2)) - CAST(l_discount AS DECIMAL(18,2))) AS DECIMAL(18,4)) AS amt FROM lineitem) l)""",
+    "customer_amounts": """customer_amounts AS (
+        SELECT amounts.*, o_custkey AS customer_key, CAST(o_orderdate AS DATE) AS recognition_date FROM amounts JOIN orders ON o_orderkey = invoice_no)""",
     "customer_lines": """customer_lines AS (
         SELECT lines.*, o_custkey AS customer_key, CAST(o_orderdate AS DATE) AS recognition_date FROM lines JOIN orders ON o_orderkey = invoice_no)""",
     "params": """params AS (
@@ -67,10 +73,10 @@ CTES: dict[str, str] = {
         SELECT l_partkey AS product_key, CAST(year(l_shipdate) AS VARCHAR) AS sales_year, l_returnflag AS channel,
                CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS qty FROM lineitem GROUP BY ALL)""",
     "stock": """stock AS (
-        SELECT l_partkey AS product_key, CAST(l_shipdate AS DATE) AS as_of_date, CAST(CAST(l_quantity AS DECIMAL(18,2)) * 10 AS DECIMAL(18,2)) AS qty,
+        SELECT l_partkey AS product_key, CAST(l_shipdate AS DATE) AS as_of_date, CAST(l_quantity AS DECIMAL(18,2)) AS qty,
                l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_linestatus = 'F')""",
     "incoming": """incoming AS (
-        SELECT l_partkey AS product_key, CAST(l_shipdate AS DATE) AS arrival_date, CAST(l_quantity AS DECIMAL(18,2)) AS qty FROM lineitem WHERE l_linestatus = 'O')""",
+        SELECT l_partkey AS product_key, CAST(l_shipdate AS DATE) AS arrival_date, CAST(l_quantity AS DECIMAL(18,2)) AS qty FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate >= TIMESTAMP '2001-01-01')""",
     "mentions": """mentions AS (
         SELECT event_id AS mention_id, user_id AS entity, event_type AS source,
                CASE WHEN event_type IN ('view', 'click') THEN 'market' WHEN event_type IN ('signup', 'purchase') THEN 'deal' ELSE 'risk' END AS bucket,
@@ -86,6 +92,7 @@ NEEDS = {
     "deals_wide": ["deals", "deal_lines"],
     "meetings": ["deals", "deal_lines"],
     "customer_lines": ["lines"],
+    "customer_amounts": ["amounts"],
 }
 
 

@@ -66,7 +66,5 @@ def rename_by_header(df: DataFrame, aliases: Mapping[str, Sequence[str]]) -> Dat
 def inline_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """A small constant table as a plan literal: its size is known, so joins may broadcast it."""
     fields = T.StructType.fromDDL(ddl).fields
-    marks = ", ".join("(" + ", ".join("?" for _ in fields) + ")" for _ in rows)
-    flat = [v for row in rows for v in row]
-    df = spark.sql(f"SELECT * FROM VALUES {marks}", args=flat)
-    return df.select(*[F.col(c).cast(f.dataType).alias(f.name) for c, f in zip(df.columns, fields)])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

@@ -33,7 +33,7 @@ LOST_REASONS = [
 EMPLOYEE_BANDS = ["1-5", "6-20", "21-50", "51-200", "201-500", "500+"]
 BAND_CUTS = [8000, 6000, 4000, 2000, 0]
 AS_OF = dt.date(2001, 11, 5)
-RECENT_DAYS = 30
+ARRIVALS_FROM = dt.datetime(2001, 1, 1)
 
 
 class Warehouse:
@@ -152,26 +152,36 @@ class Warehouse:
             F.col("value").cast(MONEY).alias("minutes"), (F.col("event_type") == "purchase").cast("int").alias("led_to_deal"))
 
     # -- invoices -------------------------------------------------------------------------------
-    def lines(self) -> DataFrame:
-        """Invoice lines with part attributes; order columns only where asked for."""
+    def amounts(self) -> DataFrame:
+        """Invoice lines with their amounts only: no join."""
         amount = (F.col("l_extendedprice").cast(MONEY) * (F.lit(1).cast(MONEY) - F.col("l_discount").cast(MONEY))).cast("decimal(18,4)")
-        p = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", F.col("p_retailprice").cast(MONEY).alias("unit_cost"))
-        return self.table("lineitem").join(p, "l_partkey").select(
+        return self.table("lineitem").select(
             F.col("l_orderkey").alias("invoice_no"), F.col("l_linenumber").alias("line_id"),
-            F.to_date("l_shipdate").alias("invoice_date"),
-            F.col("p_brand").alias("product_key"), F.col("p_type").alias("bucket_key"),
+            F.to_date("l_shipdate").alias("invoice_date"), "l_partkey", F.col("l_quantity").cast(MONEY).alias("quantity"),
             amount.alias("amount_expected"),
             F.when(F.col("l_linestatus") == "F", amount).otherwise(F.lit(0).cast("decimal(18,4)")).alias("amount_confirmed"),
-            (F.col("l_quantity").cast(MONEY) * F.col("unit_cost")).cast("decimal(18,4)").alias("cost"),
-            (F.col("l_returnflag") != "N").alias("is_core"),
-        )
+            (F.col("l_returnflag") != "N").alias("is_core"))
 
-    def customer_lines(self) -> DataFrame:
-        """Invoice lines with customer and recognition date (adds the order join)."""
+    def lines(self) -> DataFrame:
+        """Invoice lines with product, bucket and cost."""
+        p = self.table("part").select(
+            F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("product_key"), F.col("p_type").alias("bucket_key"),
+            F.col("p_retailprice").cast(MONEY).alias("unit_cost"))
+        cost = (F.col("quantity") * F.col("unit_cost")).cast("decimal(18,4)")
+        return self.amounts().join(p, "l_partkey").withColumn("cost", cost).drop("l_partkey", "quantity", "unit_cost")
+
+    def _with_customer(self, lines: DataFrame) -> DataFrame:
         o = self.table("orders").select(
             F.col("o_orderkey").alias("invoice_no"), F.col("o_custkey").alias("customer_key"),
             F.to_date("o_orderdate").alias("recognition_date"))
-        return self.lines().join(o, "invoice_no")
+        return lines.join(o, "invoice_no")
+
+    def customer_lines(self) -> DataFrame:
+        """Invoice lines with customer and recognition date (adds the order join)."""
+        return self._with_customer(self.lines())
+
+    def customer_amounts(self) -> DataFrame:
+        return self._with_customer(self.amounts())
 
     # -- planning -------------------------------------------------------------------------------
     def params(self) -> DataFrame:
@@ -194,11 +204,13 @@ class Warehouse:
         """Dated stock counts: finished lines, with what orders rows of one day."""
         return self.table("lineitem").filter("l_linestatus = 'F'").select(
             F.col("l_partkey").alias("product_key"), F.to_date("l_shipdate").alias("as_of_date"),
-            (F.col("l_quantity").cast(MONEY) * 10).cast(MONEY).alias("qty"),
+            F.col("l_quantity").cast(MONEY).alias("qty"),
             "l_orderkey", "l_linenumber", "l_extendedprice")
 
     def incoming(self) -> DataFrame:
-        return self.table("lineitem").filter("l_linestatus = 'O'").select(
+        """Open lines that arrive from the cut-off on."""
+        open_lines = self.table("lineitem").filter((F.col("l_linestatus") == "O") & (F.col("l_shipdate") >= F.lit(ARRIVALS_FROM)))
+        return open_lines.select(
             F.col("l_partkey").alias("product_key"), F.to_date("l_shipdate").alias("arrival_date"),
             F.col("l_quantity").cast(MONEY).alias("qty"))
 
