@@ -10,20 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.functions.textual import tokens
 from bizlens.session import materialise
 
 
-def drop_one_token(text: Column) -> Column:
-    """Signatures of a title: its sorted word set, and that set without each word in turn.
+def drop_one_token(words: Column) -> Column:
+    """Signatures of a sorted word set: the whole set, and the set without each word in turn.
 
     Two titles share one exactly when their word sets are equal or differ by one added,
-    removed or exchanged word.
+    removed or exchanged word. Sets of one or two words only match exactly.
     """
-    words = F.array_sort(F.array_distinct(tokens(text)))
     reduced = F.transform(words, lambda w: F.concat_ws(" ", F.array_remove(words, w)))
-    return F.filter(F.concat(F.array(F.concat_ws(" ", words)), F.when(F.size(words) > 2, reduced).otherwise(F.array())),
-                    lambda s: F.length(s) > 0)
+    whole = F.array(F.concat_ws(" ", words))
+    return F.concat(whole, F.when(F.size(words) > 2, reduced).otherwise(F.array()))
 
 
 def drop_one_char(name: Column, min_length: int = 5) -> Column:

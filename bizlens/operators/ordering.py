@@ -39,31 +39,32 @@ def shares(df: DataFrame, columns: Mapping[str, str], digits: int = 1) -> DataFr
     return df.withColumns({o: rate(F.col(v), totals[o], digits=digits) for o, v in columns.items()})
 
 
-def running_total(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Mapping[str, str],
+def running_total(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Mapping[str, str], by: Sequence[str] = (),
                   small: int = SMALL_FRAME, buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """Exact running sums over one global order.
+    """Exact running sums over one global order (one order per ``by`` group when given).
 
     ``order`` lists (column, descending); the first column is numeric and not null, and all
-    together identify a row. ``sums`` maps output to summed column. The frame is computed once into
+    together identify a row (of its group). ``sums`` maps output to summed column. The frame is computed once into
     checkpoint storage and counted: up to ``small`` rows one window is enough; beyond it
     rows are cut into value ranges, ranges get their offset from a table of at most
-    ``buckets + 1`` rows, and only the window inside a range is left.
+    ``buckets + 1`` rows per group, and only the window inside a range is left.
     """
     df = materialise(df)
     sort = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
     if df.count() <= small:
-        w = Window.orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+        w = (Window.partitionBy(*by) if by else Window).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({o: F.sum(v).over(w) for o, v in sums.items()})
 
     lead, desc = order[0]
     cuts = sorted(set(df.approxQuantile(lead, [i / buckets for i in range(1, buckets)], 0.1 / buckets)))
     rng = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(lead) > c))
     df = df.withColumn("_range", rng)
-    totals = df.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
-    before = Window.orderBy(F.col("_range").desc() if desc else F.col("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums])
-    inside = Window.partitionBy("_range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({f"_i_{o}": F.sum(v).over(inside) for o, v in sums.items()}).join(offsets, "_range")
+    totals = df.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
+    ranges = F.col("_range").desc() if desc else F.col("_range")
+    before = (Window.partitionBy(*by) if by else Window).orderBy(ranges).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums])
+    inside = Window.partitionBy(*by, "_range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({f"_i_{o}": F.sum(v).over(inside) for o, v in sums.items()}).join(offsets, [*by, "_range"])
     out = out.withColumns({o: F.col(f"_i_{o}") + F.col(f"_b_{o}") for o in sums})
     return out.select(*[c for c in df.columns if c != "_range"], *sums)
 

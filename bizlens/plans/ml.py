@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,7 +23,10 @@ BASE_YEAR = 2025
 
 def featurise(df: DataFrame, ids: Sequence[str] = ("cvr", "company_name"), flags: Sequence[str] = ("has_subsidiaries",),
               label: str = "uses_target_software", founded: str | None = "founded_year") -> DataFrame:
-    """Row-wise part of the features: drop names, booleans to 0/1, company age."""
+    """Row-wise part of the features: names dropped, booleans to 0/1, company age.
+
+    The first of ``ids`` stays as the row key for splitting and scoring; it is no feature.
+    """
     out = df.withColumns({c: F.col(c).cast("int") for c in flags}).withColumn("label", F.col(label).cast("double"))
     if founded:
         out = out.withColumn("company_age", F.lit(BASE_YEAR) - F.col(founded))
@@ -85,12 +88,15 @@ def _curve(df: DataFrame, score_col: str, label: str, small: int) -> DataFrame:
     return running_total(g, [(score_col, True)], {"tp": "pos", "fp": "neg"}, small=small)
 
 
+def _outranked() -> Column:
+    """Positives above each negative's score, plus half of those that tie with it."""
+    return F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos").cast("double") / 2.0)
+
+
 def auc(df: DataFrame, score_col: str = "score", label: str = "label", small: int = ordering.SMALL_FRAME) -> DataFrame:
     """Area under the ROC curve from per-score counts: exact, ties count half."""
     c = _curve(df, score_col, label, small)
-    # Positives above each negative's score, plus half of those that tie with it.
-    wins = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos").cast("double") / 2.0)
-    g = c.agg(F.sum(wins).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    g = c.agg(F.sum(_outranked()).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return g.select("p", "n", F.round(F.try_divide(F.col("w"), F.col("p").cast("double") * F.col("n").cast("double")), 8).alias("auc")).withColumnsRenamed(
         {"p": "positives", "n": "negatives"})
 
@@ -153,9 +159,9 @@ def lift_curve(df: DataFrame, bins: int = 10, score_col: str = "score", label: s
     c = _curve(df, score_col, label, small).withColumn("seen", F.col("tp") + F.col("fp"))
     n, pos = c.agg(F.sum(F.col("pos") + F.col("neg"))).scalar(), c.agg(F.sum("pos")).scalar()
     # A score closes every step that its rows cross.
-    steps = c.withColumn("step", F.explode(F.filter(
+    steps = c.withColumn("_all", n).withColumn("step", F.explode(F.filter(
         F.sequence(F.lit(1), F.lit(bins)),
-        lambda i: (F.col("seen") * bins >= i * n) & ((F.col("seen") - F.col("pos") - F.col("neg")) * bins < i * n))))
+        lambda i: (F.col("seen") * bins >= i * F.col("_all")) & ((F.col("seen") - F.col("pos") - F.col("neg")) * bins < i * F.col("_all")))))
     base = ratio(pos, n)
     return steps.select("step", "seen", F.col("tp").alias("positives"), F.round(F.try_divide(ratio("tp", "seen"), base), 6).alias("lift"))
 
@@ -167,13 +173,9 @@ def drift(history: DataFrame, drop: float = 0.02) -> DataFrame:
     return moved.withColumn("alert", F.coalesce(F.col("change") < -F.lit(drop), F.lit(False)))
 
 
-def auc_by(df: DataFrame, by: str, score_col: str = "score", label: str = "label") -> DataFrame:
-    """AUC per slice (for example per week); the running counts stay inside a slice's distinct scores."""
+def auc_by(df: DataFrame, by: str, score_col: str = "score", label: str = "label", small: int = ordering.SMALL_FRAME) -> DataFrame:
+    """AUC per slice, for example per week."""
     g = df.groupBy(by, score_col).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(by).orderBy(F.col(score_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    c = g.withColumn("neg", F.col("_n") - F.col("pos")).withColumn("tp", F.sum("pos").over(w))
-    wins = F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos").cast("double") / 2.0)
-    out = c.groupBy(by).agg(F.sum(wins).alias("w"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
+    c = running_total(g.withColumn("neg", F.col("_n") - F.col("pos")), [(score_col, True)], {"tp": "pos"}, by=[by], small=small)
+    out = c.groupBy(by).agg(F.sum(_outranked()).alias("w"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
     return out.select(by, F.round(F.try_divide(F.col("w"), F.col("p") * F.col("n")), 8).alias("auc"))
-
-

@@ -83,6 +83,10 @@ CTES: dict[str, str] = {
                CASE WHEN event_type = 'error' THEN 'niche' ELSE 'mainstream' END AS tier,
                CASE WHEN event_type = 'error' THEN 'CN' WHEN event_type IN ('signup', 'purchase') THEN 'EU' ELSE 'US' END AS region,
                ts, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,2)) AS value FROM events)""",
+    "flags": """flags AS (
+        SELECT user_id AS entity_id, CASE WHEN count(*) FILTER (WHERE event_type = 'view') >= 15 THEN 1 ELSE 0 END AS has_views, CASE WHEN count(*) FILTER (WHERE event_type = 'click') >= 15 THEN 1 ELSE 0 END AS has_clicks,
+               CASE WHEN count(*) FILTER (WHERE event_type = 'signup') >= 12 THEN 1 ELSE 0 END AS has_signups, CASE WHEN count(*) FILTER (WHERE event_type = 'purchase') >= 15 THEN 1 ELSE 0 END AS has_purchases,
+               CASE WHEN count(*) FILTER (WHERE event_type = 'error') >= 14 THEN 1 ELSE 0 END AS has_errors, CASE WHEN max(value) >= 40 THEN 1 ELSE 0 END AS has_large_value FROM events GROUP BY 1)""",
     "scored": """scored AS (
         SELECT d.doc_id, l.quality AS label, lang, source, n_chars, CAST((n_chars * 37 + d.doc_id * 11) % 1000 AS DOUBLE) / 1000 AS score
         FROM labels l JOIN documents d ON d.doc_id = l.doc_id)""",

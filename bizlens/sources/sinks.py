@@ -40,10 +40,16 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     return latest_per_key(marked, keys, ["_new"]).drop("_new")
 
 
-def ingest_unique(incoming: DataFrame, cols: Sequence[str], store: DataFrame | None = None) -> DataFrame:
-    """Rows whose content hash is new, once each; feeding the same rows again yields none."""
-    hashed = incoming.withColumn("content_hash", content_hash(*cols)).dropDuplicates(["content_hash"])
-    return hashed if store is None else hashed.join(store.select("content_hash"), "content_hash", "left_anti")
+def ingest_unique(incoming: DataFrame, cols: Sequence[str], key: str, store: DataFrame | None = None) -> DataFrame:
+    """Rows whose content hash is new, the lowest ``key`` of each; feeding the same rows again yields none.
+
+    Only (hash, key) pairs are grouped, so copies combine on the map side and no content is shuffled for it.
+    """
+    hashed = incoming.select(key, content_hash(*cols).alias("content_hash"))
+    firsts = hashed.groupBy("content_hash").agg(F.min(key).alias(key))
+    if store is not None:
+        firsts = firsts.join(store.select("content_hash"), "content_hash", "left_anti")
+    return incoming.join(firsts, key)
 
 
 def commit_snapshot(plan: DataFrame, path: str, by: str = "system", as_of: dt.date | None = None) -> None:

@@ -224,6 +224,18 @@ class Warehouse:
             F.when(kind == "error", "CN").when(kind.isin("signup", "purchase"), "EU").otherwise("US").alias("region"),
             "ts", F.to_date("ts").alias("day"), F.col("value").cast(MONEY).alias("value"))
 
+    def entity_flags(self) -> DataFrame:
+        """One row per user with six 0/1 signals from the event feed, in one aggregation."""
+        kind = F.col("event_type")
+        g = self.table("events").groupBy(F.col("user_id").alias("entity_id")).agg(
+            *[F.count_if(kind == k).alias(f"_{k}") for k in ("view", "click", "signup", "purchase", "error")],
+            F.max("value").alias("_top"))
+        flags = {
+            "has_views": F.col("_view") >= 15, "has_clicks": F.col("_click") >= 15, "has_signups": F.col("_signup") >= 12,
+            "has_purchases": F.col("_purchase") >= 15, "has_errors": F.col("_error") >= 14, "has_large_value": F.col("_top") >= 40,
+        }
+        return g.select("entity_id", *[c.cast("int").alias(n) for n, c in flags.items()])
+
     def documents(self) -> DataFrame:
         return self.table("documents")
 
