@@ -17,7 +17,7 @@ def drop_one_token(words: Column) -> Column:
     """Signatures of a sorted word set: the whole set, and the set without each word in turn.
 
     Two titles share one exactly when their word sets are equal or differ by one added,
-    removed or exchanged word. Sets of one or two words only match exactly.
+    removed or exchanged word. Sets of one or two words are not shortened.
     """
     reduced = F.transform(words, lambda w: F.concat_ws(" ", F.array_remove(words, w)))
     whole = F.array(F.concat_ws(" ", words))

@@ -199,12 +199,18 @@ def _reach(star: Star, fact: str, columns: Sequence[str]) -> DataFrame:
 
 def evaluate(star: Star, registry: Mapping[str, Measure], names: Sequence[str], by: Sequence[str] = (),
              where: Callable[[], Column] | None = None, where_columns: Sequence[str] = ()) -> DataFrame:
-    """Several measures under one grouping and filter: each fact is read and aggregated once."""
+    """Several measures under one grouping and filter.
+
+    Each fact is read and aggregated once, and a leaf that several measures share is computed once.
+    """
     by = list(by)
-    per_fact: dict[str, dict[str, Leaf]] = {}
+    columns: dict[Leaf, str] = {}
     for name in names:
-        for leaf_name, leaf in registry[name].leaves.items():
-            per_fact.setdefault(leaf.fact, {})[f"{name}__{leaf_name}"] = leaf
+        for leaf in registry[name].leaves.values():
+            columns.setdefault(leaf, f"_leaf{len(columns)}")
+    per_fact: dict[str, dict[str, Leaf]] = {}
+    for leaf, column in columns.items():
+        per_fact.setdefault(leaf.fact, {})[column] = leaf
 
     frames = []
     for fact, leaves in per_fact.items():
@@ -214,21 +220,19 @@ def evaluate(star: Star, registry: Mapping[str, Measure], names: Sequence[str],
             df = df.filter(where())
         aggs = [leaf.expr().alias(n) for n, leaf in leaves.items()]
         frames.append(df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs))
-    columns = [n for leaves in per_fact.values() for n in leaves]
     if len(frames) == 1:
         g = frames[0]
     else:
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        folded = [F.max(c).alias(c) for c in columns]
+        folded = [F.max(c).alias(c) for c in columns.values()]
         g = stacked.groupBy(*by).agg(*folded) if by else stacked.agg(*folded)
 
-    leaves = {n: leaf for group in per_fact.values() for n, leaf in group.items()}
-
-    def value(n: str) -> Column:
-        return F.coalesce(F.col(n), F.lit(0.0)) if leaves[n].empty_is_zero else F.col(n)
+    def value(leaf: Leaf) -> Column:
+        c = F.col(columns[leaf])
+        return F.coalesce(c, F.lit(0.0)) if leaf.empty_is_zero else c
 
     out = g.select(*by, *[
-        registry[name].formula({leaf: value(f"{name}__{leaf}") for leaf in registry[name].leaves}).alias(name) for name in names])
+        registry[name].formula({n: value(leaf) for n, leaf in registry[name].leaves.items()}).alias(name) for name in names])
     for name in names:
         over = registry[name].share_over
         if over is not None:

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql.types import StructType
 
 MONEY = "decimal(12,2)"
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(" ".join(ddl.split()))
+def _schema(columns: str) -> StructType:
+    """``name type`` pairs; needs no running session, so schemas can be module constants."""
+    names = {"int": "integer", "bigint": "long"}
+    out = StructType()
+    for name, kind in re.findall(r"(\w+)\s+(\w+(?:\(\d+,\d+\))?)", columns):
+        out.add(name, names.get(kind, kind))
+    return out
 
 
 DIM_DATE = _schema("""date_key int, date date, year int, quarter int, month int, month_name string,

@@ -58,11 +58,11 @@ def signals_per_day(df: DataFrame, by: str = "rule", ts: str = "ts", delay: str
 def convergence(mentions: DataFrame, window: str = "7 days", slide: str = "1 day", sources: int = 3, delay: str = DELAY) -> DataFrame:
     """Entities with enough sources in a sliding window.
 
-    Streaming aggregation has no exact distinct count; the sketch is exact for the handful of sources per
+    Streaming aggregation has no exact distinct count; the sketch is close to exact for the handful of sources per
     entity and window that the rule looks at. The batch function is the exact twin for any number.
     """
     seen = mentions.withWatermark("ts", delay).groupBy(F.window("ts", window, slide), "entity").agg(
-        F.approx_count_distinct("source", 0.01).alias("n_sources"), F.approx_count_distinct("bucket", 0.01).alias("n_buckets"))
+        F.approx_count_distinct("source").alias("n_sources"), F.approx_count_distinct("bucket").alias("n_buckets"))
     rule = F.when(F.col("n_buckets") >= 2, "convergence").otherwise("weak_signal")
     return seen.filter(F.col("n_sources") >= sources).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "entity", "n_sources", "n_buckets", rule.alias("rule"))
