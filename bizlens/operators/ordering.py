@@ -8,8 +8,10 @@ Scale rules kept here:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,8 +59,8 @@ def running_total(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Mappin
 
     lead, desc = order[0]
     cuts = sorted(set(df.approxQuantile(lead, [i / buckets for i in range(1, buckets)], 0.1 / buckets)))
-    rng = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(lead) > c))
-    df = df.withColumn("_range", rng)
+    ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=lead, outputCol="_range").transform(df)
+    df = ranged.withColumn("_range", F.col("_range").cast("int"))
     totals = df.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
     ranges = F.col("_range").desc() if desc else F.col("_range")
     before = (Window.partitionBy(*by) if by else Window).orderBy(ranges).rowsBetween(Window.unboundedPreceding, -1)
