@@ -37,16 +37,20 @@ class Leaf:
     fact: str
     expr: Callable[[], Column]
     needs: tuple[str, ...] = ()
-    empty_is_zero: bool = True
 
 
 @dataclass(frozen=True)
 class Measure:
-    """``formula`` combines the leaf values; ``share_over`` lists the columns whose filter is removed in the total."""
+    """``formula`` combines the leaf values; ``share_over`` lists the columns whose filter is removed in the total.
+
+    A leaf without rows reads as 0 in totals and differences. With ``keep_blank`` it stays NULL, so a
+    ratio of nothing is blank rather than 0.
+    """
 
     leaves: Mapping[str, Leaf]
     formula: Callable[[Mapping[str, Column]], Column]
     share_over: tuple[str, ...] | None = None
+    keep_blank: bool = False
 
 
 def _money(c: str, cond: Callable[[], Column] | None = None) -> Callable[[], Column]:
@@ -92,7 +96,7 @@ def _one(name: str, leaf: Leaf) -> Measure:
 
 
 def _ratio(num: Leaf, den: Leaf) -> Measure:
-    return Measure({"num": num, "den": den}, lambda v: ratio(v["num"], v["den"]))
+    return Measure({"num": num, "den": den}, lambda v: ratio(v["num"], v["den"]), keep_blank=True)
 
 
 def _mean(fact: str, c: str, cond: Callable[[], Column]) -> Measure:
@@ -106,9 +110,9 @@ def _always() -> Column:
 
 def selected_flag(column: str, values: Sequence[str], fact: str = "deals") -> Measure:
     """1 when the context holds exactly one value of ``column`` and it is listed, else 0."""
-    lo = Leaf(fact, lambda: F.min(column), (column,), empty_is_zero=False)
-    hi = Leaf(fact, lambda: F.max(column), (column,), empty_is_zero=False)
-    return Measure({"lo": lo, "hi": hi}, lambda v: F.coalesce(((v["lo"] == v["hi"]) & v["lo"].isin(list(values))).cast("double"), F.lit(0.0)))
+    lo = Leaf(fact, lambda: F.min(column), (column,))
+    hi = Leaf(fact, lambda: F.max(column), (column,))
+    return Measure({"lo": lo, "hi": hi}, lambda v: F.coalesce(((v["lo"] == v["hi"]) & v["lo"].isin(list(values))).cast("double"), F.lit(0.0)), keep_blank=True)
 
 
 def standard_measures(cancel_reason: str, anti_segments: Sequence[str], sweet_spot: str, trap_channel: str) -> dict[str, Measure]:
@@ -227,12 +231,11 @@ def evaluate(star: Star, registry: Mapping[str, Measure], names: Sequence[str],
         folded = [F.max(c).alias(c) for c in columns.values()]
         g = stacked.groupBy(*by).agg(*folded) if by else stacked.agg(*folded)
 
-    def value(leaf: Leaf) -> Column:
-        c = F.col(columns[leaf])
-        return F.coalesce(c, F.lit(0.0)) if leaf.empty_is_zero else c
+    def values(measure: Measure) -> dict[str, Column]:
+        found = {n: F.col(columns[leaf]) for n, leaf in measure.leaves.items()}
+        return found if measure.keep_blank else {n: F.coalesce(c, F.lit(0.0)) for n, c in found.items()}
 
-    out = g.select(*by, *[
-        registry[name].formula({n: value(leaf) for n, leaf in registry[name].leaves.items()}).alias(name) for name in names])
+    out = g.select(*by, *[registry[name].formula(values(registry[name])).alias(name) for name in names])
     for name in names:
         over = registry[name].share_over
         if over is not None:

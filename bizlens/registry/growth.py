@@ -69,7 +69,7 @@ QUERIES = {
         FROM deals JOIN company USING (company_key) WHERE industry IN ('FURNITURE', 'MACHINERY') AND deal_key IN (SELECT deal_key FROM meetings WHERE meeting_status = 'Held')""")),
     "sweet_spot_lift": (_q(lambda w: segments.lift(segments.held(w.deals(), w.meetings()), w.company(), "employee_band", SWEET_SPOT)), sql("deals company meetings", """
         SELECT segment_n, round(s, 6) AS segment_rate, round(r, 6) AS rest_rate, round(b, 6) AS baseline_rate,
-               round(round(s, 6) - round(b, 6), 6) AS lift_points, round(round(s, 6) / nullif(round(r, 6), 0), 4) AS lift_vs_rest
+               round(s - b, 6) AS lift_points, round(s / nullif(r, 0), 4) AS lift_vs_rest
         FROM (SELECT count(*) FILTER (WHERE employee_band = '6-20') AS segment_n, avg(is_won) FILTER (WHERE employee_band = '6-20') AS s,
                      avg(is_won) FILTER (WHERE employee_band <> '6-20') AS r, avg(is_won) AS b
               FROM deals JOIN company USING (company_key) WHERE deal_key IN (SELECT deal_key FROM meetings WHERE meeting_status = 'Held'))""")),

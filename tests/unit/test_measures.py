@@ -28,7 +28,7 @@ def star(make):
 
 def test_cross_fact_ratio_keeps_facts_apart(star):
     got = evaluate(star, REGISTRY, ["total_calls", "meetings_held", "win_rate_meeting", "win_rate_call"], ["industry"])
-    assert rows(got) == [("Energy", 1.0, 0.0, None, 0.0), ("Retail", 0.0, 1.0, 1.0, None), ("Transport", 2.0, 2.0, 0.5, 0.5)]
+    assert rows(got) == [("Energy", 1.0, 0.0, None, None), ("Retail", 0.0, 1.0, 1.0, None), ("Transport", 2.0, 2.0, 0.5, 0.5)]
 
 
 def test_shares_remove_the_channel_filter(star):
