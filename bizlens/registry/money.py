@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from bizlens.functions.dates import date_key
 from bizlens.operators import joins, quality
 from bizlens.plans import finance, planning
 from bizlens.registry.base_sql import dbl, pct, sql
 from bizlens.registry.growth import _q
 from bizlens.session import scratch_path
-from bizlens.sources import sinks
+from bizlens.sources import readers, sinks
+from bizlens.sources.revenue import RevenueRules, build_revenue_fact
 from bizlens.sources.warehouse import AS_OF, Warehouse
 
 STOCK_ORDER = ("as_of_date", "l_orderkey", "l_linenumber", "l_extendedprice")
@@ -61,6 +64,27 @@ def _reconciled(w: Warehouse):
     return finance.reconcile(w.lines(), ledger, explained, 2000)
 
 
+def _csv_round_trip(w: Warehouse):
+    """Write deals as CSV, read them back against a contract with a coerced column, and sum them."""
+    path = scratch_path(w.spark, "csv")
+    deals = w.deals().select("deal_key", "channel_key", date_key("created_date").alias("created_key"), "mrr_usd", F.when(F.col("is_won") == 1, "12").otherwise("NA").alias("months"))
+    sinks.write_table(deals, path, fmt="csv")
+    contract = T.StructType().add("deal_key", "long").add("channel_key", "string").add("created_key", "integer").add("mrr_usd", "decimal(18,2)").add("months", "integer")
+    back = readers.read_table(w.spark, path, contract, coerce=["months"], date_keys=["created_key"])
+    return back.groupBy("channel_key").agg(
+        F.count(F.lit(1)).alias("deals"), F.sum("mrr_usd").cast("double").alias("mrr"), F.count("months").alias("with_months"), F.min("created_key").alias("first_key"))
+
+
+def _staged_revenue(w: Warehouse):
+    """Staged lines to the canonical fact: bucket, core flag, confirmed amount."""
+    staged = w.table("lineitem").select(
+        F.col("l_returnflag").alias("kind"), F.when(F.col("l_linestatus") == "F", "Paid").otherwise("open").alias("payment_state"),
+        F.col("l_extendedprice").cast("decimal(18,4)").alias("amount_expected"), F.col("l_quantity").cast("decimal(18,4)").alias("cost"))
+    rules = RevenueRules({"Product": ["A", "R"], "Licence": ["X"]}, columns={"kind": "line_class"})
+    g = build_revenue_fact(staged, rules).groupBy("bucket_key", "is_core")
+    return g.agg(*[F.sum(c).cast("double").alias(c) for c in ("amount_expected", "amount_confirmed", "cost")])
+
+
 PLAN_SQL = """, sales AS (SELECT product_key, sales_year, CAST(sum(qty) AS DOUBLE) AS expected_sales FROM forecast WHERE sales_year = '2000' GROUP BY ALL),
         st AS (SELECT product_key, CAST(qty AS DOUBLE) AS stock_on_hand FROM stock QUALIFY row_number() OVER (PARTITION BY product_key ORDER BY as_of_date DESC, l_orderkey DESC, l_linenumber DESC, l_extendedprice DESC) = 1),
         inc AS (SELECT product_key, CAST(sum(qty) AS DOUBLE) AS incoming FROM incoming GROUP BY 1),
@@ -167,6 +191,13 @@ QUERIES = {
         SELECT product_key, as_of_date, q + CASE WHEN day(as_of_date) = 1 THEN 1 ELSE 0 END AS qty FROM (SELECT product_key, as_of_date, CAST(sum(qty) AS DOUBLE) AS q FROM stock GROUP BY ALL)""")),
     "partition_refresh": (_q(_refreshed), sql("forecast", """
         SELECT sales_year, count(*) AS n, CAST(sum(qty) AS DOUBLE) AS qty FROM forecast GROUP BY 1""")),
+    # -- sources ----------------------------------------------------------------------------------
+    "csv_round_trip": (_q(_csv_round_trip), sql("deals", """
+        SELECT channel_key, count(*) AS deals, CAST(sum(mrr_usd) AS DOUBLE) AS mrr, count(*) FILTER (WHERE is_won = 1) AS with_months, min(CAST(strftime(created_date, '%Y%m%d') AS INTEGER)) AS first_key FROM deals GROUP BY 1""")),
+    "staged_revenue": (_q(_staged_revenue), """
+        SELECT CASE WHEN l_returnflag IN ('A', 'R') THEN 'Product' ELSE 'Other' END AS bucket_key, l_returnflag IN ('A', 'R') AS is_core, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS amount_expected,
+               CAST(sum(CASE WHEN l_linestatus = 'F' THEN CAST(l_extendedprice AS DECIMAL(18,4)) ELSE 0 END) AS DOUBLE) AS amount_confirmed,
+               CAST(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN CAST(l_quantity AS DECIMAL(18,4)) ELSE 0 END) AS DOUBLE) AS cost FROM lineitem GROUP BY ALL"""),
     "plan_key_gate": (_q(lambda w: quality.pk_violations(w.forecast(), ["product_key", "sales_year"])), sql("forecast", """
         SELECT product_key, sales_year, count(*) AS copies FROM forecast GROUP BY ALL HAVING count(*) > 1""")),
 }

@@ -10,7 +10,7 @@ from bizlens.plans import measures, ml, report, scorecard, signals
 from bizlens.plans.measures import DOMAIN_MEASURES, Star, evaluate, standard_measures
 from bizlens.registry.base_sql import big, dbl, pct, sql
 from bizlens.registry.growth import _q
-from bizlens.registry.money import _plan
+from bizlens.registry.money import _plan, plan_sql
 from bizlens.sources.readers import inline_table
 from bizlens.sources.warehouse import Warehouse
 
@@ -133,6 +133,44 @@ def _cross_sql(by: str, keys: str) -> str:
         FROM d LEFT JOIN m USING ({keys}) LEFT JOIN c USING ({keys})""".strip())
 
 
+def _visual(name: str, value: str, source: str, category: str = "CAST(NULL AS VARCHAR)", legend: str = "CAST(NULL AS VARCHAR)") -> str:
+    """One report visual as SQL rows, grouped by its axes."""
+    group = "" if category.startswith("CAST(NULL") else " GROUP BY ALL"
+    return f"SELECT '{name}' AS visual, {category} AS category, {legend} AS legend, round(CAST({value} AS DOUBLE), 6) AS value FROM {source}{group}"
+
+
+WON_OVER_HELD = f"{dbl('sum(won)')} / nullif(sum(held), 0)"
+RETAINED = f"1.0::DOUBLE - {dbl('sum(is_churned)')} / nullif(sum(is_won), 0)"
+NRR = f"({dbl('sum(mrr_usd)')} - {dbl('sum(churned_mrr)')}) / nullif({dbl('sum(mrr_usd)')}, 0)"
+PER_HOUR = f"{dbl('sum(mrr_usd)')} / nullif(sum(dialer_hours), 0)"
+PAGE_SQL = {
+    "funnel": sql("calls meetings dim_stage", """, d AS (SELECT *, monthname(created_date) AS mn FROM deals JOIN dim_stage USING (stage_order)),
+        t AS (SELECT (SELECT sum(is_won) FROM deals) AS won, (SELECT count(*) FROM meetings WHERE meeting_status = 'Held') AS held) """ + " UNION ALL ".join([
+        _visual("calls", "count(*)", "calls"), _visual("connect_rate", f"{dbl('sum(is_connected)')} / count(*)", "calls"), _visual("held", "sum(held)", "t"),
+        _visual("win_rate", WON_OVER_HELD, "t"), _visual("mrr", "sum(mrr_usd)", "deals"), _visual("won_by_stage", "sum(is_won)", "d", "stage_name"),
+        _visual("won_by_month", "sum(is_won)", "d", "mn"), _visual("mrr_by_month", "sum(mrr_usd)", "d", "mn")])),
+    "segments": sql("meetings company", """, m AS (SELECT employee_band, industry, region, 1 AS held, 0 AS won FROM meetings JOIN company USING (company_key) WHERE meeting_status = 'Held'
+        UNION ALL SELECT employee_band, industry, region, 0, is_won FROM deals JOIN company USING (company_key)) """ + " UNION ALL ".join([
+        _visual("by_band", WON_OVER_HELD, "m", "employee_band"), _visual("by_industry", WON_OVER_HELD, "m", "industry"), _visual("by_region", WON_OVER_HELD, "m", "region"),
+        _visual("band_by_industry", WON_OVER_HELD, "m", "employee_band", "industry")])),
+    "reps": sql("deals_wide meetings calls rep", """, u AS (SELECT rep_key, 0 AS c, 0 AS held, is_won AS won FROM deals_wide
+        UNION ALL SELECT rep_key, 0, CASE WHEN meeting_status = 'Held' THEN 1 ELSE 0 END, 0 FROM meetings UNION ALL SELECT rep_key, 1, 0, 0 FROM calls),
+        g AS (SELECT * FROM u JOIN rep USING (rep_key)) """ + " UNION ALL ".join([
+        _visual("by_rep", WON_OVER_HELD, "g", "rep_name"), _visual("calls_by_rep", "sum(c)", "g", "rep_name")])),
+    "velocity": sql("deals_wide meetings dim_lost_reason", """, w AS (SELECT days_to_close FROM meetings JOIN deals USING (deal_key) WHERE is_won = 1) """ + " UNION ALL ".join([
+        _visual("lost_by_category", "sum(is_lost)", "deals JOIN dim_lost_reason USING (lost_reason_key)", "reason_category"),
+        _visual("won_by_days", "sum(is_won)", "deals_wide", "CAST(deal_age_days AS VARCHAR)"),
+        _visual("cancel_share", f"{dbl('count(*) FILTER (WHERE is_lost = 1 AND lost_reason_key = 0)')} / sum(is_lost)", "deals"),
+        _visual("cycle", "avg(days_to_close)", "w"), _visual("avg_mrr", f"{dbl('sum(mrr_usd)')} / sum(is_won)", "deals")])),
+    "economics": sql("deals_wide dim_channel", """, d AS (SELECT * FROM deals_wide JOIN dim_channel USING (channel_key)) """ + " UNION ALL ".join([
+        _visual("nrr_by_channel", NRR, "d", "channel_name"), _visual("retention_by_channel", RETAINED, "d", "channel_name"), _visual("win_rate_by_channel", "avg(is_won)", "d", "channel_name"),
+        _visual("nrr_by_group", NRR, "d", "channel_group"), _visual("dialer", PER_HOUR, "d"), _visual("days_to_won", "avg(deal_age_days) FILTER (WHERE is_won = 1)", "d")])),
+    "retention_loss": sql("deals_wide meetings dim_channel dim_lost_reason", """, d AS (SELECT * FROM deals_wide JOIN dim_channel USING (channel_key)) """ + " UNION ALL ".join([
+        _visual("retained_by_channel", "sum(is_won) - sum(is_churned)", "d", "channel_name"), _visual("churned_mrr_by_channel", "sum(churned_mrr)", "d", "channel_name"),
+        _visual("lost_by_category", "sum(is_lost)", "deals JOIN dim_lost_reason USING (lost_reason_key)", "reason_category"),
+        _visual("retention", RETAINED, "d"), _visual("nrr", NRR, "d"), _visual("cancel_rate", "avg(CASE WHEN meeting_status = 'Cancelled' THEN 1 ELSE 0 END)", "meetings"), _visual("dialer", PER_HOUR, "d")])),
+}
+
 QUERIES = {
     # -- scorecards ---------------------------------------------------------------------------------
     "channel_score": (_q(lambda w: scorecard.channel(w.deals_wide(), w.dim_channel())), sql("deals_wide dim_channel", f"""
@@ -180,7 +218,9 @@ QUERIES = {
                {_r6('CAST(count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS DOUBLE) / nullif(count(*) FILTER (WHERE score >= 0.5), 0)')} AS precision_at_threshold FROM scored GROUP BY 1""")),
     "measures_signals": (_measures("avg_signals_per_record signal_coverage avg_intent_score", []), sql("flags", f"""
         SELECT {_r6(f'avg({N_FLAGS})')} AS avg_signals_per_record, {_r6('avg(CASE WHEN has_views = 1 OR has_clicks = 1 OR has_signups = 1 THEN 1 ELSE 0 END)')} AS signal_coverage, {_r6(f'avg({INTENT})')} AS avg_intent_score FROM flags""")),
-    "measures_plan": (_measures("total_to_produce what_if_need varieties_red needing_production", []), None),
+    "measures_plan": (_measures("total_to_produce what_if_need varieties_red needing_production", []), plan_sql(f"""
+        SELECT {_r6(dbl('sum(CAST(production_need AS DECIMAL(18,4)))'))} AS total_to_produce, {_r6(dbl('sum(CAST(expected_sales * 1.1::DOUBLE - stock_on_hand - incoming AS DECIMAL(18,4)))'))} AS what_if_need,
+               CAST(count(*) FILTER (WHERE status = 'red') AS DOUBLE) AS varieties_red, CAST(count(*) FILTER (WHERE production_need > 0) AS DOUBLE) AS needing_production FROM plan""")),
     "numbers_registry": (_q(_numbers), sql("deals", """
         SELECT m AS metric, e AS expected, a AS actual FROM (
             SELECT 'deals' AS m, -1.0::DOUBLE AS e, CAST(count(*) AS DOUBLE) AS a FROM deals UNION ALL SELECT 'won', -1.0, CAST(sum(is_won) AS DOUBLE) FROM deals UNION ALL SELECT 'not_computed', 3.0, NULL)""")),
@@ -197,8 +237,7 @@ QUERIES = {
         SELECT 'by_channel' AS visual, channel_name AS category, CAST(NULL AS VARCHAR) AS legend, round(avg(is_won), 6) AS value FROM d GROUP BY channel_name
         UNION ALL SELECT 'by_band', employee_band, NULL, round(avg(is_won), 6) FROM d GROUP BY employee_band UNION ALL SELECT 'by_industry', industry, NULL, round(avg(is_won), 6) FROM d GROUP BY industry
         UNION ALL SELECT 'channel_by_band', channel_name, employee_band, round(avg(is_won), 6) FROM d GROUP BY channel_name, employee_band""".strip())),
-    **{f"report_{page}": (_q(lambda w, page=page: report.dataset(star(w), REGISTRY, page)), None)
-       for page in ("funnel", "segments", "reps", "velocity", "economics", "retention_loss")},
+    **{f"report_{page}": (_q(lambda w, page=page: report.dataset(star(w), REGISTRY, page)), text) for page, text in PAGE_SQL.items()},
     # -- model metrics --------------------------------------------------------------------------------
     "model_auc": (_q(lambda w: ml.auc(w.scored())), sql("scored", SCORED_CURVE + f"""
         SELECT {big('any_value(p)')} AS positives, {big('any_value(n)')} AS negatives, round({dbl('sum(neg * ((tp - pos) + pos / 2.0::DOUBLE))')} / ({dbl('any_value(p)')} * {dbl('any_value(n)')}), 8) AS auc FROM r""")),
