@@ -54,6 +54,11 @@ def score(model: PipelineModel, df: DataFrame, out: str = "prob") -> DataFrame:
     return scored.select(*df.columns, out)
 
 
+def attach_scores(companies: DataFrame, scores: DataFrame, key: str = "cvr", out: str = "prob") -> DataFrame:
+    """Companies with their score; one that was not scored keeps NULL."""
+    return companies.join(scores.select(key, out), key, "left")
+
+
 def top_features(model: PipelineModel, df: DataFrame, k: int = 15) -> DataFrame:
     """The ``k`` most important features by name."""
     width = model.stages[-1].featureImportances.toArray()

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,3 +132,20 @@ def topk_cosine_many(queries: DataFrame, corpus: DataFrame, k: int = 10, query_k
     if out is None:
         raise ValueError("no query vectors")
     return out
+
+
+def approx_topk_cosine(corpus: DataFrame, vector: Sequence[float], k: int = 10, key: str = "vec_id", emb: str = "embedding",
+                       tables: int = 8, width: float = 1.0, seed: int = 7) -> DataFrame:
+    """The nearest rows to one query vector among those that share a hash bucket with it.
+
+    Trades recall for a smaller scan: on unit vectors the Euclidean order of the hash model is the cosine
+    order. :func:`topk_cosine` is the exact form.
+    """
+    norm = F.sqrt(F.aggregate(emb, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    unit = corpus.withColumn("_n", norm).filter("_n > 0").select(
+        key, array_to_vector(F.transform(emb, lambda x: x.cast("double") / F.col("_n"))).alias("_u"))
+    length = sum(float(x) * float(x) for x in vector) ** 0.5
+    probe = Vectors.dense([float(x) / length for x in vector])
+    model = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
+    near = model.approxNearestNeighbors(unit, probe, k, distCol="_d")
+    return near.select(key, F.round(F.lit(1.0) - F.col("_d") * F.col("_d") / 2.0, 6).alias("similarity"))

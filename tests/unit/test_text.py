@@ -90,6 +90,19 @@ def test_topk_cosine_against_numpy(make, monkeypatch, batch):
     assert [r["vec_id"] for r in text.topk_cosine(corpus, list(base[3]), 2).collect()] == [int(i) for i in np.argsort(-sims[3])[:2]]
 
 
+def test_approximate_retrieval_finds_most_of_the_exact_answer(make):
+    rng = np.random.default_rng(3)
+    corpus = make([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 8)))], "vec_id int, embedding array<double>").cache()
+    hits = 0
+    for q in (0, 50, 100):
+        vector = corpus.filter(F.col("vec_id") == q).first()["embedding"]
+        exact = {r["vec_id"]: r["similarity"] for r in text.topk_cosine(corpus, vector, 5).collect()}
+        near = {r["vec_id"]: r["similarity"] for r in text.approx_topk_cosine(corpus, vector, 5).collect()}
+        assert near[q] == pytest.approx(1.0, abs=1e-6)
+        hits += len(set(exact) & set(near))
+    assert hits >= 12
+
+
 def test_titles_and_hosts(make):
     df = make([("<head><TITLE lang='x'>\n A  b </TITLE>", "https://m.Example.org:80/x")], "h string, u string")
     assert rows(df.select(text.title_of("h"), text.host_of("u"))) == [("A b", "m.example.org")]
