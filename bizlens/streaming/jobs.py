@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -28,6 +28,15 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
     return reader.parquet(folder)
 
 
+def _by_wall_clock(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Watermarked ``_wall`` column: windows over it start at local midnight, in any session time zone."""
+    return df.withColumn("_wall", F.from_utc_timestamp(ts, F.current_timezone())).withWatermark("_wall", delay)
+
+
+def _instant(wall: str) -> Column:
+    return F.to_utc_timestamp(wall, F.current_timezone())
+
+
 # -- transformations ----------------------------------------------------------------------------------
 def source_health(runs: DataFrame) -> DataFrame:
     """Last run, last success and failures per source, kept up to date (complete mode)."""
@@ -50,9 +59,8 @@ def dedupe(df: DataFrame, cols: list[str], ts: str = "ts", delay: str = DELAY) -
 
 
 def signals_per_day(df: DataFrame, by: str = "rule", ts: str = "ts", delay: str = DELAY) -> DataFrame:
-    day = F.window(ts, "1 day")
-    return df.withWatermark(ts, delay).groupBy(day, by).agg(F.count(F.lit(1)).alias("signals")).select(
-        F.to_date("window.start").alias("day"), by, "signals")
+    counts = _by_wall_clock(df, ts, delay).groupBy(F.window("_wall", "1 day"), by).agg(F.count(F.lit(1)).alias("signals"))
+    return counts.select(F.to_date(_instant("window.start")).alias("day"), by, "signals")
 
 
 def convergence(mentions: DataFrame, window: str = "7 days", slide: str = "1 day", sources: int = 3, delay: str = DELAY) -> DataFrame:
@@ -61,17 +69,17 @@ def convergence(mentions: DataFrame, window: str = "7 days", slide: str = "1 day
     Streaming aggregation has no exact distinct count; the sketch is close to exact for the handful of sources per
     entity and window that the rule looks at. The batch function is the exact twin for any number.
     """
-    seen = mentions.withWatermark("ts", delay).groupBy(F.window("ts", window, slide), "entity").agg(
+    seen = _by_wall_clock(mentions, "ts", delay).groupBy(F.window("_wall", window, slide), "entity").agg(
         F.approx_count_distinct("source").alias("n_sources"), F.approx_count_distinct("bucket").alias("n_buckets"))
     rule = F.when(F.col("n_buckets") >= 2, "convergence").otherwise("weak_signal")
     return seen.filter(F.col("n_sources") >= sources).select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "entity", "n_sources", "n_buckets", rule.alias("rule"))
+        _instant("window.start").alias("window_start"), _instant("window.end").alias("window_end"), "entity", "n_sources", "n_buckets", rule.alias("rule"))
 
 
 def mention_counts(mentions: DataFrame, every: str = "1 day", delay: str = DELAY) -> DataFrame:
     """Mentions per entity and closed window (append mode)."""
-    return mentions.withWatermark("ts", delay).groupBy(F.window("ts", every), "entity").agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("window.start").alias("window_start"), "entity", "n")
+    counts = _by_wall_clock(mentions, "ts", delay).groupBy(F.window("_wall", every), "entity").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(_instant("window.start").alias("window_start"), "entity", "n")
 
 
 # -- runners ------------------------------------------------------------------------------------------
