@@ -125,4 +125,4 @@ def with_action(scored: DataFrame, actions: Mapping[str, str] = ACTIONS) -> Data
 
 def route(scored: DataFrame, path: str) -> None:
     """Write the scored companies, one folder per action."""
-    with_action(scored).write.mode("overwrite").partitionBy("action").parquet(path)
+    with_action(scored).hint("rebalance", "action").write.mode("overwrite").partitionBy("action").parquet(path)

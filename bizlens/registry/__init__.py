@@ -10,14 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    import importlib
-
+    from bizlens.registry import growth, markets, money, scoring, streams
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for name in ("growth", "money", "scoring", "markets", "streams"):
-        try:
-            module = importlib.import_module(f"bizlens.registry.{name}")
-        except ModuleNotFoundError:
-            continue
+    for module in (growth, money, scoring, markets, streams):
         out.update(module.QUERIES)
     return out

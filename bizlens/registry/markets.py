@@ -11,7 +11,7 @@ from bizlens.operators.ordering import feed
 from bizlens.operators.quality import citation_check
 from bizlens.plans import signals, text
 from bizlens.registry.base_sql import dbl, sql
-from bizlens.registry.growth import _q
+from bizlens.registry.common import q
 from bizlens.sources.sinks import ingest_unique
 from bizlens.sources.warehouse import Warehouse
 
@@ -153,71 +153,71 @@ COS = "round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedd
 
 QUERIES = {
     # -- rules --------------------------------------------------------------------------------------
-    "signals_convergence": (_q(lambda w: signals.convergence(w.mentions())), sql("mentions", CONV + " SELECT * FROM conv")),
-    "signals_daily_z": (_q(lambda w: signals.daily_z(w.mentions(), 14).withColumns({c: F.round(c, 6) for c in ("base_mean", "base_std", "z")})), sql("mentions", DAILY + """
+    "signals_convergence": (q(lambda w: signals.convergence(w.mentions())), sql("mentions", CONV + " SELECT * FROM conv")),
+    "signals_daily_z": (q(lambda w: signals.daily_z(w.mentions(), 14).withColumns({c: F.round(c, 6) for c in ("base_mean", "base_std", "z")})), sql("mentions", DAILY + """
         , b AS (SELECT *, CAST(coalesce(sum(n) OVER w, 0) AS DOUBLE) AS s, CAST(coalesce(sum(n * n) OVER w, 0) AS DOUBLE) AS q, CAST(date_diff('day', min(day) OVER (PARTITION BY entity), day) AS INTEGER) AS history_days
                FROM daily WINDOW w AS (PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
         c AS (SELECT *, s / 14 AS m, sqrt(greatest((q - s * s / 14) / 13, 0)) AS sd FROM b)
         SELECT entity, day, n, history_days, round(m, 6) AS base_mean, round(sd, 6) AS base_std, round((n - m) / nullif(sd, 0), 6) AS z FROM c""")),
-    "signals_anomaly": (_q(lambda w: signals.anomaly(w.mentions(), 14)), sql("mentions", ANOMALY + " SELECT * FROM anomaly")),
-    "signals_first_mover": (_q(lambda w: signals.first_mover(w.mentions(), 1)), sql("mentions", FIRST + """
+    "signals_anomaly": (q(lambda w: signals.anomaly(w.mentions(), 14)), sql("mentions", ANOMALY + " SELECT * FROM anomaly")),
+    "signals_first_mover": (q(lambda w: signals.first_mover(w.mentions(), 1)), sql("mentions", FIRST + """
         SELECT *, CAST(date_diff('day', first_niche, first_mainstream) AS INTEGER) AS lead_days FROM fm WHERE date_diff('day', first_niche, first_mainstream) >= 1""")),
-    "signals_geo_spread": (_q(lambda w: signals.geo_spread(w.mentions()).select("entity", F.to_date("first_cn").alias("cn"), F.to_date("first_us").alias("us"))), sql("mentions", GEO + """
+    "signals_geo_spread": (q(lambda w: signals.geo_spread(w.mentions()).select("entity", F.to_date("first_cn").alias("cn"), F.to_date("first_us").alias("us"))), sql("mentions", GEO + """
         SELECT entity, CAST(a AS DATE) AS cn, CAST(c AS DATE) AS us FROM geo WHERE a < b AND b < c""")),
-    "signals_run": (_q(lambda w: signals.run(w.mentions(), 14)[0]), sql("mentions", CONV + ANOMALY + FIRST + GEO + """
+    "signals_run": (q(lambda w: signals.run(w.mentions(), 14)[0]), sql("mentions", CONV + ANOMALY + FIRST + GEO + """
         SELECT rule, entity, day FROM sig UNION ALL SELECT 'anomaly', entity, min(day) FROM anomaly GROUP BY entity
         UNION ALL SELECT 'first_mover', entity, first_mainstream FROM fm WHERE date_diff('day', first_niche, first_mainstream) >= 14 UNION ALL SELECT 'geo_spread', entity, CAST(c AS DATE) FROM geo WHERE a < b AND b < c""")),
-    "signals_suppressed": (_q(lambda w: signals.run(w.mentions(), 30)[1]), sql("mentions", """
+    "signals_suppressed": (q(lambda w: signals.run(w.mentions(), 30)[1]), sql("mentions", """
         SELECT 'anomaly' AS rule, 'not enough history' AS reason FROM mentions HAVING date_diff('day', min(day), max(day)) < 36""")),
-    "signals_new_per_day": (_q(lambda w: signals.new_per_day(_signals(w))), sql("mentions", CONV + " SELECT day, rule, count(*) AS signals FROM sig GROUP BY ALL")),
-    "signals_trend_break": (_q(_prices), sql("mentions", f"""
+    "signals_new_per_day": (q(lambda w: signals.new_per_day(_signals(w))), sql("mentions", CONV + " SELECT day, rule, count(*) AS signals FROM sig GROUP BY ALL")),
+    "signals_trend_break": (q(_prices), sql("mentions", f"""
         , d AS (SELECT source, day, {dbl('sum(value)')} / count(*) AS price FROM mentions GROUP BY ALL),
         z AS (SELECT *, avg(price) OVER w AS m, stddev_samp(price) OVER w AS sd, count(price) OVER w AS base_n FROM d WINDOW w AS (PARTITION BY source ORDER BY day RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
         SELECT source, day, round(price, 6) AS price, round(m, 6) AS base_mean, base_n, round((price - m) / nullif(sd, 0), 5) AS z FROM z WHERE abs((price - m) / nullif(sd, 0)) > 1.5""".strip())),
     # -- ranking, evidence, triage ----------------------------------------------------------------------
-    "signals_ranked": (_q(lambda w: _ranked(w).select("customer", "signal_id", "rank_score", "position")), sql("mentions", RANKED + " SELECT customer, signal_id, rank_score, position FROM ranked")),
-    "signals_digest": (_q(lambda w: signals.digest(_ranked(w), dt.date(2024, 1, 1)).select("customer", "signal_id", "day")), sql("mentions", RANKED + " SELECT customer, signal_id, day FROM ranked WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-07'")),
-    "signals_state": (_q(_state), sql("mentions", RANKED + " SELECT customer, signal_id, position, CASE WHEN position = 1 THEN 'approved' ELSE 'open' END AS state FROM ranked")),
-    "signals_with_evidence": (_q(_with_evidence), sql("mentions", CONV + """
+    "signals_ranked": (q(lambda w: _ranked(w).select("customer", "signal_id", "rank_score", "position")), sql("mentions", RANKED + " SELECT customer, signal_id, rank_score, position FROM ranked")),
+    "signals_digest": (q(lambda w: signals.digest(_ranked(w), dt.date(2024, 1, 1)).select("customer", "signal_id", "day")), sql("mentions", RANKED + " SELECT customer, signal_id, day FROM ranked WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-07'")),
+    "signals_state": (q(_state), sql("mentions", RANKED + " SELECT customer, signal_id, position, CASE WHEN position = 1 THEN 'approved' ELSE 'open' END AS state FROM ranked")),
+    "signals_with_evidence": (q(_with_evidence), sql("mentions", CONV + """
         , ev AS (SELECT signal_id, event_id, ts, props FROM events JOIN sig ON entity = user_id WHERE event_type IN ('error', 'purchase')),
         g AS (SELECT signal_id, count(*) AS n, min_by(props, (ts, event_id)) AS fq FROM ev GROUP BY 1)
         SELECT sig.signal_id, rule, day, coalesce(n, 0) AS n_evidence, fq AS first_quote, CAST(1 AS BIGINT) AS n_entities, entity AS first_entity FROM sig LEFT JOIN g ON g.signal_id = sig.signal_id""")),
-    "signals_evidence_rows": (_q(_evidence_rows), sql("mentions", CONV + """
+    "signals_evidence_rows": (q(_evidence_rows), sql("mentions", CONV + """
         SELECT signal_id, 'evidence' AS kind, props AS value FROM events JOIN sig ON entity = user_id WHERE event_type IN ('error', 'purchase')
         UNION ALL SELECT signal_id, 'entity', CAST(entity AS VARCHAR) FROM sig""")),
-    "entity_timeline": (_q(lambda w: signals.entity_timeline(w.mentions(), [1, 2, 3], dt.date(2024, 1, 30))), sql("mentions", """
+    "entity_timeline": (q(lambda w: signals.entity_timeline(w.mentions(), [1, 2, 3], dt.date(2024, 1, 30))), sql("mentions", """
         , s AS (SELECT CAST(e AS INTEGER) AS entity, CAST(DATE '2024-01-01' + CAST(i AS INTEGER) AS DATE) AS day FROM range(1, 4) a(e), range(30) b(i))
         SELECT s.entity, s.day, count(mention_id) AS n, count(DISTINCT source) AS n_sources FROM s LEFT JOIN mentions m ON m.entity = s.entity AND m.day = s.day GROUP BY ALL""".strip())),
-    "citation_check": (_q(_uncited), "SELECT doc_id, doc_id AS page_id FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)"),
+    "citation_check": (q(_uncited), "SELECT doc_id, doc_id AS page_id FROM labels WHERE doc_id NOT IN (SELECT page_id FROM pages)"),
     # -- sources and feeds ------------------------------------------------------------------------------
-    "source_health": (_q(_health), RUNS + """
+    "source_health": (q(_health), RUNS + """
         SELECT source, count(*) AS runs, count(*) FILTER (WHERE status <> 'ok') AS failures, max_by(status, (ts, run_id)) AS last_status, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_run,
                strftime(max(ts) FILTER (WHERE status = 'ok'), '%Y-%m-%d %H:%M:%S') AS last_success,
                date_sub('second', max(ts) FILTER (WHERE status = 'ok'), (SELECT max(ts) FROM runs)) / 3600.0 > 1 AS silent FROM runs GROUP BY source"""),
-    "source_run_history": (_q(lambda w: signals.run_history(_runs(w), 10).select("source", "run_id", "status", "recency")), RUNS + """
+    "source_run_history": (q(lambda w: signals.run_history(_runs(w), 10).select("source", "run_id", "status", "recency")), RUNS + """
         SELECT source, run_id, status, CAST(rn AS INTEGER) AS recency FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ts DESC, run_id DESC) AS rn FROM runs) WHERE rn <= 10"""),
-    "diverse_feed": (_q(lambda w: signals.feed(w.mentions(), size=12, cap=3).select("mention_id", "source", "turn")), sql("mentions", """
+    "diverse_feed": (q(lambda w: signals.feed(w.mentions(), size=12, cap=3).select("mention_id", "source", "turn")), sql("mentions", """
         , pool AS (SELECT * FROM mentions ORDER BY ts DESC, mention_id DESC LIMIT 48), d AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY ts DESC, mention_id DESC) AS INTEGER) AS turn FROM pool)
         SELECT mention_id, source, turn FROM d WHERE turn <= 3 ORDER BY turn, ts DESC, mention_id DESC LIMIT 12""".strip())),
-    "paged_feed": (_q(lambda w: feed(w.mentions(), F.col("bucket") == "deal", [F.col("ts").desc(), F.col("mention_id").desc()], page=2, size=20).select("mention_id", "source")), sql("mentions", """
+    "paged_feed": (q(lambda w: feed(w.mentions(), F.col("bucket") == "deal", [F.col("ts").desc(), F.col("mention_id").desc()], page=2, size=20).select("mention_id", "source")), sql("mentions", """
         SELECT mention_id, source FROM mentions WHERE bucket = 'deal' ORDER BY ts DESC, mention_id DESC LIMIT 20 OFFSET 40""")),
     # -- text -------------------------------------------------------------------------------------------
-    "text_clean": (_q(lambda w: text.clean(_pages(w)).select("page_id", "title", "lang")), rf"""
+    "text_clean": (q(lambda w: text.clean(_pages(w)).select("page_id", "title", "lang")), rf"""
         SELECT page_id, {MOJI} AS title, CASE WHEN regexp_matches({MOJI}, '\p{{Cyrillic}}') AND lang = 'en' THEN 'uk' ELSE lang END AS lang
         FROM (SELECT page_id, {TITLE} AS title, regexp_extract(html, '<html[^>]*lang="([a-z]+)"', 1) AS lang FROM pages) WHERE NOT regexp_matches(title, '{JUNK_TITLE}')"""),
-    "text_title_clusters": (_q(lambda w: text.cluster_titles(_pages(w), "page_id", "title")), TITLES),
-    "text_resolved_hosts": (_q(lambda w: text.resolve_entities(_labels_of_hosts(w), "name")), HOSTS),
-    "text_entity_tags": (_q(_tagged), f"""WITH g AS (SELECT term, min(item_id) AS entity, count(*) AS items FROM (SELECT item_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark) WHERE length(term) >= 9 GROUP BY 1),
+    "text_title_clusters": (q(lambda w: text.cluster_titles(_pages(w), "page_id", "title")), TITLES),
+    "text_resolved_hosts": (q(lambda w: text.resolve_entities(_labels_of_hosts(w), "name")), HOSTS),
+    "text_entity_tags": (q(_tagged), f"""WITH g AS (SELECT term, min(item_id) AS entity, count(*) AS items FROM (SELECT item_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark) WHERE length(term) >= 9 GROUP BY 1),
         t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents)
         SELECT doc_id, term, any_value(entity) AS entity, count(*) AS hits FROM t JOIN g USING (term) WHERE items <= 1 GROUP BY doc_id, term"""),
-    "text_keyword_search": (_q(lambda w: text.keyword_search(w.documents(), KEYWORDS, ["text"]).select("doc_id", "lang")), f"""
+    "text_keyword_search": (q(lambda w: text.keyword_search(w.documents(), KEYWORDS, ["text"]).select("doc_id", "lang")), f"""
         SELECT doc_id, lang FROM documents WHERE {' OR '.join(f"text ILIKE '%{k}%'" for k in KEYWORDS)}"""),
-    "text_unique_ingest": (_q(lambda w: ingest_unique(w.documents(), ["text"], "doc_id").select("doc_id", "content_hash")), """
+    "text_unique_ingest": (q(lambda w: ingest_unique(w.documents(), ["text"], "doc_id").select("doc_id", "content_hash")), """
         SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY text"""),
-    "text_reingest_new": (_q(lambda w: ingest_unique(w.documents(), ["text"], "doc_id", w.documents().filter("lang <> 'fr'").select(content_hash("text").alias("content_hash"))).select("doc_id", "lang")), """
+    "text_reingest_new": (q(lambda w: ingest_unique(w.documents(), ["text"], "doc_id", w.documents().filter("lang <> 'fr'").select(content_hash("text").alias("content_hash"))).select("doc_id", "lang")), """
         SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text) AND text NOT IN (SELECT text FROM documents WHERE lang <> 'fr')"""),
-    "vector_topk": (_q(_nearest), f"""
+    "vector_topk": (q(_nearest), f"""
         SELECT c.vec_id, {COS} AS similarity FROM embeddings c, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY similarity DESC, vec_id LIMIT 10"""),
-    "vector_topk_by_label": (_q(_nearest_by_label), f"""WITH q AS (SELECT label AS query_id, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1)
+    "vector_topk_by_label": (q(_nearest_by_label), f"""WITH q AS (SELECT label AS query_id, min_by(embedding, vec_id) AS embedding FROM embeddings GROUP BY 1)
         SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, c.vec_id, {COS} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM embeddings c, q) WHERE rank <= 5"""),
 }

@@ -9,7 +9,7 @@ from bizlens.operators.quality import metric_rows, verify
 from bizlens.plans import measures, ml, report, scorecard, signals
 from bizlens.plans.measures import DOMAIN_MEASURES, Star, evaluate, standard_measures
 from bizlens.registry.base_sql import big, dbl, pct, sql
-from bizlens.registry.growth import _q
+from bizlens.registry.common import q
 from bizlens.registry.money import _plan, plan_sql
 from bizlens.sources.readers import inline_table
 from bizlens.sources.warehouse import Warehouse
@@ -59,7 +59,7 @@ def _measures(names: str, by: list[str], **kw):
     def run(w: Warehouse):
         out = evaluate(star(w), REGISTRY, names.split(), by, **kw)
         return out.withColumns({n: F.round(n, 6) for n in names.split()})
-    return _q(run)
+    return q(run)
 
 
 def _leads(w: Warehouse):
@@ -173,7 +173,7 @@ PAGE_SQL = {
 
 QUERIES = {
     # -- scorecards ---------------------------------------------------------------------------------
-    "channel_score": (_q(lambda w: scorecard.channel(w.deals_wide(), w.dim_channel())), sql("deals_wide dim_channel", f"""
+    "channel_score": (q(lambda w: scorecard.channel(w.deals_wide(), w.dim_channel())), sql("deals_wide dim_channel", f"""
         , g AS (SELECT channel_name, avg(is_won) AS wr, sum(dialer_hours) AS h, {dbl('sum(mrr_usd) FILTER (WHERE is_won = 1)')} AS m, quantile_cont(deal_age_days, 0.5) FILTER (WHERE is_won = 1) AS t,
                      1 - {dbl('sum(is_churned)')} / nullif({dbl('sum(is_won)')}, 0) AS rt FROM deals_wide JOIN dim_channel USING (channel_key) GROUP BY 1),
         p AS (SELECT channel_name, CASE WHEN wr >= 0.5 THEN 50 WHEN wr >= 0.25 THEN 30 WHEN wr >= 0.1 THEN 12 ELSE 4 END AS win_points,
@@ -182,17 +182,17 @@ QUERIES = {
         SELECT *, win_points + dialer_points + cycle_points + retention_points AS score,
                CASE WHEN win_points + dialer_points + cycle_points + retention_points >= 60 THEN 'Scale' WHEN win_points + dialer_points + cycle_points + retention_points >= 30 THEN 'Maintain'
                     WHEN win_points + dialer_points + cycle_points + retention_points >= 12 THEN 'Cap' ELSE 'Kill' END AS band FROM p""".strip())),
-    "lead_score": (_q(lambda w: scorecard.with_action(_leads(w)).select("company_key", "score", "band", "action")), sql("meetings company", LEAD_SQL + """
+    "lead_score": (q(lambda w: scorecard.with_action(_leads(w)).select("company_key", "score", "band", "action")), sql("meetings company", LEAD_SQL + """
         SELECT company_key, score, band, CASE band WHEN 'Dial' THEN 'call' WHEN 'Nurture' THEN 'email' ELSE 'none' END AS action FROM banded""")),
-    "lead_coverage": (_q(lambda w: scorecard.coverage(_leads(w), w.deals())), sql("meetings company", LEAD_SQL + f"""
+    "lead_coverage": (q(lambda w: scorecard.coverage(_leads(w), w.deals())), sql("meetings company", LEAD_SQL + f"""
         , v AS (SELECT company_key, count(*) AS wins FROM deals WHERE is_won = 1 GROUP BY 1)
         SELECT band, count(*) AS companies, {big('coalesce(sum(wins), 0)')} AS wins, {pct('count(*)', 'sum(count(*)) OVER ()', 1)} AS universe_pct, {pct('coalesce(sum(wins), 0)', 'sum(coalesce(sum(wins), 0)) OVER ()', 1)} AS wins_pct
         FROM banded b LEFT JOIN v ON v.company_key = b.company_key GROUP BY band""")),
-    "lead_boost": (_q(lambda w: scorecard.before_after(_boosted(w))), sql("meetings company", LEAD_SQL + """
+    "lead_boost": (q(lambda w: scorecard.before_after(_boosted(w))), sql("meetings company", LEAD_SQL + """
         , q AS (SELECT band, score + CASE WHEN (company_key * 37) % 1000 / 1000.0 >= 0.5 THEN 20 ELSE 0 END AS s2 FROM banded),
         z AS (SELECT 'before' AS stage, band FROM q UNION ALL SELECT 'after', CASE WHEN s2 >= 50 THEN 'Dial' WHEN s2 >= 5 THEN 'Nurture' ELSE 'Skip' END FROM q)
         SELECT stage, band, count(*) AS companies FROM z GROUP BY ALL""")),
-    "additive_score": (_q(lambda w: scorecard.additive(w.entity_flags(), POINTS).select("entity_id", "score")), sql("flags", f"SELECT entity_id, {INTENT} AS score FROM flags")),
+    "additive_score": (q(lambda w: scorecard.additive(w.entity_flags(), POINTS).select("entity_id", "score")), sql("flags", f"SELECT entity_id, {INTENT} AS score FROM flags")),
     # -- measures -----------------------------------------------------------------------------------
     "measures_total": (_measures(" ".join(DEAL_MEASURES), []), sql("deals_wide", f"SELECT {DEAL_LIST} FROM deals_wide")),
     "measures_by_channel": (_measures(" ".join([*DEAL_MEASURES, "volume_share", "won_mrr_share", "rebooking_trap_flag"]), ["channel_name"]), sql("deals_wide dim_channel", f"""
@@ -221,69 +221,69 @@ QUERIES = {
     "measures_plan": (_measures("total_to_produce what_if_need varieties_red needing_production", []), plan_sql(f"""
         SELECT {_r6(dbl('sum(CAST(production_need AS DECIMAL(18,4)))'))} AS total_to_produce, {_r6(dbl('sum(CAST(expected_sales * 1.1::DOUBLE - stock_on_hand - incoming AS DECIMAL(18,4)))'))} AS what_if_need,
                CAST(count(*) FILTER (WHERE status = 'red') AS DOUBLE) AS varieties_red, CAST(count(*) FILTER (WHERE production_need > 0) AS DOUBLE) AS needing_production FROM plan""")),
-    "numbers_registry": (_q(_numbers), sql("deals", """
+    "numbers_registry": (q(_numbers), sql("deals", """
         SELECT m AS metric, e AS expected, a AS actual FROM (
             SELECT 'deals' AS m, -1.0::DOUBLE AS e, CAST(count(*) AS DOUBLE) AS a FROM deals UNION ALL SELECT 'won', -1.0, CAST(sum(is_won) AS DOUBLE) FROM deals UNION ALL SELECT 'not_computed', 3.0, NULL)""")),
     # -- report pages ---------------------------------------------------------------------------------
-    "report_overview": (_q(lambda w: report.dataset(star(w), REGISTRY, "overview")), sql("deals_wide dim_channel", f"""
+    "report_overview": (q(lambda w: report.dataset(star(w), REGISTRY, "overview")), sql("deals_wide dim_channel", f"""
         , t AS (SELECT count(*) AS n, sum(is_won) AS w, {dbl('sum(mrr_usd)')} AS m FROM deals_wide),
         c AS (SELECT channel_name, count(*) AS n, sum(is_won) AS w, {dbl('sum(mrr_usd)')} AS m FROM deals_wide JOIN dim_channel USING (channel_key) GROUP BY 1)
         SELECT v AS visual, k AS category, CAST(NULL AS VARCHAR) AS legend, round(x, 6) AS value FROM (
             SELECT 'deals' AS v, NULL AS k, CAST(n AS DOUBLE) AS x FROM t UNION ALL SELECT 'won', NULL, w FROM t UNION ALL SELECT 'win_rate', NULL, CAST(w AS DOUBLE) / n FROM t
             UNION ALL SELECT 'mrr', NULL, m FROM t UNION ALL SELECT 'avg_mrr', NULL, m / w FROM t UNION ALL SELECT 'win_rate_by_channel', channel_name, CAST(w AS DOUBLE) / n FROM c
             UNION ALL SELECT 'mrr_by_channel', channel_name, m FROM c UNION ALL SELECT 'deals_by_channel', channel_name, n FROM c)""".strip())),
-    "report_channel_segments": (_q(lambda w: report.dataset(star(w), REGISTRY, "channel_segments")), sql("deals dim_channel company", """
+    "report_channel_segments": (q(lambda w: report.dataset(star(w), REGISTRY, "channel_segments")), sql("deals dim_channel company", """
         , d AS (SELECT * FROM deals JOIN dim_channel USING (channel_key) JOIN company USING (company_key))
         SELECT 'by_channel' AS visual, channel_name AS category, CAST(NULL AS VARCHAR) AS legend, round(avg(is_won), 6) AS value FROM d GROUP BY channel_name
         UNION ALL SELECT 'by_band', employee_band, NULL, round(avg(is_won), 6) FROM d GROUP BY employee_band UNION ALL SELECT 'by_industry', industry, NULL, round(avg(is_won), 6) FROM d GROUP BY industry
         UNION ALL SELECT 'channel_by_band', channel_name, employee_band, round(avg(is_won), 6) FROM d GROUP BY channel_name, employee_band""".strip())),
-    **{f"report_{page}": (_q(lambda w, page=page: report.dataset(star(w), REGISTRY, page)), text) for page, text in PAGE_SQL.items()},
+    **{f"report_{page}": (q(lambda w, page=page: report.dataset(star(w), REGISTRY, page)), text) for page, text in PAGE_SQL.items()},
     # -- model metrics --------------------------------------------------------------------------------
-    "model_auc": (_q(lambda w: ml.auc(w.scored())), sql("scored", SCORED_CURVE + f"""
+    "model_auc": (q(lambda w: ml.auc(w.scored())), sql("scored", SCORED_CURVE + f"""
         SELECT {big('any_value(p)')} AS positives, {big('any_value(n)')} AS negatives, round({dbl('sum(neg * ((tp - pos) + pos / 2.0::DOUBLE))')} / ({dbl('any_value(p)')} * {dbl('any_value(n)')}), 8) AS auc FROM r""")),
-    "model_auc_by_lang": (_q(lambda w: ml.auc_by(w.scored(), "lang")), sql("scored", f"""
+    "model_auc_by_lang": (q(lambda w: ml.auc_by(w.scored(), "lang")), sql("scored", f"""
         , c AS (SELECT lang, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM scored GROUP BY ALL),
         r AS (SELECT *, sum(pos) OVER (PARTITION BY lang ORDER BY score DESC) AS tp FROM c)
         SELECT lang, round({dbl('sum(neg * ((tp - pos) + pos / 2.0::DOUBLE))')} / nullif({dbl('sum(pos)')} * {dbl('sum(neg)')}, 0), 8) AS auc FROM r GROUP BY 1""".strip())),
-    "model_drift": (_q(lambda w: ml.drift(ml.auc_by(w.scored().withColumn("week", (F.col("doc_id") % 4).cast("int")), "week").withColumn("model", F.lit("m1")))), sql("scored", f"""
+    "model_drift": (q(lambda w: ml.drift(ml.auc_by(w.scored().withColumn("week", (F.col("doc_id") % 4).cast("int")), "week").withColumn("model", F.lit("m1")))), sql("scored", f"""
         , c AS (SELECT CAST(doc_id % 4 AS INTEGER) AS week, score, sum(label) AS pos, count(*) - sum(label) AS neg FROM scored GROUP BY ALL),
         r AS (SELECT *, sum(pos) OVER (PARTITION BY week ORDER BY score DESC) AS tp FROM c),
         a AS (SELECT week, round({dbl('sum(neg * ((tp - pos) + pos / 2.0::DOUBLE))')} / nullif({dbl('sum(pos)')} * {dbl('sum(neg)')}, 0), 8) AS auc FROM r GROUP BY 1)
         SELECT week, auc, 'm1' AS model, round(auc - lag(auc) OVER (ORDER BY week), 8) AS change, coalesce(round(auc - lag(auc) OVER (ORDER BY week), 8) < -0.02, false) AS alert FROM a""".strip())),
-    "model_roc": (_q(lambda w: ml.roc(w.scored())), sql("scored", SCORED_CURVE + """
+    "model_roc": (q(lambda w: ml.roc(w.scored())), sql("scored", SCORED_CURVE + """
         SELECT score AS threshold, round(CAST(fp AS DOUBLE) / n, 8) AS fpr, round(CAST(tp AS DOUBLE) / p, 8) AS tpr FROM r""")),
-    "model_confusion": (_q(lambda w: ml.confusion(w.scored())), sql("scored", "SELECT label AS actual, CAST(score >= 0.5 AS INTEGER) AS predicted, count(*) AS n FROM scored GROUP BY ALL")),
-    "model_calibration": (_q(lambda w: ml.calibration(w.scored())), sql("scored", """
+    "model_confusion": (q(lambda w: ml.confusion(w.scored())), sql("scored", "SELECT label AS actual, CAST(score >= 0.5 AS INTEGER) AS predicted, count(*) AS n FROM scored GROUP BY ALL")),
+    "model_calibration": (q(lambda w: ml.calibration(w.scored())), sql("scored", """
         SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(CAST(sum(CAST(score AS DECIMAL(20,12))) AS DOUBLE) / count(*), 8) AS mean_score, round(avg(CAST(label AS DOUBLE)), 8) AS positive_rate FROM scored GROUP BY 1""")),
-    "model_score_hist": (_q(lambda w: ml.score_hist(w.scored()).drop("bin_lo")), sql("scored", """
+    "model_score_hist": (q(lambda w: ml.score_hist(w.scored()).drop("bin_lo")), sql("scored", """
         SELECT label, CAST(least(floor(score / (1.0::DOUBLE / 30)), 29) AS INTEGER) AS bin, count(*) AS n FROM scored GROUP BY ALL""")),
-    "model_segment_scores": (_q(lambda w: ml.segment_scores(w.scored(), "source")), sql("scored", """
+    "model_segment_scores": (q(lambda w: ml.segment_scores(w.scored(), "source")), sql("scored", """
         SELECT source, count(*) AS n, round(CAST(sum(CAST(score AS DECIMAL(20,12))) AS DOUBLE) / count(*), 8) AS avg_score, count(*) FILTER (WHERE score >= 0.5) AS high_scores FROM scored GROUP BY 1""")),
-    "model_precision": (_q(lambda w: ml.precision_at(w.scored(), 0.7)), sql("scored", """
+    "model_precision": (q(lambda w: ml.precision_at(w.scored(), 0.7)), sql("scored", """
         SELECT count(*) FILTER (WHERE score >= 0.7 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.7 AND label = 0) AS fp, round(avg(CAST(label AS DOUBLE)) FILTER (WHERE score >= 0.7), 8) AS precision FROM scored""")),
-    "model_top_decile_lift": (_q(lambda w: ml.top_decile_lift(w.scored())), sql("scored", """
+    "model_top_decile_lift": (q(lambda w: ml.top_decile_lift(w.scored())), sql("scored", """
         , e AS (SELECT score, CAST(score AS DECIMAL(20,12)) AS s, rank() OVER (ORDER BY score DESC) <= (SELECT ceil(count(*) * 0.1::DOUBLE) FROM scored) AS t FROM scored),
         g AS (SELECT count(*) FILTER (WHERE t) AS n, CAST(sum(s) FILTER (WHERE t) AS DOUBLE) / count(*) FILTER (WHERE t) AS a, CAST(sum(s) AS DOUBLE) / count(*) AS b FROM e)
         SELECT n AS n_top, round(a, 8) AS top_mean, round(b, 8) AS base_mean, round(a / b, 6) AS lift FROM g""".strip())),
-    "model_top_rows": (_q(lambda w: top_fraction(w.scored(), "score", 0.25).select("doc_id", "score")), sql("scored", """
+    "model_top_rows": (q(lambda w: top_fraction(w.scored(), "score", 0.25).select("doc_id", "score")), sql("scored", """
         SELECT doc_id, score FROM scored QUALIFY rank() OVER (ORDER BY score DESC) <= (SELECT ceil(count(*) * 0.25::DOUBLE) FROM scored)""")),
-    "model_lift_curve": (_q(lambda w: ml.lift_curve(w.scored())), sql("scored", SCORED_CURVE + f"""
+    "model_lift_curve": (q(lambda w: ml.lift_curve(w.scored())), sql("scored", SCORED_CURVE + f"""
         SELECT CAST(i AS INTEGER) AS step, {big('tp + fp')} AS seen, {big('tp')} AS positives, round((CAST(tp AS DOUBLE) / (tp + fp)) / (CAST(p AS DOUBLE) / (p + n)), 6) AS lift
         FROM r, range(1, 11) x(i) WHERE (tp + fp) * 10 >= i * (p + n) AND (tp + fp - pos - neg) * 10 < i * (p + n)""")),
-    "model_split": (_q(lambda w: ml.stratified_split(w.scored().select("doc_id", "label"), "label", "doc_id")), sql("scored", """
+    "model_split": (q(lambda w: ml.stratified_split(w.scored().select("doc_id", "label"), "label", "doc_id")), sql("scored", """
         SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= round(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) AS is_test FROM scored""")),
-    "model_trees": (_q(_gbt), None),
+    "model_trees": (q(_gbt), None),
     # -- signal scoring ---------------------------------------------------------------------------------
-    "signal_contribution": (_q(lambda w: signals.contribution(w.entity_flags(), POINTS)), sql("flags", " UNION ALL ".join(
+    "signal_contribution": (q(lambda w: signals.contribution(w.entity_flags(), POINTS)), sql("flags", " UNION ALL ".join(
         f"SELECT '{c}' AS signal, {big(f'sum({c})')} AS records_with_signal, {p} AS pts_per_record, {big(f'sum({c}) * {p}')} AS total_pts_contribution FROM flags" for c, p in POINTS.items()))),
-    "signal_ablation": (_q(lambda w: signals.ablation(flags(w), POINTS)), sql("flags", " UNION ALL ".join(
+    "signal_ablation": (q(lambda w: signals.ablation(flags(w), POINTS)), sql("flags", " UNION ALL ".join(
         f"SELECT '{c}' AS signal, round(avg({INTENT}) - avg({INTENT} - {c} * {p}), 6) AS score_loss_if_removed FROM flags" for c, p in POINTS.items()))),
-    "signal_coverage": (_q(lambda w: signals.coverage(w.entity_flags(), list(POINTS), ["has_views", "has_clicks", "has_signups"])), sql("flags", f"""
+    "signal_coverage": (q(lambda w: signals.coverage(w.entity_flags(), list(POINTS), ["has_views", "has_clicks", "has_signups"])), sql("flags", f"""
         SELECT count(*) AS records, count(*) FILTER (WHERE {N_FLAGS} >= 1) AS at_least_1, count(*) FILTER (WHERE {N_FLAGS} >= 2) AS at_least_2, count(*) FILTER (WHERE {N_FLAGS} >= 3) AS at_least_3,
                round(avg({N_FLAGS}), 6) AS avg_signals, count(*) FILTER (WHERE has_views + has_clicks + has_signups > 0) AS covered, round(avg(CASE WHEN has_views + has_clicks + has_signups > 0 THEN 1 ELSE 0 END), 6) AS coverage FROM flags""")),
-    "signal_lift": (_q(lambda w: signals.lift(flags(w), list(POINTS))), sql("flags", " UNION ALL ".join(
+    "signal_lift": (q(lambda w: signals.lift(flags(w), list(POINTS))), sql("flags", " UNION ALL ".join(
         f"SELECT '{c}' AS signal, round(avg({INTENT}) FILTER (WHERE {c} = 1), 6) AS avg_present, round(avg({INTENT}) FILTER (WHERE {c} = 0), 6) AS avg_absent, round(avg({INTENT}) FILTER (WHERE {c} = 1) - avg({INTENT}) FILTER (WHERE {c} = 0), 6) AS lift FROM flags" for c in POINTS))),
-    "signal_score_by_total": (_q(lambda w: signals.score_by_total(flags(w), list(POINTS))), sql("flags", f"SELECT {N_FLAGS} AS n_signals, count(*) AS records, round(avg({INTENT}), 6) AS avg_score FROM flags GROUP BY 1")),
+    "signal_score_by_total": (q(lambda w: signals.score_by_total(flags(w), list(POINTS))), sql("flags", f"SELECT {N_FLAGS} AS n_signals, count(*) AS records, round(avg({INTENT}), 6) AS avg_score FROM flags GROUP BY 1")),
 }
 
 assert not measures.guard(REGISTRY, ["win_rate", "net_revenue_retention", "revenue"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bizlens.plans import planning, signals
 from bizlens.registry.base_sql import sql
-from bizlens.registry.growth import _q
+from bizlens.registry.common import q
 from bizlens.registry.markets import CONV, RUNS
 from bizlens.session import scratch_path
 from bizlens.sources.warehouse import Warehouse
@@ -102,20 +102,20 @@ def _plan_twin() -> str:
 CLOSED = "(SELECT date_trunc('day', max(ts) - INTERVAL 1 DAY) FROM mentions)"
 
 QUERIES = {
-    "stream_source_health": (_q(_health), RUNS + """
+    "stream_source_health": (q(_health), RUNS + """
         SELECT source, count(*) AS runs, count(*) FILTER (WHERE status <> 'ok') AS failures,
                date_sub('second', max(ts) FILTER (WHERE status = 'ok'), (SELECT max(ts) FROM runs)) / 3600.0 > 1 AS silent FROM runs GROUP BY source"""),
-    "stream_signals_per_day": (_q(_per_day), sql("mentions", "SELECT day, bucket AS rule, count(*) AS signals FROM mentions GROUP BY ALL")),
-    "stream_mention_counts": (_q(_counts), sql("mentions", f"SELECT day, entity, count(*) AS n FROM mentions WHERE ts < {CLOSED} GROUP BY ALL")),
-    "stream_spikes": (_q(_spikes), sql("mentions", f"""
+    "stream_signals_per_day": (q(_per_day), sql("mentions", "SELECT day, bucket AS rule, count(*) AS signals FROM mentions GROUP BY ALL")),
+    "stream_mention_counts": (q(_counts), sql("mentions", f"SELECT day, entity, count(*) AS n FROM mentions WHERE ts < {CLOSED} GROUP BY ALL")),
+    "stream_spikes": (q(_spikes), sql("mentions", f"""
         , daily AS (SELECT entity, day, count(*) AS n FROM mentions WHERE ts < {CLOSED} GROUP BY ALL),
         b AS (SELECT *, CAST(coalesce(sum(n) OVER w, 0) AS DOUBLE) AS s, CAST(coalesce(sum(n * n) OVER w, 0) AS DOUBLE) AS q FROM daily
               WINDOW w AS (PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
         c AS (SELECT *, (n - s / 14) / nullif(sqrt(greatest((q - s * s / 14) / 13, 0)), 0) AS z FROM b)
         SELECT entity, day, n, round(z, 6) AS z FROM c WHERE z > 2""".strip())),
-    "stream_unique_ingest": (_q(_unique), "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events"),
-    "stream_convergence": (_q(_convergence), sql("mentions", CONV + " SELECT entity, window_end, n_sources, n_buckets, rule FROM conv")),
-    "stream_plan": (_q(_plan), _plan_twin()),
-    "stream_quiet_days": (_q(_quiet_days), sql("mentions", """
+    "stream_unique_ingest": (q(_unique), "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events"),
+    "stream_convergence": (q(_convergence), sql("mentions", CONV + " SELECT entity, window_end, n_sources, n_buckets, rule FROM conv")),
+    "stream_plan": (q(_plan), _plan_twin()),
+    "stream_quiet_days": (q(_quiet_days), sql("mentions", """
         SELECT CAST(DATE '2023-12-25' + CAST(i AS INTEGER) AS DATE) AS day FROM range(43) x(i) WHERE DATE '2023-12-25' + CAST(i AS INTEGER) NOT IN (SELECT day FROM mentions WHERE bucket = 'risk')""")),
 }

@@ -28,10 +28,12 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 
 def refresh(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the table, or only the partitions present in ``df``; running it twice changes nothing."""
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
-    writer.parquet(path)
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return
+    # Rows of a partition are brought together for few files; AQE splits a partition that is too large for one task.
+    rows = df.hint("rebalance", *partition_by)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
