@@ -69,11 +69,11 @@ def test_clean_drops_junk_and_relabels(make):
 
 
 def test_entity_tags_with_stop_terms(make):
-    docs = make([(1, "Tomato growers: Red Star wins, red star grows. Tomato!"), (2, "nothing here"), (3, "")], "id int, t string")
-    terms = make([("red star", "Red Star Seeds"), ("tomato", "Tomato")], "term string, entity string")
-    stop = make([("tomato",)], "term string")
+    docs = make([(1, "Pepper growers: Red Star wins, red star grows. Pepper!"), (2, "nothing here"), (3, "")], "id int, t string")
+    terms = make([("red star", "Red Star Seeds"), ("pepper", "Pepper")], "term string, entity string")
+    stop = make([("pepper",)], "term string")
     assert rows(text.tag_entities(docs, "id", "t", terms, stop, upto=2)) == [(1, "red star", "Red Star Seeds", 2)]
-    assert rows(text.tag_entities(docs, "id", "t", terms, None, upto=1)) == [(1, "tomato", "Tomato", 2)]
+    assert rows(text.tag_entities(docs, "id", "t", terms, None, upto=1)) == [(1, "pepper", "Pepper", 2)]
 
 
 @pytest.mark.parametrize("batch", [2, 64])
