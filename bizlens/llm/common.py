@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,7 +18,24 @@ from bizlens.session import scratch_path
 STEP_BYTES = 1 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, which need not have the repository on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_bizlens_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="bizlens-code-"), "bizlens_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "bizlens")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    sc.addPyFile(path)
+    sc._bizlens_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -7,6 +7,9 @@ taken as often as its lengths last. Pieces then look up their place by their ran
 
 from __future__ import annotations
 
+import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +24,8 @@ from bizlens.llm.common import keyed, stored
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task remembers; a bound on memory only, words beyond it are encoded again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
+DOCS_AT_ONCE = 500
 
 
 def fullest(counts: dict[int, int], room: int, most: list[int]) -> dict[int, int]:
@@ -70,47 +74,65 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return plan
 
 
-class WordIds(dict):
-    """Ids of a run of non-space bytes as little-endian 32-bit words. White space ends a token in this vocabulary, so
-    the runs of a text are encoded apart and each distinct run once."""
+#: Fixed values of the vocabulary file: its words, once a text of only these characters is in lower case.
+LATIN = re.compile(r"[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00ff]+|[0-9]|[^\t-\r a-z0-9\u00df-\u00ff]+")
+
+
+class WordIds:
+    """Ids of texts as little-endian 32-bit words, each distinct word encoded by the tokenizer once and remembered.
+
+    The tokenizer drops white space, so no token spans it. A text of Latin letters is cut further into the
+    words of the vocabulary's own pattern after lower-casing; any other text, and one that may hold a special token, only
+    at ASCII white space.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        for word, found in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)):
-            self[word] = np.array(found.ids, "<u4").tobytes()
+    @staticmethod
+    def words(text: str) -> list[str]:
+        if "<|" not in text and LATIN.fullmatch(text):
+            return LATIN_WORDS.findall(text.lower())
+        return re.split(r"[\t-\r ]+", text)
 
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "replace").split()
-        if new := [w for w in dict.fromkeys(words) if w not in self]:
-            self.learn(new)
-            if any(w not in self for w in words):
-                self.learn(list(dict.fromkeys(words)))
-        return b"".join([self[w] for w in words])
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        found = self.tokenizer.encode_batch_fast([w.encode("utf-8", "replace").decode() for w in new], add_special_tokens=False)
+        fresh = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(new, found)}
+        get = self.known.get
+        out = [b"".join([x if (x := get(w)) is not None else fresh[w] for w in words]) for words in cut]
+        if len(self.known) < CACHE_WORDS:
+            self.known.update((w, x) for w, x in fresh.items() if len(w) <= 64)
+        return out
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so what it remembers lasts over tasks."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written once: ``row`` (number of the document's row), ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end, step = WordIds(vocabulary), np.uint32(END_ID).tobytes(), 4 * capacity
+        words, end, step = word_ids(vocabulary), np.uint32(END_ID).tobytes(), 4 * capacity
         for batch in batches:
-            out = []
-            for row, doc_id, text in zip(batch["row"], batch["doc_id"], batch["text"]):
-                ids = words.encode(text) + end
-                out += [(row, doc_id, k, at // 4, (min(at + step, len(ids)) - at) // 4, zlib.crc32(ids[at:at + step]))
-                        for k, at in enumerate(range(0, len(ids), step))]
-            yield pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            for lo in range(0, len(batch), DOCS_AT_ONCE):
+                some, out = batch.iloc[lo:lo + DOCS_AT_ONCE], []
+                for row, doc_id, ids in zip(some["row"], some["doc_id"], words.encode(some["text"].tolist())):
+                    ids += end
+                    out += [(row, doc_id, k, at // 4, (min(at + step, len(ids)) - at) // 4, zlib.crc32(ids[at:at + step]))
+                            for k, at in enumerate(range(0, len(ids), step))]
+                yield pd.DataFrame(out, columns=["row", "doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
     rows = keyed(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return stored(rows.mapInPandas(cut, "row long, doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
