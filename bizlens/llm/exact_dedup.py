@@ -44,11 +44,11 @@ def recipes(cut: DataFrame, bits: int = 64) -> DataFrame:
     bits, and ``bits`` lets tests fill it.
     """
     distinct = cut.select(F.explode("chunks").alias("chunk")).distinct().withColumn("h", _hash(F.col("chunk"), bits))
-    doubled = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    shared = stored(distinct.join(doubled, "h"), "shared-hashes")
+    doubled = stored(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "shared-hashes")
     hashes = F.transform("chunks", lambda c: _hash(c, bits))
-    if shared.isEmpty():
+    if doubled.isEmpty():
         return cut.select("row", "doc_id", "text_sha256", hashes.alias("recipe"))
+    shared = stored(distinct.join(doubled, "h"), "shared-chunks")
     # A content's ordinal is its place among the contents of its hash, found by counting the smaller ones.
     other = shared.select("h", F.col("chunk").alias("less"))
     ordinal = shared.join(other, "h").groupBy("h", "chunk").agg(F.sum((F.col("less") < F.col("chunk")).cast("int")).alias("ordinal"))
