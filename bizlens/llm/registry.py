@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlens.llm import bpe, exact_dedup, language, packing, quality
+from bizlens.llm import bpe, exact_dedup, language, packing, quality, rabitq, simhash
 from bizlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_rabitq(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return rabitq.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.identify(docs, language.fit(docs))
@@ -33,6 +38,10 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), width=4, distance=4)
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 4096)
 
@@ -55,8 +64,10 @@ FROM n
 """
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_rabitq": (op1_rabitq, None),
     "op2_language": (op2_language, None),
     "op4_quality": (op4_quality, None),
+    "op5_simhash": (op5_simhash, None),
     "op6_packing": (op6_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op10_bpe": (op10_bpe, None),
