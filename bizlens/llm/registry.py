@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlens.llm import bpe, exact_dedup, language, packing, quality, rabitq, simhash
+from bizlens.llm import bpe, exact_dedup, language, packing, quality, rabitq, simhash, suffix_dedup
 from bizlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,10 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"), window=100)
+
+
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -70,5 +74,6 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op5_simhash": (op5_simhash, None),
     "op6_packing": (op6_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
+    "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_bpe": (op10_bpe, None),
 }
