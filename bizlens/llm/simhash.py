@@ -222,7 +222,8 @@ def found(run: np.ndarray, probe: np.ndarray, fp: np.ndarray, distance: int) ->
 
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text",
                     block: int = BLOCK, carry: tuple[Column, ...] = ()) -> DataFrame:
-    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``, and the ``carry`` columns.
+    """One row per input row: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``, ``root`` (a
+    number of the component, also where its ids are null), and the ``carry`` columns.
 
     Fingerprints link at ``distance`` or fewer differing bits; a component holds all that such links reach. A null text
     counts as empty; texts without words have fingerprint zero and link like others. Repeated rows share a
@@ -236,5 +237,5 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, id_col:
     linked = components(links(distinct.select("fp"), distance, block))
     roots = distinct.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = roots.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *extra)
+    ids = roots.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
+    return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *extra)
