@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizlens.llm import bpe, exact_dedup, language, packing, quality, rabitq, simhash, suffix_dedup
+from bizlens.llm import bpe, exact_dedup, language, lm_score, packing, quality, rabitq, simhash, suffix_dedup
 from bizlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.score(table(spark, folder, "documents"))
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.classify(docs, quality.fit(docs, table(spark, folder, "labels")))
@@ -70,6 +74,7 @@ FROM n
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_rabitq": (op1_rabitq, None),
     "op2_language": (op2_language, None),
+    "op3_lm_score": (op3_lm_score, None),
     "op4_quality": (op4_quality, None),
     "op5_simhash": (op5_simhash, None),
     "op6_packing": (op6_packing, None),
