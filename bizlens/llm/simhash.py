@@ -79,6 +79,8 @@ def signed(x: int) -> int:
 
 def deal_bits(sample: np.ndarray, parts: int) -> list[tuple[int, ...]]:
     """Bits into ``parts`` sets of nearly equal size, each grown from a seed by its most correlated free bit."""
+    if not len(sample):
+        return [tuple(range(k, BITS, parts)) for k in range(parts)]
     on = (sample[:, None] >> np.arange(BITS, dtype=np.uint64) & np.uint64(1)).astype(np.float64)
     on -= on.mean(0)
     spread = np.sqrt((on * on).mean(0))
