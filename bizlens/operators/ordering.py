@@ -1,27 +1,24 @@
 """Shares, ranks, running totals, top-k and history windows.
 
 Scale rules kept here:
-* windows without partition keys run only on frames whose row count was checked;
+* a global order is dealt by ranges of all its columns, whatever the size; no window runs over a whole frame;
 * a key that holds a large part of the rows is split by time before its window runs;
 * top-k per key keeps ``row_number() <= k`` right above the window, which Spark limits before the shuffle.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from bizlens.functions.metrics import rate
 from bizlens.session import materialise
 
-SMALL_FRAME = 100_000
-RANGE_BUCKETS = 200
-
 
 def share(df: DataFrame, value: str, out: str, by: Sequence[str] = (), digits: int | None = 1) -> DataFrame:
     """Percent of the total of ``value`` (within ``by`` when given) on an aggregated frame.
@@ -41,65 +38,60 @@ def shares(df: DataFrame, columns: Mapping[str, str], digits: int = 1) -> DataFr
     return df.withColumns({o: rate(F.col(v), totals[o], digits=digits) for o, v in columns.items()})
 
 
-def running_total(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Mapping[str, str], by: Sequence[str] = (),
-                  small: int = SMALL_FRAME, buckets: int = RANGE_BUCKETS) -> DataFrame:
-    """Exact running sums over one global order (one order per ``by`` group when given).
+def same(a: Sequence[Column], b: Sequence[Column]) -> Column:
+    """All pairs equal, NULL to NULL as well."""
+    return reduce(lambda x, y: x & y, [p.eqNullSafe(q) for p, q in zip(a, b, strict=True)])
+
+
+def running_total(df: DataFrame, order: Sequence[tuple[str, bool]], sums: Mapping[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Exact running sums over one global order (one order per ``by`` group when given); NULLs come last.
 
-    ``order`` lists (column, descending); the first column is numeric and not null, and all
-    together identify a row (of its group). ``sums`` maps output to summed column. The frame is computed once into
-    checkpoint storage and counted: up to ``small`` rows one window is enough; beyond it
-    rows are cut into value ranges, ranges get their offset from a table of at most
-    ``buckets + 1`` rows per group, and only the window inside a range is left.
+    ``order`` lists (column, descending) and ``sums`` maps output to summed column (a NULL adds nothing). Rows are
+    dealt by ranges of all order columns, so a value that many rows share is split by the next column, and the number of
+    ranges follows the session's shuffle partitions. The dealt rows are written to checkpoint storage with their range number;
+    each range gets its offset from one row per range (and group), and only the window inside a range is left. Rows that tie on
+    all order columns count in any order.
     """
-    df = materialise(df)
-    sort = [F.col(c).desc() if desc else F.col(c).asc() for c, desc in order]
-    if df.count() <= small:
-        w = (Window.partitionBy(*by) if by else Window).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({o: F.sum(v).over(w) for o, v in sums.items()})
-
-    lead, desc = order[0]
-    cuts = sorted(set(df.approxQuantile(lead, [i / buckets for i in range(1, buckets)], 0.1 / buckets)))
-    ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=lead, outputCol="_range").transform(df)
-    df = ranged.withColumn("_range", F.col("_range").cast("int"))
-    totals = df.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
-    ranges = F.col("_range").desc() if desc else F.col("_range")
-    before = (Window.partitionBy(*by) if by else Window).orderBy(ranges).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums])
+    sort = [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_last() for c, desc in order]
+    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in by], *sort).withColumn("_range", F.spark_partition_id())
+    dealt = materialise(dealt)
+    totals = dealt.groupBy(*by, "_range").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_range").alias("_r"),
+                            *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_b_{o}") for o in sums])
     inside = Window.partitionBy(*by, "_range").orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({f"_i_{o}": F.sum(v).over(inside) for o, v in sums.items()}).join(offsets, [*by, "_range"])
-    out = out.withColumns({o: F.col(f"_i_{o}") + F.col(f"_b_{o}") for o in sums})
-    return out.select(*[c for c in df.columns if c != "_range"], *sums)
+    run = dealt.withColumns({f"_i_{o}": F.coalesce(F.sum(v).over(inside), F.lit(0)) for o, v in sums.items()})
+    out = run.join(offsets, same([F.col("_range"), *[F.col(c) for c in by]], [F.col("_r"), *[F.col(f"_g_{c}") for c in by]]))
+    return out.select(*df.columns, *[(F.col(f"_i_{o}") + F.col(f"_b_{o}")).alias(o) for o in sums])
 
 
-def rank_by(df: DataFrame, ranks: Mapping[str, str], small: int = SMALL_FRAME) -> DataFrame:
-    """Independent descending ranks (ties share a rank): ``{out: column}``.
+def rank_by(df: DataFrame, ranks: Mapping[str, str]) -> DataFrame:
+    """Independent descending ranks (ties share a rank, NULLs come last): ``{out: column}``.
 
     Each rank is computed on distinct values with their counts, so ties of any size stay one row.
     """
     df = materialise(df)
-    if df.count() <= small:
-        return df.withColumns({o: F.rank().over(Window.orderBy(F.col(c).desc())) for o, c in ranks.items()})
     for out, c in ranks.items():
         counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = running_total(counts, [(c, True)], {"_upto": "_n"}, small=small)
-        df = df.join(upto.select(c, (F.col("_upto") - F.col("_n") + 1).cast("int").alias(out)), c)
+        upto = running_total(counts, [(c, True)], {"_upto": "_n"})
+        upto = upto.select(F.col(c).alias("_value"), (F.col("_upto") - F.col("_n") + 1).cast("int").alias(out))
+        df = df.join(upto, F.col(c).eqNullSafe(F.col("_value"))).drop("_value")
     return df
 
 
-def pareto(df: DataFrame, key: str, value: str, digits: int = 2, small: int = SMALL_FRAME) -> DataFrame:
+def pareto(df: DataFrame, key: str, value: str, digits: int = 2) -> DataFrame:
     """Aggregated rows in descending order with their share and the cumulative share of the total."""
-    run = running_total(df, [(value, True), (key, False)], {"cum_value": value}, small=small)
-    total = run.agg(F.max("cum_value")).scalar()
+    run = materialise(running_total(df, [(value, True), (key, False)], {"cum_value": value}))
+    total = run.agg(F.sum(value)).scalar()
     return run.withColumns({
         "share_pct": rate(F.col(value), total, digits=digits),
         "cum_share_pct": rate(F.col("cum_value"), total, digits=digits),
     }).drop("cum_value")
 
 
-def concentration(df: DataFrame, key: str, value: str, steps: int = 10, small: int = SMALL_FRAME) -> DataFrame:
+def concentration(df: DataFrame, key: str, value: str, steps: int = 10) -> DataFrame:
     """Top x percent of keys against the share of ``value`` they hold, for ``steps`` equal cuts."""
-    run = running_total(df.withColumn("_one", F.lit(1)), [(value, True), (key, False)],
-                        {"pos": "_one", "cum_value": value}, small=small)
+    run = materialise(running_total(df.withColumn("_one", F.lit(1)), [(value, True), (key, False)], {"pos": "_one", "cum_value": value}))
     n = run.agg(F.count(F.lit(1))).scalar()
     total = run.agg(F.sum(value)).scalar()
     step = F.ceil(F.col("pos").cast("double") * F.lit(steps) / n).cast("int")
@@ -120,13 +112,15 @@ def feed(df: DataFrame, where: Column | None, order: Sequence[Column], page: int
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
-    """The row with the highest ``order`` values per key.
+    """The row with the highest ``order`` values per key; rows that tie on all of them are told apart by a hash of the row.
 
-    ``max_by`` combines on the map side, so a hot key never meets in one task.
+    The rank filter is applied in each task before the shuffle, so one row per key and task moves, and no strings are sorted
+    unless they are in ``order``.
     """
     rest = [c for c in (keep or df.columns) if c not in keys]
-    picked = F.max_by(F.struct(*rest), F.struct(*order))
-    return df.groupBy(*keys).agg(picked.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    plain = [c for c in df.columns if not isinstance(df.schema[c].dataType, MapType)]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.xxhash64(*plain))
+    return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") == 1).select(*keys, *rest)
 
 
 def last_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 10, pos: str = "recency") -> DataFrame:
@@ -139,16 +133,17 @@ def prior_events(df: DataFrame, key: str, day: str, tie: Sequence[str], flag: Co
     """Flagged rows of the same key before this row.
 
     Whole earlier days come from a per-day total; only rows of one key and one day share a window,
-    which splits a key that owns a large part of the table.
+    which splits a key that owns a large part of the table. Rows without a key form one group; a missing day
+    comes after all others.
     """
     keyed = df.withColumn("_f", F.coalesce(flag.cast("long"), F.lit(0)))
     daily = keyed.groupBy(key, day).agg(F.sum("_f").alias("_d"))
-    before = Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    daily = daily.select(key, day, F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_before"))
+    before = Window.partitionBy(key).orderBy(F.col(day).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.select(F.col(key).alias("_key"), F.col(day).alias("_day"), F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_before"))
     same_day = Window.partitionBy(key, day).orderBy(*tie).rowsBetween(Window.unboundedPreceding, -1)
     within = keyed.withColumn("_within", F.coalesce(F.sum("_f").over(same_day), F.lit(0)))
-    joined = within.join(daily, [key, day])
-    return joined.withColumn(out, F.col("_before") + F.col("_within")).drop("_f", "_before", "_within")
+    joined = within.join(daily, same([F.col(key), F.col(day)], [F.col("_key"), F.col("_day")]))
+    return joined.withColumn(out, F.col("_before") + F.col("_within")).drop("_f", "_key", "_day", "_before", "_within")
 
 
 def baseline_z(df: DataFrame, keys: Sequence[str], day: str, value: str, days: int = 30) -> DataFrame:
@@ -184,15 +179,15 @@ def diversify(df: DataFrame, source: str, newest: Sequence[Column], size: int =
     return dealt.orderBy("turn", *newest).limit(size)
 
 
-def at_or_above_fraction(df: DataFrame, score: str, frac: float, small: int = SMALL_FRAME) -> Column:
+def at_or_above_fraction(df: DataFrame, score: str, frac: float) -> Column:
     """The lowest score inside the top ``frac`` of rows (ties at the edge belong to it), as a scalar."""
     counts = df.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    run = running_total(counts, [(score, True)], {"_upto": "_n"}, small=small)
+    run = running_total(counts, [(score, True)], {"_upto": "_n"})
     n = run.agg(F.sum("_n")).scalar()
     inside = run.filter(F.col("_upto") - F.col("_n") < F.ceil(n * F.lit(frac)))
     return inside.agg(F.min(score)).scalar()
 
 
-def top_fraction(df: DataFrame, score: str, frac: float, small: int = SMALL_FRAME) -> DataFrame:
+def top_fraction(df: DataFrame, score: str, frac: float) -> DataFrame:
     """Rows in the top ``frac`` by score, including ties at the edge; no global sort of the rows."""
-    return df.filter(F.col(score) >= at_or_above_fraction(df, score, frac, small))
+    return df.filter(F.col(score) >= at_or_above_fraction(df, score, frac))

@@ -61,18 +61,18 @@ def thin_margin(margins: DataFrame, threshold: float = 70.0, good: float | None
         "is_thin": m < F.lit(threshold), "colour": rag(m, threshold, threshold if good is None else good)})
 
 
-def customer_profit(lines: DataFrame, small: int = ordering.SMALL_FRAME) -> DataFrame:
+def customer_profit(lines: DataFrame) -> DataFrame:
     """Revenue and contribution per customer with both ranks and their difference."""
     g = lines.groupBy("customer_key").agg(
         _total("amount_expected").alias("revenue"), _total(_margin()).alias("contribution"))
-    ranked = rank_by(g, {"revenue_rank": "revenue", "contribution_rank": "contribution"}, small)
+    ranked = rank_by(g, {"revenue_rank": "revenue", "contribution_rank": "contribution"})
     return ranked.withColumn("rank_delta", F.col("revenue_rank") - F.col("contribution_rank"))
 
 
-def contribution_concentration(lines: DataFrame, steps: int = 10, small: int = ordering.SMALL_FRAME) -> DataFrame:
+def contribution_concentration(lines: DataFrame, steps: int = 10) -> DataFrame:
     """Top x percent of customers against their share of contribution."""
     g = lines.groupBy("customer_key").agg(F.sum(_margin()).alias("contribution"))
-    return ordering.concentration(g, "customer_key", "contribution", steps, small)
+    return ordering.concentration(g, "customer_key", "contribution", steps)
 
 
 def receivables(lines: DataFrame, as_of: dt.date, by: Sequence[str] = ("customer_key",), not_due: bool = False) -> DataFrame:

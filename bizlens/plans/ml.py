@@ -14,9 +14,8 @@ from pyspark.sql.window import Window
 
 from bizlens.functions.bands import classify
 from bizlens.functions.metrics import ratio
-from bizlens.operators import ordering
 from bizlens.operators.aggregate import histogram
-from bizlens.operators.ordering import at_or_above_fraction, running_total
+from bizlens.operators.ordering import at_or_above_fraction, running_total, same
 
 BASE_YEAR = 2025
 
@@ -71,26 +70,31 @@ def top_features(model: PipelineModel, df: DataFrame, k: int = 15) -> DataFrame:
 def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2) -> DataFrame:
     """Mark an exact, repeatable ``test`` share of each label (column ``is_test``).
 
-    Rows are ordered by a hash of the id. Its first digits cut the rows into even ranges; whole ranges
-    are in or out, and only the one range at the edge is ranked row by row.
+    Rows are ordered by a hash of the id, whose first digits cut them into even ranges. Whole ranges are in or out by
+    their counts; only the rows of the one range per label at the edge are ranked. Rows without a label form a stratum of their
+    own; rows without an id share one hash and come in the order of the whole row.
     """
-    h = F.md5(F.col(key).cast("string"))
+    h = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     marked = df.withColumns({"_h": h, "_b": F.substring(h, 1, 4)})
     counts = marked.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     in_label = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumns({
         "_before": F.coalesce(F.sum("_n").over(in_label), F.lit(0)),
         "_want": F.round(F.sum("_n").over(Window.partitionBy(label)) * F.lit(test), 0).cast("bigint")})
-    joined = marked.join(counts, [label, "_b"])
-    pos = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key))
-    return joined.withColumn("is_test", (F.col("_before") + pos) <= F.col("_want")).drop("_h", "_b", "_n", "_before", "_want")
+    counts = counts.select(F.col(label).alias("_label"), F.col("_b").alias("_range"), "_n", "_before", "_want")
+    joined = marked.join(counts, same([F.col(label), F.col("_b")], [F.col("_label"), F.col("_range")]))
+    edge = (F.col("_before") < F.col("_want")) & (F.col("_before") + F.col("_n") > F.col("_want"))
+    pos = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key, F.xxhash64(*df.columns)))
+    whole = joined.filter(~edge).withColumn("is_test", F.col("_before") + F.col("_n") <= F.col("_want"))
+    ranked = joined.filter(edge).withColumn("is_test", F.col("_before") + pos <= F.col("_want"))
+    return whole.unionByName(ranked).drop("_h", "_b", "_label", "_range", "_n", "_before", "_want")
 
 
-def _curve(df: DataFrame, score_col: str, label: str, small: int) -> DataFrame:
+def _curve(df: DataFrame, score_col: str, label: str) -> DataFrame:
     """Per distinct score: positives, negatives and their counts at or above it."""
     g = df.groupBy(score_col).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("_n")).withColumn("neg", F.col("_n") - F.col("pos")).drop("_n")
-    return running_total(g, [(score_col, True)], {"tp": "pos", "fp": "neg"}, small=small)
+    return running_total(g, [(score_col, True)], {"tp": "pos", "fp": "neg"})
 
 
 def _outranked() -> Column:
@@ -98,17 +102,17 @@ def _outranked() -> Column:
     return F.col("neg").cast("double") * ((F.col("tp") - F.col("pos")).cast("double") + F.col("pos").cast("double") / 2.0)
 
 
-def auc(df: DataFrame, score_col: str = "score", label: str = "label", small: int = ordering.SMALL_FRAME) -> DataFrame:
+def auc(df: DataFrame, score_col: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve from per-score counts: exact, ties count half."""
-    c = _curve(df, score_col, label, small)
+    c = _curve(df, score_col, label)
     g = c.agg(F.sum(_outranked()).alias("w"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return g.select("p", "n", F.round(F.try_divide(F.col("w"), F.col("p").cast("double") * F.col("n").cast("double")), 8).alias("auc")).withColumnsRenamed(
         {"p": "positives", "n": "negatives"})
 
 
-def roc(df: DataFrame, score_col: str = "score", label: str = "label", small: int = ordering.SMALL_FRAME) -> DataFrame:
+def roc(df: DataFrame, score_col: str = "score", label: str = "label") -> DataFrame:
     """One point per distinct score: rates of all rows scored at or above it."""
-    c = _curve(df, score_col, label, small)
+    c = _curve(df, score_col, label)
     pos, neg = c.agg(F.sum("pos")).scalar(), c.agg(F.sum("neg")).scalar()
     return c.select(F.col(score_col).alias("threshold"), F.round(ratio(F.col("fp"), neg), 8).alias("fpr"), F.round(ratio(F.col("tp"), pos), 8).alias("tpr"))
 
@@ -145,9 +149,9 @@ def precision_at(df: DataFrame, threshold: float = 0.5, score_col: str = "score"
     return g.withColumn("precision", F.round(ratio(F.col("tp"), F.col("tp") + F.col("fp")), 8))
 
 
-def top_decile_lift(df: DataFrame, score_col: str = "score", frac: float = 0.1, small: int = ordering.SMALL_FRAME) -> DataFrame:
+def top_decile_lift(df: DataFrame, score_col: str = "score", frac: float = 0.1) -> DataFrame:
     """Mean score of the top fraction (ties at the edge included) over the mean of all."""
-    edge = at_or_above_fraction(df, score_col, frac, small)
+    edge = at_or_above_fraction(df, score_col, frac)
     s = F.col(score_col).cast("decimal(20,12)")
     flagged = df.select(s.alias("_s"), (F.col(score_col) >= edge).alias("_top"))
     g = flagged.agg(
@@ -156,12 +160,12 @@ def top_decile_lift(df: DataFrame, score_col: str = "score", frac: float = 0.1,
     return g.select("n_top", F.round("top", 8).alias("top_mean"), F.round("base", 8).alias("base_mean"), F.round(F.try_divide("top", "base"), 6).alias("lift"))
 
 
-def lift_curve(df: DataFrame, bins: int = 10, score_col: str = "score", label: str = "label", small: int = ordering.SMALL_FRAME) -> DataFrame:
+def lift_curve(df: DataFrame, bins: int = 10, score_col: str = "score", label: str = "label") -> DataFrame:
     """Cumulative positive rate of the best ``i / bins`` of rows over the overall rate.
 
     Rows with one score stay together: a step ends at the first score that reaches it.
     """
-    c = _curve(df, score_col, label, small).withColumn("seen", F.col("tp") + F.col("fp"))
+    c = _curve(df, score_col, label).withColumn("seen", F.col("tp") + F.col("fp"))
     n, pos = c.agg(F.sum(F.col("pos") + F.col("neg"))).scalar(), c.agg(F.sum("pos")).scalar()
     # A score closes every step that its rows cross.
     steps = c.withColumn("_all", n).withColumn("step", F.explode(F.filter(
@@ -178,9 +182,9 @@ def drift(history: DataFrame, drop: float = 0.02) -> DataFrame:
     return moved.withColumn("alert", F.coalesce(F.col("change") < -F.lit(drop), F.lit(False)))
 
 
-def auc_by(df: DataFrame, by: str, score_col: str = "score", label: str = "label", small: int = ordering.SMALL_FRAME) -> DataFrame:
+def auc_by(df: DataFrame, by: str, score_col: str = "score", label: str = "label") -> DataFrame:
     """AUC per slice, for example per week."""
     g = df.groupBy(by, score_col).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("_n"))
-    c = running_total(g.withColumn("neg", F.col("_n") - F.col("pos")), [(score_col, True)], {"tp": "pos"}, by=[by], small=small)
+    c = running_total(g.withColumn("neg", F.col("_n") - F.col("pos")), [(score_col, True)], {"tp": "pos"}, by=[by])
     out = c.groupBy(by).agg(F.sum(_outranked()).alias("w"), F.sum("pos").cast("double").alias("p"), F.sum("neg").cast("double").alias("n"))
     return out.select(by, F.round(F.try_divide(F.col("w"), F.col("p") * F.col("n")), 8).alias("auc"))

@@ -70,8 +70,10 @@ def spread(df: DataFrame, key: str, flag: str = "is_won") -> DataFrame:
     a bounded top-2, ties by key).
     """
     rates = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(flag).alias("rate"))
-    best = rates.orderBy(F.col("rate").desc(), F.col(key)).limit(2).agg(
-        F.max("rate").alias("top"), F.min("rate").alias("second"), F.max_by(key, F.struct("rate", -F.col(key))).alias("top_key"))
+    two = rates.orderBy(F.col("rate").desc(), F.col(key)).limit(2).agg(F.collect_list(F.struct("rate", F.col(key).alias("key"))).alias("two"))
+    ordered = F.array_sort("two", lambda a, b: F.when(a["rate"] > b["rate"], -1).when(a["rate"] < b["rate"], 1).when(a["key"] < b["key"], -1).otherwise(1))
+    best = two.withColumn("two", ordered).select(F.try_element_at("two", F.lit(1)).alias("a"), F.try_element_at("two", F.lit(-1)).alias("b")).select(
+        F.col("a.rate").alias("top"), F.col("b.rate").alias("second"), F.col("a.key").alias("top_key"))
     rest = rates.agg(F.count(F.lit(1)).alias("members"), pctl(F.round("rate", 6), 0.5).alias("median"), F.min("rate").alias("bottom"))
     joined = best.unionByName(rest, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in ["members", "top_key", "top", "second", "median", "bottom"]])

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, tuple[Query, str | None]]:
-    from bizlens.registry import growth, markets, money, scoring, streams
+    from bizlens.registry import gates, growth, markets, money, scoring, streams
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (growth, money, scoring, markets, streams):
+    for module in (growth, money, scoring, markets, streams, gates):
         out.update(module.QUERIES)
     return out

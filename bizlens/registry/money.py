@@ -26,6 +26,12 @@ def _plan(w: Warehouse, **kw):
     return planning.production_plan(w.params(), w.forecast(), w.stock(), w.incoming(), year=YEAR, stock_order=STOCK_ORDER, **kw)
 
 
+def _uneven_forecast(w: Warehouse):
+    """The forecast with one more for every tenth product, so some channel sums match the plan and some do not."""
+    more = F.when(F.col("product_key") % 10 == 1, 1).otherwise(0)
+    return w.forecast().withColumn("qty", F.col("qty") + more)
+
+
 def _snapshots(w: Warehouse, days=(dt.date(2001, 1, 1), dt.date(2001, 2, 1))):
     """Two commits of the plan: as it is, then with higher sales."""
     path = scratch_path(w.spark, "snapshots")
@@ -155,9 +161,9 @@ QUERIES = {
     "plan_headline": (q(lambda w: planning.headline(_plan(w))), plan_sql("""
         SELECT round(CAST(sum(CAST(production_need AS DECIMAL(18,4))) AS DOUBLE), 0) AS total_to_produce, count(*) FILTER (WHERE status = 'red') AS varieties_red,
                count(*) FILTER (WHERE production_need > 0) AS varieties_needing_production, count(*) AS rows_active FROM plan""")),
-    "plan_channel_mismatches": (q(lambda w: planning.channel_mismatches(_plan(w), w.forecast())), plan_sql("""
+    "plan_channel_mismatches": (q(lambda w: planning.channel_mismatches(_plan(w), _uneven_forecast(w))), plan_sql("""
         SELECT p.product_key, p.sales_year, p.expected_sales, CAST(coalesce(sum(f.qty), 0) AS DOUBLE) AS channel_sum FROM plan p
-        LEFT JOIN forecast f ON f.product_key = p.product_key AND f.sales_year = p.sales_year WHERE p.sales_year IS NOT NULL GROUP BY ALL HAVING abs(p.expected_sales - coalesce(sum(f.qty), 0)) > 0.05""")),
+        LEFT JOIN (SELECT * REPLACE (CASE WHEN product_key % 10 = 1 THEN qty + 1 ELSE qty END AS qty) FROM forecast) f ON f.product_key = p.product_key AND f.sales_year = p.sales_year WHERE p.sales_year IS NOT NULL GROUP BY ALL HAVING abs(p.expected_sales - coalesce(sum(f.qty), 0)) > 0.05""")),
     "plan_at_risk": (q(lambda w: planning.at_risk(_plan(w))), plan_sql("""
         SELECT *, CASE WHEN production_need > 0 THEN 'produce now' ELSE 'watch' END AS action, round(red_threshold - ending_stock, 4) AS below_line FROM plan WHERE status = 'red'""")),
     "plan_what_if": (q(lambda w: planning.what_if(_plan(w), UPLIFTS, capacity=5000)), plan_sql(f"""

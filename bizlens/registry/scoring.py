@@ -39,7 +39,9 @@ def star(w: Warehouse) -> Star:
         "calls": lambda: w.calls().withColumn("month_name", month("call_date")),
         "meetings": meetings,
         "deals": lambda: w.deals_wide().withColumn("month_name", month("created_date")),
-        "lines": w.lines, "scores": w.scored, "plan": lambda: _plan(w), "signals": entity_signals,
+        "lines": lambda: w.lines().withColumn("month_name", month("invoice_date")),
+        "recognized": lambda: w.lines().withColumn("month_name", month("recognition_date")),
+        "scores": w.scored, "plan": lambda: _plan(w), "signals": entity_signals,
     }
     dims = {"company": w.company(), "rep": w.rep(), "channel": w.dim_channel(), "stage": w.dim_stage(), "lost_reason": w.dim_lost_reason()}
     paths = {
@@ -83,12 +85,12 @@ def _gbt(w: Warehouse):
 
 
 def _numbers(w: Warehouse):
-    """Numbers registry: recompute the published figures and list those that do not hold."""
+    """Numbers registry: recompute the published figures and list those that do not hold (one of the three does)."""
     deals = w.deals()
     got = metric_rows({
         "deals": (deals, F.count(F.lit(1))), "won": (deals, F.sum("is_won")), "lost": (deals, F.sum("is_lost")),
-        "won_mrr": (deals, F.sum("mrr_usd"))})
-    published = inline_table(w.spark, [("deals", -1.0), ("won", -1.0), ("not_computed", 3.0)], "metric string, value double")
+        "won_mrr": (deals, F.sum("mrr_usd")), "lost_and_won": (deals, F.sum(F.col("is_won") * F.col("is_lost")))})
+    published = inline_table(w.spark, [("deals", -1.0), ("lost_and_won", 0.0), ("not_computed", 3.0)], "metric string, value double")
     return verify(got, published)
 
 
@@ -198,8 +200,20 @@ QUERIES = {
     "measures_by_channel": (_measures(" ".join([*DEAL_MEASURES, "volume_share", "won_mrr_share", "rebooking_trap_flag"]), ["channel_name"]), sql("deals_wide dim_channel", f"""
         SELECT channel_name, {DEAL_LIST}, {_r6('CAST(count(*) AS DOUBLE) / sum(count(*)) OVER ()')} AS volume_share, {_r6(dbl('sum(mrr_usd)') + ' / CAST(sum(sum(mrr_usd)) OVER () AS DOUBLE)')} AS won_mrr_share,
                CASE WHEN channel_name = 'Urgent desk' THEN 1.0::DOUBLE ELSE 0 END AS rebooking_trap_flag FROM deals_wide JOIN dim_channel USING (channel_key) GROUP BY 1""")),
-    "measures_by_band_month": (_measures(" ".join(DEAL_MEASURES), ["employee_band", "month_name"], where=lambda: F.col("region") == "ASIA", where_columns=["region"]), sql("deals_wide company", f"""
+    "measures_by_band_month": (_measures(" ".join(DEAL_MEASURES), ["employee_band", "month_name"], where={"region": lambda c: c == "ASIA"}), sql("deals_wide company", f"""
         SELECT employee_band, monthname(created_date) AS month_name, {DEAL_LIST} FROM deals_wide JOIN company USING (company_key) WHERE region = 'ASIA' GROUP BY ALL""")),
+    "measures_share_filtered": (_measures("volume_share won_mrr_share deals", ["industry"], where={"channel_name": lambda c: c == "Organic"}), sql("deals_wide company dim_channel", f"""
+        SELECT industry, {_r6("CAST(count(*) FILTER (WHERE channel_name = 'Organic') AS DOUBLE) / count(*)")} AS volume_share,
+               {_r6(dbl("sum(mrr_usd) FILTER (WHERE channel_name = 'Organic')") + ' / ' + dbl('sum(mrr_usd)'))} AS won_mrr_share, CAST(count(*) FILTER (WHERE channel_name = 'Organic') AS DOUBLE) AS deals
+        FROM deals_wide JOIN company USING (company_key) JOIN dim_channel USING (channel_key) GROUP BY 1 HAVING count(*) FILTER (WHERE channel_name = 'Organic') > 0""")),
+    "measures_lift_by_band": (_measures("sweet_spot_lift", ["employee_band"]), sql("deals_wide meetings company", f"""
+        , d AS (SELECT employee_band, sum(is_won) AS w FROM deals_wide JOIN company USING (company_key) GROUP BY 1),
+        m AS (SELECT employee_band, count(*) FILTER (WHERE meeting_status = 'Held') AS h FROM meetings JOIN company USING (company_key) GROUP BY 1),
+        r AS (SELECT employee_band, CAST(w AS DOUBLE) / nullif(h, 0) AS rate FROM d JOIN m USING (employee_band))
+        SELECT employee_band, {_r6("(SELECT rate FROM r WHERE employee_band = '6-20') - rate")} AS sweet_spot_lift FROM r""".strip())),
+    "measures_cancel_by_reason": (_measures("cancellation_share_of_losses lost_deals", ["lost_reason"]), sql("deals_wide dim_lost_reason", f"""
+        SELECT lost_reason, {_r6("(SELECT CAST(count(*) AS DOUBLE) FROM deals_wide WHERE is_lost = 1 AND lost_reason_key = 0) / nullif(sum(is_lost), 0)")} AS cancellation_share_of_losses, {dbl('sum(is_lost)')} AS lost_deals
+        FROM deals_wide JOIN dim_lost_reason USING (lost_reason_key) GROUP BY 1""")),
     "measures_cross_fact": (_measures(CROSS, ["industry"]), _cross_sql("industry", "industry")),
     "measures_cross_fact_wide": (_measures(CROSS, ["region", "employee_band"]), _cross_sql("region, employee_band", "region, employee_band")),
     "measures_segment_flags": (_measures("anti_icp_flag sweet_spot_lift cancellation_share_of_losses", ["industry"]), sql("deals_wide meetings company", f"""
@@ -223,7 +237,8 @@ QUERIES = {
                CAST(count(*) FILTER (WHERE status = 'red') AS DOUBLE) AS varieties_red, CAST(count(*) FILTER (WHERE production_need > 0) AS DOUBLE) AS needing_production FROM plan""")),
     "numbers_registry": (q(_numbers), sql("deals", """
         SELECT m AS metric, e AS expected, a AS actual FROM (
-            SELECT 'deals' AS m, -1.0::DOUBLE AS e, CAST(count(*) AS DOUBLE) AS a FROM deals UNION ALL SELECT 'won', -1.0, CAST(sum(is_won) AS DOUBLE) FROM deals UNION ALL SELECT 'not_computed', 3.0, NULL)""")),
+            SELECT 'deals' AS m, -1.0::DOUBLE AS e, CAST(count(*) AS DOUBLE) AS a FROM deals UNION ALL SELECT 'lost_and_won', 0.0, CAST(sum(is_won * is_lost) AS DOUBLE) FROM deals
+            UNION ALL SELECT 'not_computed', 3.0, NULL) WHERE a IS NULL OR abs(a - e) > 0.05""")),
     # -- report pages ---------------------------------------------------------------------------------
     "report_overview": (q(lambda w: report.dataset(star(w), REGISTRY, "overview")), sql("deals_wide dim_channel", f"""
         , t AS (SELECT count(*) AS n, sum(is_won) AS w, {dbl('sum(mrr_usd)')} AS m FROM deals_wide),

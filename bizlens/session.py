@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,11 +22,12 @@ def build_session(app: str = "bizlens", cores: str = "*", shuffle_partitions: in
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder for written intermediates: ``spark.checkpoint.dir``, a checkpoint folder set by the caller, or
+    a folder below the session's warehouse. A machine-local temporary folder is never used."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="bizlens-"))
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
     return named or sc.getCheckpointDir()
 
 

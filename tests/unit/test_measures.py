@@ -1,5 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
+
 
 from bizlens.plans import measures, report
 from bizlens.plans.measures import Star, evaluate
@@ -39,7 +39,7 @@ def test_shares_remove_the_channel_filter(star):
 def test_flags_filters_and_retention(star):
     assert rows(evaluate(star, REGISTRY, ["anti_icp_flag", "retention_rate", "mrr_per_dialer_hour"], ["industry"])) == [("Retail", 0.0, 1.0, None), ("Transport", 1.0, 0.0, 20.0)]
     assert rows(evaluate(star, REGISTRY, ["anti_icp_flag", "deals"])) == [(0.0, 4.0)]
-    only = evaluate(star, REGISTRY, ["deals", "cancellation_share_of_losses"], where=lambda: F.col("channel_group") == "Out", where_columns=["channel_group"])
+    only = evaluate(star, REGISTRY, ["deals", "cancellation_share_of_losses"], where={"channel_group": lambda c: c == "Out"})
     assert rows(only) == [(2.0, 1.0)]
 
 
@@ -48,6 +48,24 @@ def test_sweet_spot_and_cycle(star):
     assert rows(got) == [(pytest.approx(0.5 - 2 / 3), pytest.approx(10 / 3), 0.25)]
 
 
+def test_totals_ignore_the_filters_they_remove(star):
+    got = evaluate(star, REGISTRY, ["volume_share", "won_mrr_share", "deals"], where={"channel_name": lambda c: c == "SEO"})
+    assert rows(got) == [(0.5, pytest.approx(1 / 3), 2.0)]
+    cut = evaluate(star, REGISTRY, ["volume_share"], ["channel_name", "industry"], where={"channel_group": lambda c: c == "Out"})
+    assert rows(cut) == [("Rebook", "Transport", 1.0)]
+
+
+def test_fixed_conditions_stand_in_place_of_the_context(star):
+    got = {r["employee_band"]: r["sweet_spot_lift"] for r in evaluate(star, REGISTRY, ["sweet_spot_lift"], ["employee_band"]).collect()}
+    assert got == {"6-20": 0.0, "1-5": -0.5}
+    share = evaluate(star, REGISTRY, ["cancellation_share_of_losses"], ["lost_reason"])
+    assert rows(share) == [("Budget", 1.0), ("Cancelled", 1.0)]
+
+
+def test_parameters_of_domain_measures(star):
+    assert "top_decile_lift" not in measures.domain_measures() and "top_decile_lift" in measures.domain_measures(top=0.9)
+
+
 def test_unreachable_attribute_is_refused(star):
     with pytest.raises(ValueError):
         evaluate(star, REGISTRY, ["total_calls"], ["channel_name"])

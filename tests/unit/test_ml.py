@@ -22,10 +22,9 @@ def brute_auc(rs):
     return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_auc_against_all_pairs(scored, data, small):
-    assert ml.auc(scored, small=small).first()["auc"] == pytest.approx(brute_auc(data), abs=1e-7)
-    by = {r["slice"]: r["auc"] for r in ml.auc_by(scored, "slice", small=small).collect()}
+def test_auc_against_all_pairs(scored, data):
+    assert ml.auc(scored).first()["auc"] == pytest.approx(brute_auc(data), abs=1e-7)
+    by = {r["slice"]: r["auc"] for r in ml.auc_by(scored, "slice").collect()}
     assert by == {k: pytest.approx(brute_auc([r for r in data if r[3] == k]), abs=1e-7) for k in "xy"}
 
 
@@ -33,9 +32,8 @@ def test_auc_without_negatives_is_null(make):
     assert ml.auc(make([(0.5, 1)], "score double, label int")).first()["auc"] is None
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_roc_ends_at_one(scored, data, small):
-    points = {r["threshold"]: (r["fpr"], r["tpr"]) for r in ml.roc(scored, small=small).collect()}
+def test_roc_ends_at_one(scored, data):
+    points = {r["threshold"]: (r["fpr"], r["tpr"]) for r in ml.roc(scored).collect()}
     assert points[0.0] == (1.0, 1.0)
     pos, neg = sum(y for *_, y, _ in data), sum(1 - y for *_, y, _ in data)
     assert points[0.5] == (pytest.approx(sum(1 for _, s, y, _ in data if s >= 0.5 and not y) / neg, abs=1e-7),
@@ -55,16 +53,14 @@ def test_calibration_and_histogram_edges(make):
     assert rows(ml.score_hist(df, 2), "label", "bin", "n") == [(0, 0, 1), (1, 0, 1), (1, 1, 1)]
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_top_decile_includes_ties(make, small):
+def test_top_decile_includes_ties(make):
     df = make([(i, float(s)) for i, s in enumerate([9, 8, 8] + [1] * 17)], "id int, score double")
-    got = ml.top_decile_lift(df, small=small).first()
+    got = ml.top_decile_lift(df).first()
     assert got["n_top"] == 3 and got["top_mean"] == pytest.approx(25 / 3) and got["lift"] == pytest.approx((25 / 3) / (42 / 20), abs=1e-6)
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_lift_curve_ends_at_one(scored, small):
-    curve = {r["step"]: r["lift"] for r in ml.lift_curve(scored, small=small).collect()}
+def test_lift_curve_ends_at_one(scored):
+    curve = {r["step"]: r["lift"] for r in ml.lift_curve(scored).collect()}
     assert set(curve) == set(range(1, 11)) and curve[10] == 1.0
 
 
@@ -94,3 +90,9 @@ def test_trees_learn_a_rule_and_name_their_features(make):
     assert len(top) == 2 and top[0]["importance"] >= top[1]["importance"] > 0
     joined = ml.attach_scores(df, scored.filter("cvr <> '00000001'"))
     assert joined.count() == 400 and rows(joined.filter("prob is null"), "cvr") == [("00000001",)]
+
+
+def test_split_keeps_rows_without_label_or_id(make):
+    df = make([(k if k % 10 else None, [0, 1, None][k % 3]) for k in range(300)], "id int, label int")
+    out = ml.stratified_split(df, "label", "id").groupBy("label", "is_test").count().collect()
+    assert {(r["label"], r["is_test"]): r["count"] for r in out} == {(x, t): 20 if t else 80 for x in (0, 1, None) for t in (True, False)}

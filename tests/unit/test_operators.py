@@ -38,18 +38,17 @@ def test_one_row_and_steps(make):
     assert rows(aggregate.stack_steps([("first", a, F.count(F.lit(1))), ("second", b.filter("y > 9"), F.sum("y"))])) == [(1, "first", 2), (2, "second", 0)]
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_running_total_both_paths(make, small):
+def test_running_total_over_hot_values(make):
     rnd = random.Random(7)
     data = [(i, rnd.randint(-50, 50), rnd.randint(1, 9), rnd.choice("ab")) for i in range(400)]
     df = make(data, "id int, v int, n int, g string")
-    got = {r["id"]: r["run"] for r in ordering.running_total(df, [("v", True), ("id", False)], {"run": "n"}, small=small, buckets=7).collect()}
+    got = {r["id"]: r["run"] for r in ordering.running_total(df, [("v", True), ("id", False)], {"run": "n"}).collect()}
     total, want = 0, {}
     for i, v, n, _ in sorted(data, key=lambda r: (-r[1], r[0])):
         total += n
         want[i] = total
     assert got == want
-    by = {r["id"]: r["run"] for r in ordering.running_total(df, [("v", False), ("id", False)], {"run": "n"}, by=["g"], small=small, buckets=7).collect()}
+    by = {r["id"]: r["run"] for r in ordering.running_total(df, [("v", False), ("id", False)], {"run": "n"}, by=["g"]).collect()}
     sums, want = {"a": 0, "b": 0}, {}
     for i, v, n, g in sorted(data, key=lambda r: (r[1], r[0])):
         sums[g] += n
@@ -57,24 +56,21 @@ def test_running_total_both_paths(make, small):
     assert by == want
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_ranks_with_a_heavy_tie(make, small):
+def test_ranks_with_a_heavy_tie(make):
     data = [(i, 5.0 if i < 40 else float(i)) for i in range(60)]
-    got = {r["id"]: r["rk"] for r in ordering.rank_by(make(data, "id int, v double"), {"rk": "v"}, small=small).collect()}
+    got = {r["id"]: r["rk"] for r in ordering.rank_by(make(data, "id int, v double"), {"rk": "v"}).collect()}
     assert got == {i: 1 + sum(1 for _, o in data if o > v) for i, v in data}
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_pareto_and_concentration(make, small):
+def test_pareto_and_concentration(make):
     df = make([("a", 50), ("b", 30), ("c", 15), ("d", 5)], "k string, v int")
-    assert rows(ordering.pareto(df, "k", "v", small=small), "k", "cum_share_pct") == [("a", 50.0), ("b", 80.0), ("c", 95.0), ("d", 100.0)]
-    assert rows(ordering.concentration(df, "k", "v", 2, small=small)) == [(100.0, 100.0), (50.0, 80.0)]
+    assert rows(ordering.pareto(df, "k", "v"), "k", "cum_share_pct") == [("a", 50.0), ("b", 80.0), ("c", 95.0), ("d", 100.0)]
+    assert rows(ordering.concentration(df, "k", "v", 2)) == [(100.0, 100.0), (50.0, 80.0)]
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_top_fraction_keeps_ties(make, small):
+def test_top_fraction_keeps_ties(make):
     df = make([(i, float(s)) for i, s in enumerate([9, 8, 8, 8, 1, 1, 1, 1, 1, 1])], "id int, s double")
-    assert rows(ordering.top_fraction(df, "s", 0.2, small=small), "id") == [(0,), (1,), (2,), (3,)]
+    assert rows(ordering.top_fraction(df, "s", 0.2), "id") == [(0,), (1,), (2,), (3,)]
 
 
 def test_latest_and_last_n(make):
@@ -146,3 +142,38 @@ def test_anchor_and_numbers_gates(make):
     metrics = quality.metric_rows({"n": (got, F.count(F.lit(1))), "s": (got, F.sum("v"))})
     expected = make([("n", 2.0), ("s", 9.0), ("gone", 1.0)], "metric string, value double")
     assert rows(quality.verify(metrics, expected), "metric") == [("gone",), ("s",)]
+
+
+def test_running_total_with_nulls_and_equal_values(make):
+    data = [(i, None if i % 5 == 0 else 7.0, i % 3 if i % 3 else None) for i in range(400)]
+    df = make(data, "id int, v double, g int").withColumn("n", F.lit(1))
+    got = {r["id"]: r["run"] for r in ordering.running_total(df, [("v", True), ("id", False)], {"run": "n"}).collect()}
+    want = sorted(data, key=lambda r: (r[1] is None, r[0]))
+    assert [got[r[0]] for r in want] == list(range(1, 401))
+    by = {r["id"]: r["run"] for r in ordering.running_total(df, [("v", True), ("id", False)], {"run": "n"}, by=["g"]).collect()}
+    for g in (None, 1, 2):
+        assert [by[r[0]] for r in want if r[2] == g] == list(range(1, sum(r[2] == g for r in data) + 1))
+
+
+def test_ranks_keep_null_rows(make):
+    got = ordering.rank_by(make([(1, 5.0), (2, None), (3, 9.0), (4, None)], "id int, v double"), {"rk": "v"}).collect()
+    assert {r["id"]: r["rk"] for r in got} == {3: 1, 1: 2, 2: 3, 4: 3}
+
+
+def test_pareto_total_with_negative_values(make):
+    got = ordering.pareto(make([("a", 10), ("b", 5), ("c", -5)], "k string, v int"), "k", "v").collect()
+    assert {r["k"]: (r["share_pct"], r["cum_share_pct"]) for r in got} == {"a": (100.0, 100.0), "b": (50.0, 150.0), "c": (-50.0, 100.0)}
+
+
+def test_prior_events_keep_rows_without_key_or_day(make):
+    data = [(1, "a", 1, True), (2, "a", 2, False), (3, None, 1, True), (4, None, 2, False), (5, "a", None, False)]
+    df = make(data, "id int, k string, day int, hit boolean")
+    got = ordering.prior_events(df, "k", "day", ["id"], F.col("hit"), "prior").collect()
+    assert {r["id"]: r["prior"] for r in got} == {1: 0, 2: 1, 3: 0, 4: 1, 5: 1}
+
+
+def test_latest_row_is_the_same_on_every_run(make):
+    data = [(1, 3, "x"), (1, 3, "y"), (2, 1, "z"), (None, 5, "n")]
+    first = ordering.latest_per_key(make(data, "k int, o int, v string"), ["k"], ["o"]).collect()
+    again = ordering.latest_per_key(make(data[::-1], "k int, o int, v string"), ["k"], ["o"]).collect()
+    assert sorted(first, key=repr) == sorted(again, key=repr) and len(first) == 3

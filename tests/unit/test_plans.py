@@ -155,11 +155,10 @@ def test_reconcile_gate(make, ledger, explained, ok):
     assert got["passed"] is ok and got["invoiced"] == 1000.0
 
 
-def test_customer_ranks_both_paths(make):
+def test_customer_ranks(make):
     lines = make([line(1, 1, 100.0, cost=90.0, who="a"), line(2, 1, 50.0, cost=5.0, who="b"), line(3, 1, 50.0, cost=45.0, who="d")], LINE)
     want = [("a", 1, 2, -1), ("b", 2, 1, 1), ("d", 2, 3, -1)]
-    for small in (100, 0):
-        assert rows(finance.customer_profit(lines, small), "customer_key", "revenue_rank", "contribution_rank", "rank_delta") == want
+    assert rows(finance.customer_profit(lines), "customer_key", "revenue_rank", "contribution_rank", "rank_delta") == want
 
 
 PLAN = "product_key string, expected_sales double, stock_on_hand double, incoming double, production_need double"
@@ -212,3 +211,10 @@ def test_history_and_plan_vs_actual(make):
     assert rows(planning.plan_vs_actual(snaps, sold)) == [("a", "y", 12.0, 9.0, -3.0)]
     due = planning.start_by(snaps.limit(1), F.lit(dt.date(2025, 3, 31)), 1).first()
     assert due["start_by"] == dt.date(2025, 2, 28)
+
+
+def test_spread_on_text_keys(make):
+    from bizlens.plans.segments import spread
+
+    got = spread(make([("R01", 1), ("R01", 0), ("R02", 1), ("R03", 0)], "rep_key string, is_won int"), "rep_key").first()
+    assert (got["members"], got["top_key"], got["top_rate"], got["second_rate"], got["bottom_rate"]) == (3, "R02", 1.0, 0.5, 0.0)

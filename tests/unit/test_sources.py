@@ -105,3 +105,10 @@ def test_revenue_fact_rules(make):
     got = revenue.build_revenue_fact(staging, rules)
     assert rows(got, "bucket_key", "is_core", F.col("amount_confirmed").cast("double"), F.col("cost").cast("double")) == [
         ("Licence", False, 0.0, 0.0), ("Other", False, 10.0, 0.0), ("Product", True, 100.0, 40.0)]
+
+
+def test_ingest_keeps_one_of_repeated_rows(make):
+    from bizlens.sources.sinks import ingest_unique
+
+    df = make([(1, "a"), (1, "a"), (2, "a"), (3, "b"), (3, "c"), (None, "d")], "id int, text string")
+    assert sorted(((r["id"], r["text"]) for r in ingest_unique(df, ["text"], "id").collect()), key=repr) == sorted([(1, "a"), (3, "b"), (3, "c"), (None, "d")], key=repr)
