@@ -12,6 +12,8 @@ side; contexts reach over these borders. The sum of the logarithms is the probab
 from __future__ import annotations
 
 import dataclasses
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,7 +196,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, gates:
 def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: np.ndarray, params: Params) -> np.ndarray:
     """Natural log probability of each segment; ``byte``, ``known`` and ``gate`` list all segments' bytes in the order they are coded."""
     n, n_ctx, levels = int(alive[0]), len(params.contexts), params.levels
-    weights = np.repeat(np.array(params.start_weight, np.float32)[:, None, :], n, axis=1) / np.float32(UNIT)
+    weights = np.repeat(np.array(params.start_weight, np.float32), n, axis=0) / np.float32(UNIT)  # a row per gate and segment
     centre = np.linspace(-6, 6, levels, dtype=np.float32)
     refine = np.repeat(np.tile(1 / (1 + np.exp(-centre)), 8), n)
     line, total = np.arange(n, dtype=np.int64), np.zeros(n)
@@ -208,9 +210,10 @@ def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: n
         seen = np.empty((n_ctx, 2, 4, m), np.float32)
         seen[...] = known[:, :, 4 * lo:4 * hi].reshape(n_ctx, 2, m, 4).transpose(0, 1, 3, 2)
         seen = seen.reshape(n_ctx, 8, m)
-        g, own = gate[lo:hi], line[:m]
-        w = np.ascontiguousarray(weights[g, own].T)
-        x = (seen * w[:, None, :]).sum(0)
+        own = line[:m]
+        picked = gate[lo:hi] * np.int64(n) + own
+        w = np.ascontiguousarray(weights.take(picked, axis=0, mode="clip").T)
+        x = np.einsum("kjm,km->jm", seen, w)
         np.clip(x, -9, 9, out=x)
         p = np.exp(-x)
         p += one
@@ -218,9 +221,8 @@ def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: n
         bit = bits[:, lo:hi].astype(np.float32)
         error = bit - p
         error *= rate
-        seen *= error
-        w += seen.sum(1)
-        weights[g, own] = w.T
+        w += np.einsum("kjm,jm->km", seen, error)
+        weights[picked] = w.T
         np.clip(x, -6, 6, out=x)
         x += np.float32(6)
         x *= scale
@@ -229,7 +231,7 @@ def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: n
         level *= n
         level += own
         level += plane
-        learned = refine[level]
+        learned = refine.take(level, mode="clip")
         p += (learned - p) * share
         refine[level] = learned + (bit - learned) * refine_rate
         bit -= one
@@ -294,6 +296,12 @@ def text_buffer(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return utf8(pa.array(texts, pa.large_string()))
 
 
+@functools.lru_cache(1)
+def unpacked(packed: tuple[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The table and the gates; a worker process unpacks a model once."""
+    return np.frombuffer(zlib.decompress(packed[0]), "<u4"), np.frombuffer(zlib.decompress(packed[1]), np.uint8)
+
+
 def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``; ``bits_per_byte`` besides.
 
@@ -303,7 +311,8 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col).withColumn("learn", learnable(F.col("doc_id")))
-    model = spark.sparkContext.broadcast(learn(rows, params, F.col("learn")))
+    # every executor keeps the broadcast on its disk, so it is packed; each worker unpacks it once
+    model = spark.sparkContext.broadcast(tuple(zlib.compress(part.tobytes(), 1) for part in learn(rows, params, F.col("learn"))))
     size = rows.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("bytes"), F.sum(F.col("learn").cast("long")).alias("learned")).first()
     blocks, ends = max(1, -(-(size["bytes"] or 0) // params.block_bytes)), size["learned"] or 0
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
@@ -323,9 +332,10 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
         tokens = np.bincount(owner, minlength=m) + 1
         seen = np.bincount(owner, weights=count > 0, minlength=m).astype(np.int64) + (ends > 0)
         base = np.bincount(owner, weights=np.log10(count + 1.0), minlength=m) + np.log10(ends + 1.0) - tokens * np.log10(n + v + 1.0)
+        model_parts = unpacked(model.value)
         found = np.empty(m)
         for lo, hi in spans(offsets, BATCH):
-            found[lo:hi] = score_texts(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], *model.value, params)
+            found[lo:hi] = score_texts(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], *model_parts, params)
         return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "held_out": ~texts["learn"], "n_tokens": tokens, "n_known": seen, "train_tokens": n,
                              "base_score": base, "score": found, "bits_per_byte": -found * np.log2(10.0) / (np.diff(offsets) + 1)})
 
