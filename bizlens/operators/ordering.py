@@ -23,17 +23,20 @@ from bizlens.session import materialise
 def share(df: DataFrame, value: str, out: str, by: Sequence[str] = (), digits: int | None = 1) -> DataFrame:
     """Percent of the total of ``value`` (within ``by`` when given) on an aggregated frame.
 
-    The grand total comes from a scalar subquery, so no window pulls the frame into one task.
+    The aggregate is written once and the grand total is a scalar subquery over it, so facts are read once and no window
+    pulls the frame into one task.
     """
     if by:
         total = F.sum(value).over(Window.partitionBy(*by))
     else:
+        df = materialise(df)
         total = df.agg(F.sum(value)).scalar()
     return df.withColumn(out, rate(F.col(value), total, digits=digits))
 
 
 def shares(df: DataFrame, columns: Mapping[str, str], digits: int = 1) -> DataFrame:
-    """Several grand-total shares in one pass: ``{out: value column}``."""
+    """Several grand-total shares in one pass: ``{out: value column}``; the aggregate is computed once."""
+    df = materialise(df)
     totals = df.agg(F.struct(*[F.sum(v).cast("double").alias(o) for o, v in columns.items()])).scalar()
     return df.withColumns({o: rate(F.col(v), totals[o], digits=digits) for o, v in columns.items()})
 

@@ -55,10 +55,10 @@ def _counts(w: Warehouse) -> DataFrame:
 
 
 def _spikes(w: Warehouse) -> DataFrame:
-    """Closed daily counts from the stream, then the trailing baseline on the written table."""
+    """Closed daily counts from the stream, then the trailing baseline on the written table; silent until the history exists."""
     closed = _counts(w)
     out = signals.baseline_z(closed, ["entity"], "day", "n", 14)
-    return out.filter(F.col("z") > 2).select("entity", "day", "n", F.round("z", 6).alias("z"))
+    return out.filter((F.col("z") > 2) & (F.col("history_days") >= 14)).select("entity", "day", "n", F.round("z", 6).alias("z"))
 
 
 def _unique(w: Warehouse) -> DataFrame:
@@ -109,10 +109,10 @@ QUERIES = {
     "stream_mention_counts": (q(_counts), sql("mentions", f"SELECT day, entity, count(*) AS n FROM mentions WHERE ts < {CLOSED} GROUP BY ALL")),
     "stream_spikes": (q(_spikes), sql("mentions", f"""
         , daily AS (SELECT entity, day, count(*) AS n FROM mentions WHERE ts < {CLOSED} GROUP BY ALL),
-        b AS (SELECT *, CAST(coalesce(sum(n) OVER w, 0) AS DOUBLE) AS s, CAST(coalesce(sum(n * n) OVER w, 0) AS DOUBLE) AS q FROM daily
+        b AS (SELECT *, date_diff('day', min(day) OVER (PARTITION BY entity), day) AS history, CAST(coalesce(sum(n) OVER w, 0) AS DOUBLE) AS s, CAST(coalesce(sum(n * n) OVER w, 0) AS DOUBLE) AS q FROM daily
               WINDOW w AS (PARTITION BY entity ORDER BY day RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)),
         c AS (SELECT *, (n - s / 14) / nullif(sqrt(greatest((q - s * s / 14) / 13, 0)), 0) AS z FROM b)
-        SELECT entity, day, n, round(z, 6) AS z FROM c WHERE z > 2""".strip())),
+        SELECT entity, day, n, round(z, 6) AS z FROM c WHERE z > 2 AND history >= 14""".strip())),
     "stream_unique_ingest": (q(_unique), "SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events"),
     "stream_convergence": (q(_convergence), sql("mentions", CONV + " SELECT entity, window_end, n_sources, n_buckets, rule FROM conv")),
     "stream_plan": (q(_plan), _plan_twin()),

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from bizlens.functions.textual import content_hash
+from bizlens.operators.ordering import latest_per_key
 from bizlens.session import scratch_path
 from bizlens.sources.sinks import upsert
 
@@ -83,46 +84,75 @@ def mention_counts(mentions: DataFrame, every: str = "1 day", delay: str = DELAY
 
 
 # -- runners ------------------------------------------------------------------------------------------
-def run_append(df: DataFrame, path: str, label: str = "append") -> StreamingQuery:
-    """Process what is there into Parquet files, each row once."""
-    q = (df.writeStream.outputMode("append").format("parquet").option("path", path)
-         .option("checkpointLocation", scratch_path(df.sparkSession, f"{label}-state")).trigger(availableNow=True).start())
+# ``state`` is the checkpoint folder of a job. Give the same one on every start, and a job goes on where it stopped; without
+# one a run is on its own and reads its whole input.
+def _run(df: DataFrame, writer, label: str, state: str | None) -> StreamingQuery:
+    q = writer.option("checkpointLocation", state or scratch_path(df.sparkSession, f"{label}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def run_each_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", label: str = "batches") -> StreamingQuery:
+def run_append(df: DataFrame, path: str, label: str = "append", state: str | None = None) -> StreamingQuery:
+    """Process what is there into Parquet files, each row once (also over restarts with one ``state``)."""
+    return _run(df, df.writeStream.outputMode("append").format("parquet").option("path", path), label, state)
+
+
+def run_each_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", label: str = "batches", state: str | None = None) -> StreamingQuery:
     """Hand every micro-batch to ``sink``."""
-    q = (df.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", scratch_path(df.sparkSession, f"{label}-state")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+    return _run(df, df.writeStream.outputMode(mode).foreachBatch(sink), label, state)
 
 
-def run_complete(df: DataFrame, path: str, label: str = "complete") -> StreamingQuery:
-    """Replace the result table after every micro-batch."""
+def run_complete(df: DataFrame, path: str, label: str = "complete", state: str | None = None) -> StreamingQuery:
+    """Replace the result table after every micro-batch. All groups stay in the state, so use it for few groups (sources, rules by day)."""
     def replace(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(path)
-    return run_each_batch(df, replace, "complete", label)
-
+    return run_each_batch(df, replace, "complete", label, state)
 
-def plan_sink(spark: SparkSession, store: str, keys: list[str], recompute: Callable[[DataFrame], DataFrame], out: str) -> Callable[[DataFrame, int], None]:
-    """Upsert the landed inputs into versioned tables and rewrite the plan from the newest version.
 
-    Versions are named by the batch id, so a repeated batch rewrites its own version and nothing else.
-    """
+def plan_sink(spark: SparkSession, store: str, keys: list[str], recompute: Callable[[DataFrame], DataFrame], out: str,
+              run: str = "plan") -> Callable[[DataFrame, int], None]:
+    """Upsert the landed inputs into the versioned store and rewrite the plan from its newest version. ``run`` names the job (its state
+    folder, say): a batch that the log of the store has for this name is applied again to the same version, not twice."""
     def land(batch: DataFrame, batch_id: int) -> None:
-        latest = upsert_version(spark, store, batch, keys, batch_id)
+        latest = upsert_version(spark, store, batch, keys, batch_id, run)
         recompute(latest).write.mode("overwrite").parquet(out)
     return land
 
 
-def upsert_version(spark: SparkSession, store: str, batch: DataFrame, keys: list[str], batch_id: int) -> DataFrame:
-    fresh = batch.dropDuplicates(keys)
-    if batch_id > 0:
-        fresh = upsert(spark.read.parquet(f"{store}/v{batch_id - 1}"), fresh, keys)
-    fresh.write.mode("overwrite").parquet(f"{store}/v{batch_id}")
-    return spark.read.parquet(f"{store}/v{batch_id}")
+LOG = "version long, run string, batch_id long"
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def upsert_version(spark: SparkSession, store: str, batch: DataFrame, keys: list[str], batch_id: int, run: str = "plan") -> DataFrame:
+    """The store with the batch put in place by key, written as a new version and returned.
+
+    The store's log has a row per applied batch. A batch not in it goes on top of the newest version, also from a job that starts
+    anew at batch 0; a batch already in it is written again on top of the version before it. Of each batch's repeated keys one row
+    is taken by a hash of the row. The newest three versions are kept.
+    """
+    fs, log = _folder(spark, f"{store}/log")
+    applied = [tuple(r) for r in spark.read.schema(LOG).parquet(f"{store}/log").collect()] if fs.exists(log) else []
+    known = [v for v, r, b in applied if r == run and b == batch_id]
+    newest = max([v for v, _, _ in applied], default=-1)
+    version = known[0] if known else newest + 1
+    if known and version < newest:
+        return spark.read.parquet(f"{store}/v{newest}")  # later batches are on top of it already
+    fresh = latest_per_key(batch, keys, [])
+    if version > 0:
+        fresh = upsert(spark.read.parquet(f"{store}/v{version - 1}"), fresh, keys)
+    fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{store}/v{version}")
+    if not known:
+        row = F.struct(F.lit(version).cast("long").alias("version"), F.lit(run).alias("run"), F.lit(batch_id).cast("long").alias("batch_id"))
+        spark.range(1).select(F.inline(F.array(row))).write.mode("append").parquet(f"{store}/log")
+        fs, old = _folder(spark, f"{store}/v{version - 3}")
+        if version >= 3 and fs.exists(old):
+            fs.delete(old, True)
+    return spark.read.parquet(f"{store}/v{version}")
 
 
 def zero_signal_sink(alerts: str) -> Callable[[DataFrame, int], None]:

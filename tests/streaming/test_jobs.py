@@ -83,3 +83,29 @@ def test_an_empty_run_raises_an_alert(spark, feed, tmp_path):
     stream = feed([[("keep",)], [("drop",)]], "t string").filter("t = 'keep'")
     jobs.run_each_batch(stream, jobs.zero_signal_sink(alerts))
     assert rows(spark.read.parquet(alerts)) == [(1, "no signals")]
+
+
+def test_a_stopped_job_goes_on_with_new_files(spark, make, tmp_path):
+    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    ddl = "id int, t string, ts timestamp"
+    for k in range(3):
+        make([(k, f"t{k}", at(k)), (k + 10, "same", at(k))], ddl).coalesce(1).write.mode("append").parquet(folder)
+        stream = jobs.file_stream(spark, folder, make([], ddl).schema, files_per_batch=1)
+        jobs.run_append(jobs.dedupe(stream, ["t"]), out, state=state)
+    assert sorted(r["t"] for r in spark.read.parquet(out).collect()) == ["same", "t0", "t1", "t2"]
+
+
+@pytest.mark.parametrize("kept_state", [True, False])
+def test_the_store_outlives_a_restart(spark, make, tmp_path, kept_state):
+    folder, store, out = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "plan")
+    ddl = "k string, v int"
+    for n, rows_in in enumerate([[("p", 5), ("q", 7)], [("p", 9)], [("r", 1)], [("q", 8)]]):
+        make(rows_in, ddl).coalesce(1).write.mode("append").parquet(folder)
+        state = str(tmp_path / "state") if kept_state else str(tmp_path / f"state{n}")
+        sink = jobs.plan_sink(spark, store, ["k"], lambda d: d, out, run=state)
+        jobs.run_each_batch(jobs.file_stream(spark, folder, make([], ddl).schema, files_per_batch=1), sink, state=state)
+        if n == 1:
+            again = jobs.upsert_version(spark, store, make(rows_in, ddl), ["k"], 1, state)
+            assert rows(again) == [("p", 9), ("q", 7)]
+    assert rows(spark.read.parquet(out)) == [("p", 9), ("q", 8), ("r", 1)]
+    assert sum(p.name.startswith("v") for p in (tmp_path / "store").iterdir()) <= 3
