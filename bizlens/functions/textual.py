@@ -14,9 +14,10 @@ MOJIBAKE = {
 }
 
 # Fixed patterns: titles that are page furniture rather than news.
-JUNK_TITLE = r"(?i)^\s*(home|menu|search|login|log in|sign in|subscribe|read more|next|previous|cookie.*|accept.*|skip to .*|image( \d+)?|photo|logo|lot \d+.*|auction.*)?\s*$"
+JUNK_TITLE = r"(?i)^\s*(home|menu|search|login|log in|sign in|subscribe|read more|next|previous|cookies?( policy| settings| preferences)?|accept( all)?( cookies)?|skip to (main )?(content|navigation)|image( \d+)?|photo|logo|lot \d+|auction( \d+)?)?\s*$"
 
-LEGAL_FORMS = r"\b(b\.?v\.?|n\.?v\.?|gmbh|inc|ltd|llc|a/?s|aps|ag|sa|s\.a\.|plc|corp|co)\b\.?"
+# Legal forms, as they stand behind a name.
+LEGAL_FORMS = r"[\s,]+(b\.?v\.?|n\.?v\.?|gmbh|inc|ltd|llc|a/?s|aps|ag|sa|s\.a\.|plc|corp|co)\.?\s*$"
 
 
 def content_hash(*cols: Column | str) -> Column:
@@ -42,9 +43,13 @@ def repair_mojibake(text: Column | str) -> Column:
 
 
 def normalise_name(name: Column | str) -> Column:
-    """Lower case, legal form dropped, everything but letters and digits reduced to one blank."""
-    bare = F.regexp_replace(F.lower(col(name)), LEGAL_FORMS, " ")
-    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+    """Lower case, the legal form behind the name dropped, everything but letters and digits reduced to one blank.
+
+    A name that has neither letters nor digits stays as it is, so it never equals another name.
+    """
+    bare = F.regexp_replace(F.lower(col(name)), LEGAL_FORMS, "")
+    plain = F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+    return F.coalesce(F.nullif(plain, F.lit("")), F.lower(col(name)))
 
 
 def tokens(text: Column | str) -> Column:

@@ -25,11 +25,12 @@ def drop_one_token(words: Column) -> Column:
 
 
 def drop_one_char(name: Column, min_length: int = 5) -> Column:
-    """Signatures of a name: itself, and itself without each character in turn.
+    """Signatures of a name: itself, and itself without each character in turn that is no digit.
 
-    Names below ``min_length`` characters only match exactly.
+    Names with different digits never share one. Names below ``min_length`` characters only match exactly.
     """
     positions = F.sequence(F.lit(1), F.length(name))
+    positions = F.filter(positions, lambda i: ~F.substring(name, i, F.lit(1)).rlike("[0-9]"))
     reduced = F.transform(positions, lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
     return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) >= min_length, reduced).otherwise(F.array())))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bizlens.functions.textual import cosine, is_junk_title, mentions_any, normalise_name, relabel_language, repair_mojibake, tokens
+from bizlens.functions.textual import cosine, is_junk_title, mentions_any, name_similarity, normalise_name, relabel_language, repair_mojibake, token_jaccard, tokens
 from bizlens.operators.linking import drop_one_char, drop_one_token, link_by_signature
 
 QUERY_BATCH = 64
@@ -36,11 +36,12 @@ def clean(df: DataFrame, title: str = "title", lang: str = "lang", source: str |
     return out.withColumn(lang, relabel_language(title, lang))
 
 
-def cluster_titles(df: DataFrame, key: str, title: str) -> DataFrame:
+def cluster_titles(df: DataFrame, key: str, title: str, thr: float = 0.5) -> DataFrame:
     """Same-story clusters: ``(key, title, cluster, cluster_size)``.
 
-    Two titles tell the same story when their word sets are equal or differ by one word; clusters close
-    over chains. Equal titles are folded before the linking, so copies of any number cost one
+    Candidates are titles whose word sets are equal or differ by one word, followed over chains; each is then compared with
+    the first title of its chain and stays with it only if their word sets have a Jaccard similarity of ``thr`` or
+    more, else it stands with its copies alone. Equal titles are folded before the linking, so copies of any number cost one
     row there. Records without a word keep to themselves.
     """
     norm = F.concat_ws(" ", F.array_sort(F.array_distinct(tokens(title))))
@@ -48,29 +49,36 @@ def cluster_titles(df: DataFrame, key: str, title: str) -> DataFrame:
     distinct = keyed.filter("_norm <> ''").groupBy("_norm").agg(F.min(key).alias("_node"))
     worded = distinct.withColumn("_words", F.split("_norm", " "))
     roots = link_by_signature(worded, "_node", drop_one_token(F.col("_words")))
-    by_norm = distinct.join(roots, "_node").select("_norm", F.col("root").alias("cluster"))
+    first = worded.select(F.col("_node").alias("root"), F.col("_words").alias("_first"))
+    linked = worded.join(roots, "_node").join(first, "root")
+    near = token_jaccard(F.col("_words"), F.col("_first")) >= thr
+    by_norm = linked.select("_norm", F.when(near, F.col("root")).otherwise(F.col("_node")).alias("cluster"))
     tagged = keyed.join(by_norm, "_norm", "left").withColumn("cluster", F.coalesce("cluster", F.col(key)))
     sizes = tagged.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
     return tagged.join(sizes, "cluster").select(key, title, "cluster", "cluster_size")
 
 
-def resolve_entities(df: DataFrame, name: str, aliases: DataFrame | None = None) -> DataFrame:
+def resolve_entities(df: DataFrame, name: str, aliases: DataFrame | None = None, thr: float = 0.75) -> DataFrame:
     """Fold spelling variants: ``(name, canonical, mentions)``.
 
-    Names are normalised (case, punctuation, legal form); known ``aliases`` (``alias``, ``canonical``)
+    Names are normalised (case, punctuation, legal form at the end); known ``aliases`` (``alias``, ``canonical``)
     are applied, which covers initials and trade names; then names that become equal by leaving out at most
-    one character each are linked. The canonical form of a group is its most mentioned name.
+    one character each (no digit) are linked over chains. The canonical form of a group is its most mentioned name; a name whose
+    normal form is less than ``thr`` similar to the canonical one's (edit distance over length) leaves the group
+    with the names of its own normal form.
     """
     counted = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("mentions"))
     normed = counted.withColumn("_norm", normalise_name(name))
     if aliases is not None:
         known = aliases.select(normalise_name("alias").alias("_norm"), normalise_name("canonical").alias("_to"))
         normed = normed.join(known, "_norm", "left").withColumn("_norm", F.coalesce("_to", "_norm")).drop("_to")
-    forms = normed.groupBy("_norm").agg(F.sum("mentions").alias("_m"))
-    roots = link_by_signature(forms, "_norm", drop_one_char(F.col("_norm")))
-    grouped = normed.join(roots, "_norm").select(name, "root", "mentions")
-    best = grouped.groupBy("root").agg(F.max_by(name, F.struct("mentions", name)).alias("canonical"))
-    return grouped.join(best, "root").select(name, "canonical", "mentions")
+    forms = normed.groupBy("_norm").agg(F.max_by(name, F.struct("mentions", name)).alias("_own"), F.max("mentions").alias("_m"))
+    roots = link_by_signature(forms.select("_norm"), "_norm", drop_one_char(F.col("_norm")))
+    grouped = forms.join(roots, "_norm")
+    best = grouped.groupBy("root").agg(F.max_by(F.struct("_own", "_norm"), F.struct("_m", "_own")).alias("_best"))
+    near = name_similarity("_norm", "_best._norm") >= thr
+    named = grouped.join(best, "root").select("_norm", F.when(near, F.col("_best._own")).otherwise(F.col("_own")).alias("canonical"))
+    return normed.join(named, "_norm").select(name, "canonical", "mentions")
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -85,7 +85,7 @@ def _labels_of_hosts(w: Warehouse):
 
 
 def _gazetteer(w: Warehouse):
-    words = w.table("benchmark").select("item_id", F.explode(F.array_distinct(text.tokens("text"))).alias("term")).filter(F.length("term") >= 9)
+    words = w.table("benchmark").select("item_id", F.explode(F.array_distinct(text.tokens("text"))).alias("term"))
     g = words.groupBy("term").agg(F.count(F.lit(1)).alias("items"), F.min("item_id").alias("entity"))
     return g.select("term", "entity"), g.filter("items > 1").select("term")
 
@@ -139,16 +139,21 @@ TITLES = rf"""WITH RECURSIVE p AS (SELECT page_id, {TITLE} AS title FROM pages),
               UNION SELECT page_id, unnest([array_to_string([x for x in ws if x <> y], ' ') for y in ws]) FROM w WHERE len(ws) > 2),
         e AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM s a JOIN s b ON a.sig = b.sig AND a.sig <> ''),
         reach(n, r) AS (SELECT page_id, page_id FROM p UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.r),
-        root AS (SELECT n, min(r) AS cluster FROM reach GROUP BY 1)
-        SELECT page_id, title, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM p JOIN root ON n = page_id"""
+        root AS (SELECT n, min(r) AS first FROM reach GROUP BY 1),
+        near AS (SELECT a.page_id, a.title, CASE WHEN len(a.ws) = 0 THEN a.page_id
+                   WHEN CAST(len(list_intersect(a.ws, b.ws)) AS DOUBLE) / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.5 THEN first ELSE min(a.page_id) OVER (PARTITION BY a.ws) END AS cluster
+                 FROM w a JOIN root ON n = a.page_id JOIN w b ON b.page_id = first)
+        SELECT page_id, title, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM near"""
 HOSTS = rf"""WITH RECURSIVE h AS (SELECT regexp_extract(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)), '^(?:www\.|m\.)?([^.]+)', 1) AS name FROM pages),
-        c AS (SELECT name, count(*) AS mentions, trim(regexp_replace(regexp_replace(lower(name), '{LEGAL_FORMS}', ' ', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM h GROUP BY name),
+        c AS (SELECT name, count(*) AS mentions, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(name), '{LEGAL_FORMS}', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ''), lower(name)) AS norm FROM h GROUP BY name),
         f AS (SELECT DISTINCT norm FROM c),
-        s AS (SELECT norm, norm AS sig FROM f UNION SELECT norm, substr(norm, 1, CAST(i AS INTEGER) - 1) || substr(norm, CAST(i AS INTEGER) + 1) FROM f, range(1, 200) x(i) WHERE length(norm) >= 5 AND i <= length(norm)),
+        s AS (SELECT norm, norm AS sig FROM f UNION SELECT norm, substr(norm, 1, CAST(i AS INTEGER) - 1) || substr(norm, CAST(i AS INTEGER) + 1) FROM f, range(1, 200) x(i) WHERE length(norm) >= 5 AND i <= length(norm) AND NOT regexp_matches(substr(norm, CAST(i AS INTEGER), 1), '[0-9]')),
         e AS (SELECT DISTINCT a.norm AS a, b.norm AS b FROM s a JOIN s b ON a.sig = b.sig),
         reach(n, r) AS (SELECT norm, norm FROM f UNION SELECT reach.n, e.b FROM reach JOIN e ON e.a = reach.r),
-        root AS (SELECT n, min(r) AS g FROM reach GROUP BY 1)
-        SELECT name, first_value(name) OVER (PARTITION BY g ORDER BY mentions DESC, name DESC) AS canonical, mentions FROM c JOIN root ON n = norm"""
+        root AS (SELECT n, min(r) AS g FROM reach GROUP BY 1),
+        b AS (SELECT *, first_value(name) OVER x AS best, first_value(norm) OVER x AS best_norm, first_value(name) OVER (PARTITION BY norm ORDER BY mentions DESC, name DESC) AS own
+              FROM c JOIN root ON n = norm WINDOW x AS (PARTITION BY g ORDER BY mentions DESC, name DESC))
+        SELECT name, CASE WHEN 1 - CAST(levenshtein(norm, best_norm) AS DOUBLE) / greatest(length(norm), length(best_norm)) >= 0.75 THEN best ELSE own END AS canonical, mentions FROM b"""
 COS = "round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
 
 QUERIES = {
@@ -207,7 +212,7 @@ QUERIES = {
         FROM (SELECT page_id, {TITLE} AS title, regexp_extract(html, '<html[^>]*lang="([a-z]+)"', 1) AS lang FROM pages) WHERE NOT regexp_matches(title, '{JUNK_TITLE}')"""),
     "text_title_clusters": (q(lambda w: text.cluster_titles(_pages(w), "page_id", "title")), TITLES),
     "text_resolved_hosts": (q(lambda w: text.resolve_entities(_labels_of_hosts(w), "name")), HOSTS),
-    "text_entity_tags": (q(_tagged), f"""WITH g AS (SELECT term, min(item_id) AS entity, count(*) AS items FROM (SELECT item_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark) WHERE length(term) >= 9 GROUP BY 1),
+    "text_entity_tags": (q(_tagged), f"""WITH g AS (SELECT term, min(item_id) AS entity, count(*) AS items FROM (SELECT item_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark) GROUP BY 1),
         t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents)
         SELECT doc_id, term, any_value(entity) AS entity, count(*) AS hits FROM t JOIN g USING (term) WHERE items <= 1 GROUP BY doc_id, term"""),
     "text_keyword_search": (q(lambda w: text.keyword_search(w.documents(), KEYWORDS, ["text"]).select("doc_id", "lang")), f"""

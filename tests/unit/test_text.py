@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bizlens.operators.linking import drop_one_char, link_by_signature
+from bizlens.functions.textual import is_junk_title
 from bizlens.plans import text
 from tests.conftest import rows
 
@@ -39,7 +40,10 @@ def test_title_clusters_against_all_pairs(make):
     titles += [(i, "seed price rain") for i in range(70, 120)]          # a third are copies of one story
     titles.append((120, " !! "))
     pairs = [(i, j) for i, a in titles for j, b in titles if i < j and a.strip(" !") and b.strip(" !") and same_story(a, b)]
-    want = groups(pairs, [i for i, _ in titles])
+    chains = groups(pairs, [i for i, _ in titles])
+    sets = {i: frozenset(t.split()) for i, t in titles}
+    near = lambda i: len(sets[i] & sets[chains[i]]) / len(sets[i] | sets[chains[i]]) >= 0.5
+    want = {i: chains[i] if near(i) else min(j for j, s in sets.items() if s == sets[i]) for i, _ in titles}
     got = {r["id"]: r["cluster"] for r in text.cluster_titles(make(titles, "id int, t string"), "id", "t").collect()}
     assert got == want
 
@@ -106,3 +110,17 @@ def test_approximate_retrieval_finds_most_of_the_exact_answer(make):
 def test_titles_and_hosts(make):
     df = make([("<head><TITLE lang='x'>\n A  b </TITLE>", "https://m.Example.org:80/x")], "h string, u string")
     assert rows(df.select(text.title_of("h"), text.host_of("u"))) == [("A b", "m.example.org")]
+
+
+def test_chains_do_not_carry_a_story_or_a_name(make):
+    titles = [(1, "acme buys farm"), (2, "acme sells farm"), (3, "acme sells tractor")]
+    got = {r["id"]: r["cluster"] for r in text.cluster_titles(make(titles, "id int, t string"), "id", "t").collect()}
+    assert got[3] == 3 and len(set(got.values())) >= 2
+    names = ["Co.", "Inc", "!!!", "???", "Agri 11", "Agri 12", "Agri 23", "AS Roma", "Roma A/S", "Cookie Farm"]
+    out = {r["n"]: r["canonical"] for r in text.resolve_entities(make([(n,) for n in names], "n string"), "n").collect()}
+    assert out == {n: n for n in names}
+
+
+def test_headlines_are_no_junk(make):
+    df = make([(1, "Cookie maker buys farm"), (2, "Accept all cookies"), (3, "Auction house fined"), (4, "Lot 12")], "id int, title string")
+    assert [r["id"] for r in df.filter(~is_junk_title("title")).collect()] == [1, 3]
