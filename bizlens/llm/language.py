@@ -18,9 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from bizlens.llm.common import keyed, lower_ascii, spans, stored, utf8
+from bizlens.llm.common import bounded_sample, keyed, lower_ascii, spans, stored, utf8
 
 
 @dataclasses.dataclass(frozen=True)
@@ -142,17 +141,15 @@ def learnable(id_col: Column) -> Column:
 def fit(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> bytes:
     """Train on at most ``params.sample`` rows of each language, picked by a hash of their id.
 
-    Rows without id, language or text are not learned from. The sample is joined by its ids, so only its texts move.
+    Rows without id or language, and texts without a letter, are not learned from. The sample is joined by its ids, so only its texts move.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    fit_for = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learnable(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = fit_for.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= params.sample)
-    picked = stored(picked, "languages")
-    sample = keyed(docs, id_col, text_col).join(picked, "doc_id").repartition(1)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).alias("lang"))
+    fit_for = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & learnable(F.col("doc_id")))
+    picked = stored(bounded_sample(fit_for, "lang", "doc_id", params.sample), "languages")
+    sample = keyed(docs, id_col, text_col).join(picked, "doc_id").filter(F.col("text").rlike(r"\p{L}")).repartition(1)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches) or [pd.DataFrame({"k": [], "lang": [], "text": [], "doc_id": []})]).sort_values(["k", "lang", "text"])
+        rows = pd.concat(list(batches) or [pd.DataFrame({"lang": [], "text": [], "doc_id": []})]).sort_values(["doc_id", "lang", "text"])
         yield pd.DataFrame({"model": [fit_arrays(rows["text"].tolist(), rows["lang"].tolist(), params)]})
 
     found = sample.mapInPandas(train, "model binary").collect()

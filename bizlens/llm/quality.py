@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bizlens.llm.common import is_space, keyed, spans, stored, utf8
+from bizlens.llm.common import bounded_sample, is_space, keyed, spans, stored, utf8
 
 
 @dataclasses.dataclass(frozen=True)
@@ -141,13 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), label_col
     Null ids, null labels and labels other than 0 and 1 are not learned from. The sample is joined
     by its ids, so only its texts move; training runs in one task, as the sample is bounded.
     """
-    from pyspark.sql.window import Window
-
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     marked = marked.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learnable(F.col("doc_id")))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
     total = marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()
-    picked = stored(marked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= params.sample).drop("k"), "labelled")
+    picked = stored(bounded_sample(marked, "y", "doc_id", params.sample), "labelled")
     sample = keyed(docs, id_col, text_col).join(picked, "doc_id").repartition(1)
     prior = {r["y"]: r["n"] for r in total}
 

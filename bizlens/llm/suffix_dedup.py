@@ -312,9 +312,10 @@ def identified(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ..
 
 
 def hot_keys(rows: DataFrame, window: int, gram: int) -> np.ndarray:
-    """Keys with a different fragment in at least HOT_SHARE of sampled documents (fewer than 1 / HOT_SHARE times the keys of a
+    """Keys with a different fragment in at least HOT_SHARE of about SAMPLE documents, picked by a hash of their id (fewer than 1 / HOT_SHARE times the keys of a
     document). Their windows are keyed one by one, which spreads them; it changes no result."""
-    sample = rows.select("doc", "sub", "text").orderBy(F.xxhash64("doc", "sub")).limit(SAMPLE)
+    every = max(1, rows.count() // SAMPLE)
+    sample = rows.select("doc", "sub", "text").filter(F.pmod(F.xxhash64("doc", "sub"), F.lit(every)) == 0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in scan(batches, window, gram, np.zeros(0, np.uint64)):
