@@ -37,7 +37,7 @@ HALF = 0.1
 GATES = (1, 4, 16, 64, 256, 1024)
 WORD = 0
 #: Bytes whose predictions are held at once.
-BATCH = 5 << 19
+BATCH = 2 << 20
 
 
 @dataclasses.dataclass(frozen=True)
@@ -54,7 +54,7 @@ class Params:
     rate: float = 0.004
     refine_rate: float = 0.02
     refine_share: float = 0.5
-    levels: int = 24
+    levels: int = 32
     segment: int = 2048
     block_bytes: int = 8 << 20
 
@@ -74,12 +74,18 @@ def framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin, begin + lengths + 1
 
 
+@functools.lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse."""
+    up, down = np.full(n, K1, np.uint64), np.full(n, np.uint64(pow(int(K1), -1, 1 << 64)), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
 def word_hash(data: np.ndarray) -> np.ndarray:
     """Hash of the bytes since the last white space or padding, before each position."""
     n = len(data)
-    up, down = np.full(n + 1, K1, np.uint64), np.full(n + 1, np.uint64(pow(int(K1), -1, 1 << 64)), np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = powers(1 << (n + 1).bit_length())
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
     start = np.zeros(n, np.int64)
@@ -180,8 +186,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, gates:
     start, length, doc = start[order], length[order], doc[order]
     # segments advance together: all first bytes, then all second bytes of those that have one, and so on
     alive = np.searchsorted(-length, -np.arange(int(length[0])), "left")
-    step = np.repeat(np.arange(len(alive)), alive)
-    turn = start[np.arange(len(step)) - np.repeat(np.append(0, np.cumsum(alive)[:-1]), alive)] + step - PAD
+    turn = np.concatenate([start[:m] + (t - PAD) for t, m in enumerate(alive.tolist())])
     known, gate = np.empty((len(params.contexts), 2, len(turn)), "<u4"), None
     for k, first, second in cells(text, params):
         a, b = params.bases[k], params.bases[k + 1]
@@ -197,12 +202,13 @@ def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: n
     """Natural log probability of each segment; ``byte``, ``known`` and ``gate`` list all segments' bytes in the order they are coded."""
     n, n_ctx, levels = int(alive[0]), len(params.contexts), params.levels
     weights = np.repeat(np.array(params.start_weight, np.float32), n, axis=0) / np.float32(UNIT)  # a row per gate and segment
-    centre = np.linspace(-6, 6, levels, dtype=np.float32)
+    centre = np.linspace(-8, 8, levels, dtype=np.float32)
     refine = np.repeat(np.tile(1 / (1 + np.exp(-centre)), 8), n)
     line, total = np.arange(n, dtype=np.int64), np.zeros(n)
-    plane = (np.arange(8, dtype=np.int64) * (n * levels))[:, None]
+    place = (np.arange(8, dtype=np.int32) * (n * levels))[:, None] + np.arange(n, dtype=np.int32)
     one, share, refine_rate = np.float32(1), np.float32(params.refine_share), np.float32(params.refine_rate)
-    rate, scale = np.float32(params.rate / UNIT ** 2), np.float32((levels - 1) / 12)
+    rate, scale = np.float32(params.rate / UNIT ** 2), np.float32((levels - 1) / 16)
+    middle = np.float32((levels - 1) / 2 + 0.5)
     bits = np.unpackbits(byte[None, :], axis=0)
     lo = 0
     for m in alive.tolist():
@@ -214,7 +220,7 @@ def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: n
         picked = gate[lo:hi] * np.int64(n) + own
         w = np.ascontiguousarray(weights.take(picked, axis=0, mode="clip").T)
         x = np.einsum("kjm,km->jm", seen, w)
-        np.clip(x, -9, 9, out=x)
+        np.clip(x, -8, 8, out=x)
         p = np.exp(-x)
         p += one
         np.reciprocal(p, out=p)
@@ -223,14 +229,11 @@ def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: n
         error *= rate
         w += np.einsum("kjm,jm->km", seen, error)
         weights[picked] = w.T
-        np.clip(x, -6, 6, out=x)
-        x += np.float32(6)
         x *= scale
-        x += np.float32(0.5)
-        level = x.astype(np.int64)
+        x += middle
+        level = x.astype(np.int32)
         level *= n
-        level += own
-        level += plane
+        level += place[:, :m]
         learned = refine.take(level, mode="clip")
         p += (learned - p) * share
         refine[level] = learned + (bit - learned) * refine_rate
@@ -334,7 +337,7 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
         base = np.bincount(owner, weights=np.log10(count + 1.0), minlength=m) + np.log10(ends + 1.0) - tokens * np.log10(n + v + 1.0)
         model_parts = unpacked(model.value)
         found = np.empty(m)
-        for lo, hi in spans(offsets, BATCH):
+        for lo, hi in spans(offsets + 64 * np.arange(m + 1), BATCH):  # short texts weigh in too
             found[lo:hi] = score_texts(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], *model_parts, params)
         return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "held_out": ~texts["learn"], "n_tokens": tokens, "n_known": seen, "train_tokens": n,
                              "base_score": base, "score": found, "bits_per_byte": -found * np.log2(10.0) / (np.diff(offsets) + 1)})
