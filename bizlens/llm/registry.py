@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bizlens.llm import bpe, exact_dedup, language, lm_score, packing, quality, rabitq, simhash, suffix_dedup
+from bizlens.llm import bpe, exact_dedup, language, lm_score, packing, quality, quotes, rabitq, simhash, suffix_dedup
 from bizlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,11 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), 4096)
 
 
+def op7_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    found = quotes.link_quotes(table(spark, folder, "conversations"))
+    return found.select("conv_id", "turn", "position", "reply_to", "thread", "depth", "n_quoted", F.sha2("text", 256).alias("own_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op4_quality": (op4_quality, None),
     "op5_simhash": (op5_simhash, None),
     "op6_packing": (op6_packing, None),
+    "op7_quotes": (op7_quotes, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_suffix_dedup": (op9_suffix_dedup, None),
     "op10_bpe": (op10_bpe, None),
