@@ -55,7 +55,7 @@ class Params:
     refine_rate: float = 0.02
     refine_share: float = 0.5
     levels: int = 32
-    segment: int = 2048
+    segment: int = 1024
     block_bytes: int = 8 << 20
 
     @property
@@ -95,7 +95,7 @@ def word_hash(data: np.ndarray) -> np.ndarray:
     return (prefix[:n] - prefix[start]) * down[start]
 
 
-def cells(data: np.ndarray, params: Params) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def cells(data: np.ndarray, params: Params, so_far: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each context: its number, and the cells (from its own first one) of the upper and lower half of every byte from PAD on."""
     n = len(data) - PAD
     now = data[PAD:]
@@ -103,7 +103,8 @@ def cells(data: np.ndarray, params: Params) -> Iterator[tuple[int, np.ndarray, n
     past, width = np.zeros(n, np.uint32), 0
     for k, (order, rows) in enumerate(params.contexts):
         if order == WORD:
-            context = (word_hash(data)[PAD:] >> np.uint64(32)).astype(np.uint32)
+            so_far = word_hash(data) if so_far is None else so_far
+            context = (so_far[PAD:] >> np.uint64(32)).astype(np.uint32)
         else:
             for j in range(width + 1, order + 1):
                 past = past * M0 + data[PAD - j:len(data) - j]
@@ -178,6 +179,11 @@ def learn(docs: DataFrame, params: Params, learnable: Column) -> tuple[np.ndarra
 def score_texts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, gates: np.ndarray, params: Params) -> np.ndarray:
     """log10 probability of each text."""
     text, begin, end = framed(data, offsets)
+    return score_framed(text, begin, end, word_hash(text), table, gates, params)
+
+
+def score_framed(text: np.ndarray, begin: np.ndarray, end: np.ndarray, so_far: np.ndarray, table: np.ndarray, gates: np.ndarray, params: Params) -> np.ndarray:
+    """As ``score_texts``, for texts framed and hashed already."""
     counts = -(-(end - begin) // params.segment)
     doc = np.repeat(np.arange(len(begin)), counts)
     start = begin[doc] + (np.arange(len(doc)) - np.repeat(np.append(0, np.cumsum(counts)[:-1]), counts)) * params.segment
@@ -188,7 +194,7 @@ def score_texts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, gates:
     alive = np.searchsorted(-length, -np.arange(int(length[0])), "left")
     turn = np.concatenate([start[:m] + (t - PAD) for t, m in enumerate(alive.tolist())])
     known, gate = np.empty((len(params.contexts), 2, len(turn)), "<u4"), None
-    for k, first, second in cells(text, params):
+    for k, first, second in cells(text, params, so_far):
         a, b = params.bases[k], params.bases[k + 1]
         np.take(table[a:b], first[turn], out=known[k, 0], mode="clip")
         np.take(table[a:b], second[turn], out=known[k, 1], mode="clip")
@@ -244,17 +250,22 @@ def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: n
     return total
 
 
+def framed_words(text: np.ndarray, begin: np.ndarray, so_far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of the framed texts, and its text's number."""
+    stop = is_space(text) | (text == 0) | (text == END)
+    last = np.flatnonzero(stop[1:] & ~stop[:-1]) + 1
+    h = so_far[last] * K2
+    return h ^ h >> np.uint64(31), np.searchsorted(begin, last, "right") - 1
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of the lower-cased texts, and its text's number."""
     hashes, owners = [], []
-    for lo, hi in spans(offsets, 2 << 20):
-        text, begin, end = framed(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-        text[end - 1] = 0
-        stop = is_space(text) | (text == 0)
-        last = np.flatnonzero(stop[1:] & ~stop[:-1]) + 1
-        h = word_hash(text)[last] * K2
-        hashes.append(h ^ h >> np.uint64(31))
-        owners.append(np.searchsorted(begin, last, "right") - 1 + lo)
+    for lo, hi in spans(offsets, BATCH):
+        text, begin, _ = framed(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+        h, owner = framed_words(text, begin, word_hash(text))
+        hashes.append(h)
+        owners.append(owner + lo)
     return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -328,17 +339,22 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
             return pd.DataFrame({"doc_id": pd.array([], "Int64"), "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": [], "bits_per_byte": []})
         data, offsets = text_buffer(texts["text"])
         m = len(texts)
-        h, owner = words(data, offsets)
+        model_parts = unpacked(model.value)
+        found, hashes, owners = np.empty(m), [], []
+        for lo, hi in spans(offsets + 64 * np.arange(m + 1), BATCH):  # short texts weigh in too
+            text, begin, end = framed(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            so_far = word_hash(text)
+            h, own = framed_words(text, begin, so_far)
+            hashes.append(h)
+            owners.append(own + lo)
+            found[lo:hi] = score_framed(text, begin, end, so_far, *model_parts, params)
+        h, owner = np.concatenate(hashes), np.concatenate(owners)
         _, inverse = np.unique(h, return_inverse=True)
         counts = counts.sort_values("bucket")
         count = np.concatenate([np.frombuffer(x, "<i8") for x in counts["counts"]])[inverse] if len(counts) else np.zeros(0, np.int64)
         tokens = np.bincount(owner, minlength=m) + 1
         seen = np.bincount(owner, weights=count > 0, minlength=m).astype(np.int64) + (ends > 0)
         base = np.bincount(owner, weights=np.log10(count + 1.0), minlength=m) + np.log10(ends + 1.0) - tokens * np.log10(n + v + 1.0)
-        model_parts = unpacked(model.value)
-        found = np.empty(m)
-        for lo, hi in spans(offsets + 64 * np.arange(m + 1), BATCH):  # short texts weigh in too
-            found[lo:hi] = score_texts(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], *model_parts, params)
         return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "held_out": ~texts["learn"], "n_tokens": tokens, "n_known": seen, "train_tokens": n,
                              "base_score": base, "score": found, "bits_per_byte": -found * np.log2(10.0) / (np.diff(offsets) + 1)})
 
