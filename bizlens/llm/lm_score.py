@@ -5,8 +5,8 @@ counts over all learnable documents in several contexts: the last 3, 4 and 6 byt
 context hashes to a row of 16 counts for the upper half of the next byte and, with that half, to one for the lower; sums of a row's counts
 are the zeros and ones seen at each bit. The predictions, as logits, are mixed with weights that
 a gate (how often the word so far was seen) selects and that learn from every coded byte; the mix is refined by an
-adaptive map from (bit, probability) to what came. Both start anew every SEGMENT bytes, so long texts are scored side by
-side; contexts reach over these borders. The sum of the logarithms is the probability of the text.
+adaptive map from (bit, probability) to what came. Both learn from the first byte of a text to its last; texts of
+similar length advance side by side. The sum of the logarithms is the probability of the text.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ HALF = 0.1
 #: Times that the word so far was seen, at which the next gate begins.
 GATES = (1, 4, 16, 64, 256, 1024)
 WORD = 0
-#: Bytes whose predictions are held at once.
+#: Bytes whose predictions are held at once (a few more where more texts than this are alive).
 BATCH = 2 << 20
 
 
@@ -44,7 +44,8 @@ BATCH = 2 << 20
 class Params:
     """Contexts as (bytes, log2 of rows); 0 bytes means the word so far and stands last. The table's size is fixed by them.
 
-    ``start_weight`` has the first weights of each gate, one per context.
+    ``start_weight`` has the first weights of each gate, one per context. With a ``segment``, weights and refinement start anew
+    every so many bytes; 0 carries them through the whole text.
     """
 
     contexts: tuple[tuple[int, int], ...] = ((3, 18), (4, 18), (6, 18), (WORD, 19))
@@ -55,7 +56,7 @@ class Params:
     refine_rate: float = 0.02
     refine_share: float = 0.5
     levels: int = 32
-    segment: int = 1024
+    segment: int = 0
     block_bytes: int = 8 << 20
 
     @property
@@ -95,19 +96,23 @@ def word_hash(data: np.ndarray) -> np.ndarray:
     return (prefix[:n] - prefix[start]) * down[start]
 
 
-def cells(data: np.ndarray, params: Params, so_far: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each context: its number, and the cells (from its own first one) of the upper and lower half of every byte from PAD on."""
-    n = len(data) - PAD
-    now = data[PAD:]
+def word_context(so_far: np.ndarray) -> np.ndarray:
+    return (so_far >> np.uint64(32)).astype(np.uint32)
+
+
+def cells(data: np.ndarray, params: Params, word: np.ndarray | None = None, at: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each context: its number, and the cells (from its own first one) of the upper and lower half of the bytes ``at`` (every byte from PAD on)."""
+    now = data[PAD:] if at is None else data[at]
+    n = len(now)
     high, low = (now >> 4).astype(np.uint32), (now & 15).astype(np.uint32)
     past, width = np.zeros(n, np.uint32), 0
     for k, (order, rows) in enumerate(params.contexts):
         if order == WORD:
-            so_far = word_hash(data) if so_far is None else so_far
-            context = (so_far[PAD:] >> np.uint64(32)).astype(np.uint32)
+            word = word_context(word_hash(data)) if word is None else word
+            context = word[PAD:] if at is None else word[at]
         else:
             for j in range(width + 1, order + 1):
-                past = past * M0 + data[PAD - j:len(data) - j]
+                past = past * M0 + (data[PAD - j:len(data) - j] if at is None else data[at - j])
             width, context = order, past
         shift = np.uint32(32 - rows)
         first = context ^ context >> np.uint32(15)
@@ -179,38 +184,53 @@ def learn(docs: DataFrame, params: Params, learnable: Column) -> tuple[np.ndarra
 def score_texts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, gates: np.ndarray, params: Params) -> np.ndarray:
     """log10 probability of each text."""
     text, begin, end = framed(data, offsets)
-    return score_framed(text, begin, end, word_hash(text), table, gates, params)
+    return score_framed(text, begin, end, word_context(word_hash(text)), table, gates, params)
 
 
-def score_framed(text: np.ndarray, begin: np.ndarray, end: np.ndarray, so_far: np.ndarray, table: np.ndarray, gates: np.ndarray, params: Params) -> np.ndarray:
-    """As ``score_texts``, for texts framed and hashed already."""
-    counts = -(-(end - begin) // params.segment)
+def score_framed(text: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.ndarray, table: np.ndarray, gates: np.ndarray, params: Params) -> np.ndarray:
+    """As ``score_texts``, for texts framed and hashed already. All texts advance together, a stretch of about BATCH bytes at a time."""
+    counts = -(-(end - begin) // params.segment) if params.segment else np.ones(len(begin), np.int64)
     doc = np.repeat(np.arange(len(begin)), counts)
     start = begin[doc] + (np.arange(len(doc)) - np.repeat(np.append(0, np.cumsum(counts)[:-1]), counts)) * params.segment
-    length = np.minimum(end[doc] - start, params.segment)
+    length = end[doc] - start
+    if params.segment:
+        length = np.minimum(length, params.segment)
     order = np.argsort(-length, kind="stable")
     start, length, doc = start[order], length[order], doc[order]
-    # segments advance together: all first bytes, then all second bytes of those that have one, and so on
-    alive = np.searchsorted(-length, -np.arange(int(length[0])), "left")
-    turn = np.concatenate([start[:m] + (t - PAD) for t, m in enumerate(alive.tolist())])
-    known, gate = np.empty((len(params.contexts), 2, len(turn)), "<u4"), None
-    for k, first, second in cells(text, params, so_far):
-        a, b = params.bases[k], params.bases[k + 1]
-        np.take(table[a:b], first[turn], out=known[k, 0], mode="clip")
-        np.take(table[a:b], second[turn], out=known[k, 1], mode="clip")
-        if params.contexts[k][0] == WORD:
-            gate = gates[a // 16:b // 16][first[turn] >> 4]
-    sums = mix_segments(text[turn + PAD], alive, known.view(np.int8), np.zeros(len(turn), np.uint8) if gate is None else gate, params)
+    state, sums, t, longest = mix_state(len(doc), params), np.zeros(len(doc)), 0, int(length[0])
+    while t < longest:
+        steps = min(longest - t, max(1, BATCH // int(np.searchsorted(-length, -t, "left"))))
+        # all bytes t, then all bytes t + 1 of the texts that have one, and so on
+        alive = np.searchsorted(-length, -np.arange(t, t + steps), "left")
+        turn = np.concatenate([start[:m] + (t + j) for j, m in enumerate(alive.tolist())])
+        known, gate = np.empty((len(params.contexts), 2, len(turn)), "<u4"), None
+        for k, first, second in cells(text, params, word, turn):
+            a, b = params.bases[k], params.bases[k + 1]
+            np.take(table[a:b], first, out=known[k, 0], mode="clip")
+            np.take(table[a:b], second, out=known[k, 1], mode="clip")
+            if params.contexts[k][0] == WORD:
+                gate = gates[a // 16:b // 16][first >> 4]
+        part = mix_segments(text[turn], alive, known.view(np.int8), np.zeros(len(turn), np.uint8) if gate is None else gate, params, state)
+        sums[:len(part)] += part
+        t += steps
     return np.bincount(doc, weights=sums, minlength=len(begin)) / np.log(10.0)
 
 
-def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: np.ndarray, params: Params) -> np.ndarray:
-    """Natural log probability of each segment; ``byte``, ``known`` and ``gate`` list all segments' bytes in the order they are coded."""
-    n, n_ctx, levels = int(alive[0]), len(params.contexts), params.levels
-    weights = np.repeat(np.array(params.start_weight, np.float32), n, axis=0) / np.float32(UNIT)  # a row per gate and segment
-    centre = np.linspace(-8, 8, levels, dtype=np.float32)
-    refine = np.repeat(np.tile(1 / (1 + np.exp(-centre)), 8), n)
-    line, total = np.arange(n, dtype=np.int64), np.zeros(n)
+def mix_state(n: int, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and refinement with which ``n`` segments begin: a row of weights per gate and segment; cells by bit, level and segment."""
+    weights = np.repeat(np.array(params.start_weight, np.float32), n, axis=0) / np.float32(UNIT)
+    centre = np.linspace(-8, 8, params.levels, dtype=np.float32)
+    return weights, np.repeat(np.tile(1 / (1 + np.exp(-centre)), 8), n)
+
+
+def mix_segments(byte: np.ndarray, alive: np.ndarray, known: np.ndarray, gate: np.ndarray, params: Params,
+                 state: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Natural log probability of the segments alive; ``byte``, ``known`` and ``gate`` list all their bytes in the order they are coded.
+    ``state`` is what they learned before; it learns on."""
+    weights, refine = mix_state(int(alive[0]), params) if state is None else state
+    levels, n_ctx = params.levels, len(params.contexts)
+    n = len(refine) // (8 * levels)
+    line, total = np.arange(n, dtype=np.int64), np.zeros(int(alive[0]))
     place = (np.arange(8, dtype=np.int32) * (n * levels))[:, None] + np.arange(n, dtype=np.int32)
     one, share, refine_rate = np.float32(1), np.float32(params.refine_share), np.float32(params.refine_rate)
     rate, scale = np.float32(params.rate / UNIT ** 2), np.float32((levels - 1) / 16)
@@ -327,9 +347,15 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
     rows = keyed(docs, id_col, text_col).withColumn("learn", learnable(F.col("doc_id")))
     # every executor keeps the broadcast on its disk, so it is packed; each worker unpacks it once
     model = spark.sparkContext.broadcast(tuple(zlib.compress(part.tobytes(), 1) for part in learn(rows, params, F.col("learn"))))
-    size = rows.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("bytes"), F.sum(F.col("learn").cast("long")).alias("learned")).first()
-    blocks, ends = max(1, -(-(size["bytes"] or 0) // params.block_bytes)), size["learned"] or 0
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    # texts of one class of length (bits of the number of bytes) share blocks, so that long ones advance side by side
+    grade = F.length(F.bin(F.octet_length("text").cast("long")))
+    sizes = rows.groupBy(grade.alias("grade")).agg(F.sum(F.octet_length("text") + F.lit(64)).alias("bytes"), F.sum(F.col("learn").cast("long")).alias("learned")).collect()
+    share, ends = np.zeros(65, np.int64), sum(r["learned"] for r in sizes)
+    for r in sizes:
+        share[r["grade"]] = -(-r["bytes"] // params.block_bytes)
+    blocks = max(1, int(share.sum()))
+    head, many = (F.array(*[F.lit(x) for x in xs])[grade] for xs in ((np.cumsum(share) - share).tolist(), np.maximum(share, 1).tolist()))
+    dealt = rows.withColumn("block", head + F.pmod(F.xxhash64("doc_id", "text"), many))
     answers = word_counts(dealt, max(1, blocks // 4))
     known = answers.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = (known["n"] or 0) + ends, (known["v"] or 0) + (ends > 0)
@@ -340,14 +366,17 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
         data, offsets = text_buffer(texts["text"])
         m = len(texts)
         model_parts = unpacked(model.value)
-        found, hashes, owners = np.empty(m), [], []
+        hashes, owners, frames, base = [], [], [], 0
         for lo, hi in spans(offsets + 64 * np.arange(m + 1), BATCH):  # short texts weigh in too
             text, begin, end = framed(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
             so_far = word_hash(text)
             h, own = framed_words(text, begin, so_far)
             hashes.append(h)
             owners.append(own + lo)
-            found[lo:hi] = score_framed(text, begin, end, so_far, *model_parts, params)
+            frames.append((text, begin + base, end + base, word_context(so_far)))
+            base += len(text)
+        found = score_framed(*(np.concatenate(x) for x in zip(*frames)), *model_parts, params)
+        del frames
         h, owner = np.concatenate(hashes), np.concatenate(owners)
         _, inverse = np.unique(h, return_inverse=True)
         counts = counts.sort_values("bucket")

@@ -140,6 +140,28 @@ def test_lm_scores_do_not_depend_on_the_batch():
     assert np.allclose(whole, alone, rtol=1e-5) and (whole < 0).all()
 
 
+def test_lm_carries_what_it_learned_through_the_whole_text(monkeypatch):
+    params = lm_score.Params(contexts=SMALL.contexts)
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefgh "), n)) for n in (5000, 3000, 40, 0)]
+    table, gates = tables(["the cat sat on the mat"], params)
+    data, offsets = utf8(pa.array(texts))
+    got = lm_score.score_texts(data, offsets, table, gates, params)
+    # one straight pass over a text, nothing forgotten
+    text, begin, end = lm_score.framed(*utf8(pa.array(texts[:1])))
+    n, known, gate = int(end[0] - begin[0]), np.empty((4, 2, int(end[0] - begin[0])), "<u4"), None
+    for k, first, second in lm_score.cells(text, params):
+        a = params.bases[k]
+        known[k, 0], known[k, 1], gate = table[a + first[:n]], table[a + second[:n]], gates[a // 16 + (first[:n] >> 4)]
+    straight = lm_score.mix_segments(text[begin[0]:end[0]], np.ones(n, np.int64), known.view(np.int8), gate, params)[0] / np.log(10)
+    assert np.isclose(got[0], straight, rtol=1e-5)
+    # the stretch held at once does not matter; starting anew scores worse
+    monkeypatch.setattr(lm_score, "BATCH", 1000)
+    assert np.allclose(lm_score.score_texts(data, offsets, table, gates, params), got, rtol=1e-5)
+    anew = lm_score.score_texts(data, offsets, table, gates, lm_score.Params(contexts=SMALL.contexts, segment=1024))
+    assert (got[:2] > anew[:2] + 1).all() and np.allclose(got[2:], anew[2:], rtol=1e-5)
+
+
 def test_lm_learns(corpus):
     docs, _ = corpus
     rows = lm_score.score(docs).collect()
