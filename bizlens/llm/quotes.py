@@ -2,8 +2,9 @@
 
 Quote levels (leading ``>`` signs) are parsed, and each message's own text is what stands at level 0. Quoted text is cut into
 units (whole passages of one level and their single lines), normalised and hashed, and each unit is joined to
-the nearest earlier message of its conversation whose own text has the same unit. The message that most quoted characters of level 1 come from is what a
-message replies to; following replies gives threads, and threads in order give the conversation without quotes.
+the nearest earlier message of its conversation whose own text has the same unit. The source of a quote level is the message that most of its quoted
+characters come from, and a message replies to the source of its shallowest level that has one; following replies gives threads, and threads in order
+give the conversation without quotes.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from bizlens.operators.ordering import running_total
 
 MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 PARSED = "struct<own:string,units:array<struct<level:int,hash:binary,chars:int>>,quoted:int>"
+SOURCES = "array<struct<level:int,source:bigint>>"
 NO_CONVERSATION = -(1 << 63)
 
 
@@ -67,35 +69,36 @@ def parsed(texts: pa.Array) -> pa.Array:
 
 
 def replies(messages: DataFrame) -> DataFrame:
-    """``conv, turn, reply_to`` of the messages that quote an earlier one, from ``conv, turn, units``.
+    """``conv, turn, reply_to, sources`` of the messages that quote an earlier one, from ``conv, turn, units``; ``sources`` has the message each level comes from.
 
     Own units are kept only where something quotes them; each quoted unit meets the nearest earlier one by a running maximum, so no pairs
     are built where a line is repeated over and over.
     """
     units = messages.select("conv", "turn", F.explode("units").alias("u")).select("conv", "turn", "u.*").filter(F.col("turn").isNotNull())
-    asked = units.filter("level = 1").groupBy("conv", "hash", "turn").agg(F.max("chars").alias("chars"))
+    asked = units.filter("level > 0").groupBy("conv", "hash", "turn").agg(F.max("chars").alias("chars"), F.collect_set("level").alias("levels"))
     asked = stored(asked, "quoted-units")
     if asked.isEmpty():
-        return asked.select("conv", "turn", F.col("turn").alias("reply_to"))
+        return asked.select("conv", "turn", F.col("turn").alias("reply_to"), F.lit(None).cast(SOURCES).alias("sources"))
     given = units.filter("level = 0").join(asked.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi").groupBy("conv", "hash", "turn").agg(F.lit(True).alias("given"))
     both = asked.join(given, ["conv", "hash", "turn"], "full_outer")
     before = Window.partitionBy("conv", "hash").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     met = both.withColumn("source", F.max(F.when(F.col("given"), F.col("turn"))).over(before)).filter("chars IS NOT NULL AND source IS NOT NULL")
-    weights = met.groupBy("conv", "turn", "source").agg(F.sum("chars").alias("w"))
-    best = Window.partitionBy("conv", "turn").orderBy(F.col("w").desc(), F.col("source").desc())
-    return weights.withColumn("k", F.row_number().over(best)).filter("k = 1").select("conv", "turn", F.col("source").alias("reply_to"))
+    weights = met.withColumn("level", F.explode("levels")).groupBy("conv", "turn", "level", "source").agg(F.sum("chars").alias("w"))
+    best = Window.partitionBy("conv", "turn", "level").orderBy(F.col("w").desc(), F.col("source").desc())
+    chosen = weights.withColumn("k", F.row_number().over(best)).filter("k = 1")
+    return chosen.groupBy("conv", "turn").agg(F.min_by("source", "level").alias("reply_to"), F.array_sort(F.collect_list(F.struct("level", "source"))).cast(SOURCES).alias("sources"))
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """``conv, turn, reply_to, thread, depth``: the first message each chain of replies leads to, and how many replies lie between.
+    """``conv, turn, reply_to, sources, thread, depth``: the first message each chain of replies leads to, and how many replies lie between.
 
     Each round doubles the distance that a message looks ahead, so rounds grow with the logarithm of the longest chain.
     """
-    now = stored(links.select("conv", "turn", "reply_to", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")), "threads")
+    now = stored(links.select("conv", "turn", "reply_to", "sources", F.col("reply_to").alias("thread"), F.lit(1).cast("long").alias("depth")), "threads")
     while True:
         up = now.select(F.col("conv"), F.col("turn").alias("thread"), F.col("thread").alias("next"), F.col("depth").alias("more"))
         step = now.join(up, ["conv", "thread"], "left")
-        now = stored(step.select("conv", "turn", "reply_to", F.coalesce("next", "thread").alias("thread"),
+        now = stored(step.select("conv", "turn", "reply_to", "sources", F.coalesce("next", "thread").alias("thread"),
                                  (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "threads")
         if now.filter("moved").isEmpty():
             return now.drop("moved")
@@ -103,10 +106,10 @@ def threads(links: DataFrame) -> DataFrame:
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
-    """Per message: ``conv_id, turn, role, text`` (without quotes), ``reply_to``, ``thread``, ``depth``, ``position``, ``n_quoted``.
+    """Per message: ``conv_id, turn, role, text`` (without quotes), ``reply_to``, ``thread``, ``depth``, ``position``, ``n_quoted``, ``sources``.
 
-    ``position`` (from 1) puts a conversation's threads in order of their first turn and messages of a thread by turn. A message that
-    quotes nothing known starts a thread of its own (``reply_to`` null, ``depth`` 0). A null text counts as empty. A null turn comes last,
+    ``position`` (from 1) puts a conversation's threads in order of their first turn and messages of a thread by turn. ``sources`` lists
+    (level, turn) for each quote level whose text an earlier message has as its own (null where none has). A message that quotes nothing known at any level starts a thread of its own (``reply_to`` null, ``depth`` 0). A null text counts as empty. A null turn comes last,
     quotes nothing and is quoted by nothing. Messages of a null conversation form one. Repeated rows stay, next to each other; of equal
     (conversation, turn) the order follows the text. An empty table gives an empty table; other columns are not read.
     """
@@ -118,4 +121,4 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         "thread": F.coalesce("thread", "turn"), "depth": F.coalesce("depth", F.lit(0)), "one": F.lit(1), "tie": F.xxhash64("own", "role")})
     ordered = running_total(placed, [("thread", False), ("turn", False), ("tie", False)], {"position": "one"}, by=["conv"])
     return ordered.select(F.nullif("conv", F.lit(NO_CONVERSATION)).alias("conv_id"), "turn", "role", F.col("own").alias("text"), "reply_to", "thread", "depth",
-                          "position", F.col("quoted").alias("n_quoted"))
+                          "position", F.col("quoted").alias("n_quoted"), "sources")

@@ -30,6 +30,16 @@ def test_replies_threads_and_order(make, spark):
     assert [t for _, t in sorted((r.position, r.turn) for r in rows if r.conv_id == 1)] == [0, 2, 4, 1, 3, 5]
 
 
+def test_deeper_levels(make, spark):
+    rows = linked(make, spark, [
+        (1, 0, "The seed arrived late."), (1, 1, "Another topic altogether."), (1, 2, ">> The seed arrived late.\nOnly the second level."),
+        (1, 3, "> an edited line\n>>> Another topic altogether.\nThird level."), (1, 4, "> Third level.\n>> The seed arrived late.\nBoth."),
+        (1, 5, "> The seed arrived late.\n>> The seed arrived late.\nTwice."), (1, 6, ">> Itself.\nItself."), (1, 7, ">> Itself.\n> Itself.\nItself.")])
+    got = {r.turn: (r.reply_to, r.thread, r.depth, [tuple(s) for s in r.sources or []]) for r in rows}
+    assert got == {0: (None, 0, 0, []), 1: (None, 1, 0, []), 2: (0, 0, 1, [(2, 0)]), 3: (1, 1, 1, [(3, 1)]), 4: (3, 1, 2, [(1, 3), (2, 0)]),
+                   5: (0, 0, 1, [(1, 0), (2, 0)]), 6: (None, 6, 0, []), 7: (6, 6, 1, [(1, 6), (2, 6)])}
+
+
 def test_long_chain(make, spark):
     messages = [(1, 0, "line 0")] + [(1, k, f"> line {k - 1}\nline {k}") for k in range(1, 40)]
     got = {r.turn: (r.thread, r.depth, r.position) for r in linked(make, spark, messages)}
