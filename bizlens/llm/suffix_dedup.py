@@ -11,6 +11,7 @@
    of rows from one shard are dropped, as that shard's own order decides them; what is left after ``window`` symbols are the
    strings repeated across shards. No suffix is compared again.
 4. In each class of equal windows all but the earliest are removed.
+5. Windows of a key with too many distinct fragments are sorted by 128 bits of hash instead, and all but the first of each are removed as they stream by.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SCAN_BYTES = 1 << 20
 SHARD, GROUP = 1 << 18, 1 << 21
 #: Symbols per refinement step.
 STEP = 4
-#: Fragments of one key that meet; a key with more is dealt by single windows.
+#: Fragments of one key that meet; a key with more is dealt by single windows, whose copies never meet.
 HOT = 20_000
 #: Documents looked at for keys that stand in this share of all documents with ever new surroundings.
 SAMPLE, HOT_SHARE = 2000, 0.04
@@ -161,6 +162,19 @@ def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out([c[several] for c in own], True)
 
 
+def single_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Each window of the listed fragments of documents, as ``scan`` gives fragments."""
+    for batch in batches:
+        doc, sub = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for k in range(batch.num_rows):
+            raw, parts = batch.column(2)[k].as_py().encode(), batch.column(3)[k].values
+            at = np.concatenate([np.arange(a, a + n) for a, n in zip(parts.field(1).to_pylist(), parts.field(2).to_pylist())])
+            digests = b"".join([hashlib.blake2b(raw[a:a + window], digest_size=16).digest() for a in at.tolist()])
+            key, content = np.frombuffer(digests, "<i8").reshape(-1, 2).T.copy()
+            place = packed(np.full(len(at), sub[k]), at, np.ones(len(at), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, content, np.full(len(at), doc[k]), place)], names=["key", "content", "doc", "place"])
+
+
 def suffix_ranks(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Suffix array of a shard to at least ``depth`` symbols by prefix doubling, and the ranks by 4, 8, 16, ... symbols."""
     n = len(symbols)
@@ -333,13 +347,19 @@ def removals(rows: DataFrame, window: int, gram: int, hot: int = HOT) -> DataFra
     found = rows.select("doc", "sub", "text").mapInArrow(lambda b: scan(b, window, gram, common), "key long, content long, doc long, place long")
     dealt = found.repartition("key").sortWithinPartitions("key", "content", "doc", "place")
     sifted = stored(dealt.mapInArrow(sift, "key long, doc long, place long, open boolean"), "fragments")
-    spread = sifted.select("*", F.shiftright("place", 41).alias("sub"), F.shiftright("place", 9).bitwiseAND(F.lit((1 << 32) - 1)).alias("start"),
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.select("*", F.shiftright("place", 41).alias("sub"), F.shiftright("place", 9).bitwiseAND(F.lit((1 << 32) - 1)).alias("start"),
                            F.col("place").bitwiseAND(F.lit(255)).alias("windows"))
+
+    spread = placed(sifted)
     rest = spread.filter("open")
-    crowded = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("split")), "crowded-keys")
-    marked = rest.withColumn("split", F.lit(False)) if crowded.isEmpty() else \
-        rest.join(crowded, "key", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    wanted = marked.groupBy("doc", "sub").agg(F.collect_list(F.struct("key", "start", "windows", "split")).alias("parts"))
+    crowded = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "crowded-keys")
+    split = not crowded.isEmpty()
+
+    def texts_of(part: DataFrame) -> DataFrame:
+        wanted = part.groupBy("doc", "sub").agg(F.collect_list(F.struct("key", "start", "windows")).alias("parts"))
+        return rows.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,13 +367,8 @@ def removals(rows: DataFrame, window: int, gram: int, hot: int = HOT) -> DataFra
             for k in range(batch.num_rows):
                 raw, out = batch.column(2)[k].as_py().encode(), []
                 parts = batch.column(3)[k].values
-                for key, start, windows, split in zip(*(parts.field(j).to_pylist() for j in range(4))):
-                    if not split:
-                        out.append((key, start, raw[start:start + windows + window - 1]))
-                        continue
-                    for at in range(start, start + windows):
-                        piece = raw[at:at + window]
-                        out.append((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True), at, piece))
+                for key, start, windows in zip(*(parts.field(j).to_pylist() for j in range(3))):
+                    out.append((key, start, raw[start:start + windows + window - 1]))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(np.full(len(out), doc[k])), pa.array(np.full(len(out), sub[k])),
                                                   pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())],
                                                  names=["key", "doc", "sub", "start", "bytes"])
@@ -364,9 +379,14 @@ def removals(rows: DataFrame, window: int, gram: int, hot: int = HOT) -> DataFra
             if len(runs[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(r) for r in runs], names=["doc", "sub", "start", "windows"])
 
-    pieces = rows.select("doc", "sub", "text").join(wanted, ["doc", "sub"]).select("doc", "sub", "text", "parts").mapInArrow(cut, "key long, doc long, sub long, start long, bytes binary")
+    pieces = texts_of(rest.join(crowded, "key", "left_anti") if split else rest).mapInArrow(cut, "key long, doc long, sub long, start long, bytes binary")
     matched = pieces.repartition("key").sortWithinPartitions("key", "doc", "sub", "start").mapInArrow(match, "doc long, sub long, start long, windows long")
-    return spread.filter("not open").select("doc", "sub", "start", "windows").unionByName(matched)
+    gone = spread.filter("not open")
+    if split:
+        singles = texts_of(rest.join(crowded, "key", "left_semi")).mapInArrow(lambda b: single_windows(b, window), "key long, content long, doc long, place long")
+        folded = singles.repartition("key").sortWithinPartitions("key", "content", "doc", "place").mapInArrow(sift, "key long, doc long, place long, open boolean")
+        gone = gone.unionByName(placed(folded.filter("not open")))  # the first of each window, and windows that share a key only, are open
+    return gone.select("doc", "sub", "start", "windows").unionByName(matched)
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterator[tuple]:

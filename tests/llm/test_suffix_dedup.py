@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -35,6 +36,21 @@ def test_equals_brute_force(spark, docs_of, hot):
     assert run(docs_of(pairs), hot=hot) == brute(pairs, 100)
 
 
+def test_copies_of_a_split_window_are_never_held_together(docs_of, monkeypatch):
+    real = suffix_dedup.repeats
+
+    def watched(doc, sub, start, texts, window):
+        assert max(Counter(bytes(t) for t in texts).values()) <= 3, "copies of one window met"
+        return real(doc, sub, start, texts, window)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", watched)
+    rng = np.random.default_rng(7)
+    noise = lambda: "".join(rng.choice(list("abcdefghij"), 200))
+    passage = "".join(rng.choice(list("klmnopqrst"), 130))
+    pairs = [(k, noise() + passage + noise()) for k in range(40)] + [(50, passage), (50, passage), (None, passage)]
+    assert run(docs_of(pairs), hot=3) == brute(pairs, 100)
+
+
 def test_periodic_and_overlapping_texts(docs_of):
     rng = np.random.default_rng(3)
     base = "".join(rng.choice(list("abcd"), 700))
