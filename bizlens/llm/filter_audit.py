@@ -112,6 +112,10 @@ def changes(spark: SparkSession, documents: str, labels: DataFrame, files_per_ba
                           F.when(F.col("quality") == 1, 1).otherwise(0).alias("good"),
                           F.when(F.col("toxic") == 1, 1).otherwise(0).alias("toxic"))
     marks = marks.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(documents)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        # A stream reads folders; one file is named by a pattern that matches only itself.
+        documents = f"{documents[:-1]}[{documents[-1]}]"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(documents)
     rows = masks(stream.select("doc_id", "text", "lang")).join(marks, "doc_id", "left").fillna(0, ["good", "toxic"])
     rows = rows.select("doc_id", "text_key", "part", "mask", F.col("good").cast("int").alias("good"), F.col("toxic").cast("int").alias("toxic"))
