@@ -34,6 +34,8 @@ UNKNOWN = "und"
 #: without pruning (the same result, more rows).
 BROADCAST_BYTES = 64 << 20
 COUNTS = "lang string, size int, phrase string, f long"
+#: Rows of a task's count automaton held before it is merged, and sent on when still more than half this after the merge.
+FLUSH_ROWS = 1 << 21
 SEPARATORS = np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)
 
 
@@ -89,9 +91,18 @@ def grams(lang: pa.Array, words: pa.Array, piece: np.ndarray, size: int, frequen
     return pc.take(lang, at), phrase
 
 
-def counted(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], frequent, step: int) -> Iterator[pa.RecordBatch]:
-    """Summed n-gram weights of each shard of about ``step`` bytes; the shard's count automaton as sorted rows."""
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    both = pa.concat_tables(tables).group_by(["lang", "size", "phrase"]).aggregate([("f", "sum")])
+    both = pa.table({"lang": both["lang"], "size": both["size"], "phrase": both["phrase"], "f": both["f_sum"]})
+    return both.sort_by([("lang", "ascending"), ("size", "ascending"), ("phrase", "ascending")])
+
+
+def counted(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], frequent, step: int, flush: int) -> Iterator[pa.RecordBatch]:
+    """The count automaton of a task, built shard by shard (about ``step`` bytes each): every shard's sorted weighted
+    n-grams are merged into it; when it holds more than ``flush`` rows after a merge, it is sent on and begun anew."""
     known = frequent.value if frequent is not None else None
+    held: list[pa.Table] = []
+    rows = 0
     for batch in batches:
         lang = pc.fill_null(batch.column("lang"), UNKNOWN).to_pylist()
         text = pc.fill_null(batch.column("text"), "")
@@ -112,17 +123,25 @@ def counted(batches: Iterator[pa.RecordBatch], sizes: tuple[int, ...], frequent,
                 gl, gp = grams(la, wo, pi, size, known)
                 if len(gp) == 0:
                     continue
-                table = pa.table({"lang": gl, "phrase": gp}).group_by(["lang", "phrase"]).aggregate([("phrase", "count")])
-                table = table.sort_by([("lang", "ascending"), ("phrase", "ascending")])
-                yield pa.RecordBatch.from_arrays([table["lang"].combine_chunks(), pa.array(np.full(len(table), size, np.int32)),
-                                                  table["phrase"].combine_chunks(), pc.cast(table["phrase_count"], pa.int64()).combine_chunks()],
-                                                 names=["lang", "size", "phrase", "f"])
+                shard = pa.table({"lang": gl, "phrase": gp}).group_by(["lang", "phrase"]).aggregate([("phrase", "count")])
+                held.append(pa.table({"lang": shard["lang"], "size": pa.array(np.full(len(shard), size, np.int32)),
+                                      "phrase": shard["phrase"], "f": pc.cast(shard["phrase_count"], pa.int64())}))
+                rows += len(shard)
+            if rows > flush:
+                held = [_merged(held)]
+                rows = len(held[0])
+                if rows > flush // 2:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
             lo = hi
+    if held:
+        yield from _merged(held).to_batches()
 
 
 def level(docs: DataFrame, sizes: tuple[int, ...], frequent, step: int) -> DataFrame:
     """Counts of the phrases of ``sizes`` words, united and summed by prefix range."""
-    shards = docs.mapInArrow(lambda it: counted(it, sizes, frequent, step), COUNTS)
+    flush = FLUSH_ROWS
+    shards = docs.mapInArrow(lambda it: counted(it, sizes, frequent, step, flush), COUNTS)
     ranged = shards.repartitionByRange("lang", "size", "phrase")
     return ranged.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 

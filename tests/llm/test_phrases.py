@@ -55,8 +55,9 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("step", [1 << 20, 64])
-def test_equals_brute_force(spark, docs_of, step):
+@pytest.mark.parametrize("step,flush", [(1 << 20, 1 << 21), (64, 50)])
+def test_equals_brute_force(spark, docs_of, step, flush, monkeypatch):
+    monkeypatch.setattr(phrases, "FLUSH_ROWS", flush)
     rows = corpus(3) + [(t, "en") for _, t in ODD] + [("new york city " * 50, "en"), ("new york city " * 50, "en")]
     df = spark.createDataFrame([(k, t, lang, 1) for k, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string, size int")
     got = phrases.mine(df, least=3, top=7, step=step).collect()
