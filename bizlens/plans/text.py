@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from bizlens.functions.textual import cosine, is_junk_title, mentions_any, name_similarity, normalise_name, relabel_language, repair_mojibake, token_jaccard, tokens
 from bizlens.operators.linking import drop_one_char, drop_one_token, link_by_signature
+from bizlens.operators.similarity import components, edit_pairs, jaccard_pairs
 
 QUERY_BATCH = 64
 
@@ -81,6 +82,39 @@ def resolve_entities(df: DataFrame, name: str, aliases: DataFrame | None = None,
     return normed.join(named, "_norm").select(name, "canonical", "mentions")
 
 
+def cluster_titles_jaccard(df: DataFrame, key: str, title: str, least_pct: int = 50) -> DataFrame:
+    """Same-story clusters by a set-similarity join: ``(key, title, cluster, cluster_size)``.
+
+    Titles link when their word sets reach a Jaccard similarity of ``least_pct`` percent (verified on whole sets);
+    a cluster is a component of such links, named by its smallest key. Equal word sets are folded first, so copies
+    of any number cost one row; records without a word keep to themselves.
+    """
+    keyed = df.select(key, title).withColumn("_norm", F.concat_ws(" ", F.array_sort(F.array_distinct(tokens(title)))))
+    distinct = keyed.filter("_norm <> ''").groupBy("_norm").agg(F.min(key).alias("_node"))
+    pairs = jaccard_pairs(distinct.select("_node", F.split("_norm", " ").alias("_w")), "_node", "_w", least_pct)
+    roots = components(distinct.select("_node"), "_node", pairs)
+    by_norm = distinct.join(roots, "_node").select("_norm", F.col("root").alias("cluster"))
+    tagged = keyed.join(by_norm, "_norm", "left").withColumn("cluster", F.coalesce("cluster", F.col(key)))
+    sizes = tagged.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"))
+    return tagged.join(sizes, "cluster").select(key, title, "cluster", "cluster_size")
+
+
+def resolve_names_edit(df: DataFrame, name: str, least_pct: int = 75) -> DataFrame:
+    """Fold spelling variants by an edit-similarity join: ``(name, canonical, mentions)``.
+
+    Normal forms (case, punctuation, legal form) link when their edit similarity ``1 - lev / longer length`` is at
+    least ``least_pct`` percent, at any length; a group is a component of such links, and its canonical name is its
+    most mentioned one (ties: the larger name). Null names are not counted.
+    """
+    counted = df.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("mentions"))
+    normed = counted.withColumn("_norm", normalise_name(name))
+    forms = normed.select("_norm").distinct()
+    roots = components(forms, "_norm", edit_pairs(forms, "_norm", least_pct))
+    grouped = normed.join(roots, "_norm")
+    best = grouped.groupBy("root").agg(F.max_by(name, F.struct("mentions", name)).alias("canonical"))
+    return grouped.join(best, "root").select(name, "canonical", "mentions")
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of ``n`` words; ``words`` must be a plain column, or it is recomputed per run."""
     if n == 1:

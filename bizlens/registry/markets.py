@@ -154,6 +154,24 @@ HOSTS = rf"""WITH RECURSIVE h AS (SELECT regexp_extract(lower(regexp_extract(url
         b AS (SELECT *, first_value(name) OVER x AS best, first_value(norm) OVER x AS best_norm, first_value(name) OVER (PARTITION BY norm ORDER BY mentions DESC, name DESC) AS own
               FROM c JOIN root ON n = norm WINDOW x AS (PARTITION BY g ORDER BY mentions DESC, name DESC))
         SELECT name, CASE WHEN 1 - CAST(levenshtein(norm, best_norm) AS DOUBLE) / greatest(length(norm), length(best_norm)) >= 0.75 THEN best ELSE own END AS canonical, mentions FROM b"""
+TITLE_SETS = rf"""WITH RECURSIVE p AS (SELECT page_id, {TITLE} AS title FROM pages),
+        w AS (SELECT page_id, title, list_sort(list_distinct({WORDS.format('title')})) AS ws FROM p),
+        d AS (SELECT ws, min(page_id) AS node FROM w WHERE len(ws) > 0 GROUP BY ws),
+        e AS (SELECT a.node AS a, b.node AS b FROM d a JOIN d b ON a.node < b.node
+              AND 100 * len(list_intersect(a.ws, b.ws)) >= {{pct}} * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))),
+        ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        reach(n, r) AS (SELECT node, node FROM d UNION SELECT reach.n, ee.b FROM reach JOIN ee ON ee.a = reach.r),
+        root AS (SELECT n, min(r) AS g FROM reach GROUP BY n),
+        c AS (SELECT w.page_id, w.title, coalesce(root.g, w.page_id) AS cluster FROM w LEFT JOIN d ON d.ws = w.ws LEFT JOIN root ON root.n = d.node)
+        SELECT page_id, title, cluster, count(*) OVER (PARTITION BY cluster) AS cluster_size FROM c"""
+NAME_EDITS = rf"""WITH RECURSIVE h AS (SELECT regexp_extract(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)), '^(?:www\.|m\.)?([^.]+)', 1) AS name FROM pages),
+        c AS (SELECT name, count(*) AS mentions, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(name), '{LEGAL_FORMS}', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ''), lower(name)) AS norm FROM h WHERE name IS NOT NULL GROUP BY name),
+        f AS (SELECT DISTINCT norm FROM c),
+        e AS (SELECT a.norm AS a, b.norm AS b FROM f a JOIN f b ON a.norm < b.norm AND 100 * levenshtein(a.norm, b.norm) <= 25 * greatest(length(a.norm), length(b.norm))),
+        ee AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        reach(n, r) AS (SELECT norm, norm FROM f UNION SELECT reach.n, ee.b FROM reach JOIN ee ON ee.a = reach.r),
+        root AS (SELECT n, min(r) AS g FROM reach GROUP BY n)
+        SELECT name, first_value(name) OVER (PARTITION BY g ORDER BY mentions DESC, name DESC) AS canonical, mentions FROM c JOIN root ON n = norm"""
 COS = "round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
 
 QUERIES = {
@@ -212,6 +230,9 @@ QUERIES = {
         FROM (SELECT page_id, {TITLE} AS title, regexp_extract(html, '<html[^>]*lang="([a-z]+)"', 1) AS lang FROM pages) WHERE NOT regexp_matches(title, '{JUNK_TITLE}')"""),
     "text_title_clusters": (q(lambda w: text.cluster_titles(_pages(w), "page_id", "title")), TITLES),
     "text_resolved_hosts": (q(lambda w: text.resolve_entities(_labels_of_hosts(w), "name")), HOSTS),
+    "text_title_jaccard_50": (q(lambda w: text.cluster_titles_jaccard(_pages(w), "page_id", "title", 50)), TITLE_SETS.replace("{pct}", "50")),
+    "text_title_jaccard_80": (q(lambda w: text.cluster_titles_jaccard(_pages(w), "page_id", "title", 80)), TITLE_SETS.replace("{pct}", "80")),
+    "text_hosts_edit_join": (q(lambda w: text.resolve_names_edit(_labels_of_hosts(w), "name", 75)), NAME_EDITS),
     "text_entity_tags": (q(_tagged), f"""WITH g AS (SELECT term, min(item_id) AS entity, count(*) AS items FROM (SELECT item_id, unnest(list_distinct({WORDS.format('text')})) AS term FROM benchmark) GROUP BY 1),
         t AS (SELECT doc_id, unnest({WORDS.format('text')}) AS term FROM documents)
         SELECT doc_id, term, any_value(entity) AS entity, count(*) AS hits FROM t JOIN g USING (term) WHERE items <= 1 GROUP BY doc_id, term"""),

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 from bizlens.functions.textual import content_hash
@@ -54,6 +55,68 @@ def with_silence(health: DataFrame, grace_hours: float) -> DataFrame:
     return health.withColumn("silent", F.coalesce(quiet > F.lit(grace_hours), F.lit(True)))
 
 
+class SilenceTimer(StatefulProcessor):
+    """Per source: the time of its last success, and an event-time timer at that time plus the grace period.
+
+    A success that arrives more than the grace period after the one before closes a silence at once; otherwise the
+    timer fires when the watermark passes the grace period without a new success. Each silence is reported once.
+    """
+
+    def __init__(self, grace_us: int) -> None:
+        self.grace = grace_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long, alerted boolean")
+
+    def _alert(self, source: str, us: int):
+        import pandas as pd
+
+        return pd.DataFrame({"source": [source], "last_us": [us], "alert_us": [us + self.grace]})
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues):
+        import pandas as pd
+
+        prev, alerted = self.last.get() if self.last.exists() else (None, False)
+        times = sorted({int(t) for r in rows for t in r.loc[r["status"] == "ok", "us"] if prev is None or int(t) > prev})
+        alerts = []
+        for t in times:
+            if prev is not None and t - prev > self.grace and not alerted:
+                alerts.append((key[0], prev, prev + self.grace))
+            prev, alerted = t, False
+        if times:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.last.update((prev, False))
+            self.handle.registerTimer((prev + self.grace) // 1000 + 1)
+        yield pd.DataFrame(alerts, columns=["source", "last_us", "alert_us"])
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo):
+        last, _ = self.last.get()
+        self.last.update((last, True))
+        yield self._alert(key[0], last)
+
+    def close(self) -> None:
+        pass
+
+
+def silence_alerts(runs: DataFrame, grace_hours: float, delay: str = DELAY) -> DataFrame:
+    """``(source, last_success, alert_at)`` for each silence longer than the grace period after a success of a source.
+
+    ``runs`` holds ``source``, ``ts`` and ``status`` (``ok`` counts as success). A silence ends with the next success,
+    or is reported when the watermark (newest time less ``delay``) passes ``last_success`` plus the grace period.
+    Rows older than their source's last success are ignored; a source without a success raises no alert.
+    """
+    spark = runs.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                       "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = runs.select("source", "ts", "status", F.unix_micros("ts").alias("us")).withWatermark("ts", delay)
+    out = rows.groupBy("source").transformWithStateInPandas(SilenceTimer(int(grace_hours * 3_600_000_000)), "source string, last_us long, alert_us long",
+                                                            "Append", "EventTime")
+    return out.select("source", F.timestamp_micros("last_us").alias("last_success"), F.timestamp_micros("alert_us").alias("alert_at"))
+
+
 def dedupe(df: DataFrame, cols: list[str], ts: str = "ts", delay: str = DELAY) -> DataFrame:
     """First row per content hash within the watermark; copies inside it are dropped."""
     return df.withColumn("content_hash", content_hash(*cols)).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_hash"])

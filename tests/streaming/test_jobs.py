@@ -109,3 +109,33 @@ def test_the_store_outlives_a_restart(spark, make, tmp_path, kept_state):
             assert rows(again) == [("p", 9), ("q", 7)]
     assert rows(spark.read.parquet(out)) == [("p", 9), ("q", 8), ("r", 1)]
     assert sum(p.name.startswith("v") for p in (tmp_path / "store").iterdir()) <= 3
+
+
+def _silences_by_batch(data, grace, delay_hours):
+    """Each success followed by a gap over the grace period, or by none before the final watermark."""
+    newest = max(ts for _, ts, _ in data)
+    out = []
+    for source in {s for s, _, _ in data}:
+        ok = sorted({ts for s, ts, st in data if s == source and st == "ok"})
+        for a, b in zip(ok, ok[1:] + [None]):
+            end = b if b is not None else newest - dt.timedelta(hours=delay_hours)
+            if end - a > dt.timedelta(hours=grace):
+                out.append((source, a, a + dt.timedelta(hours=grace)))
+    return sorted(out)
+
+
+def test_silence_alerts_by_timer_equal_batch_also_over_a_restart(spark, make, tmp_path):
+    data = [("a", at(0), "ok"), ("b", at(0), "ok"), ("a", at(0.5), "ok"), ("c", at(1), "failed"), ("a", at(3), "ok"),
+            ("b", at(2), "failed"), ("a", at(4), "failed"), ("b", at(30), "ok"), ("a", at(30.5), "ok"), ("b", at(31), "ok"), ("a", at(60), "ok")]
+    ddl = "source string, ts timestamp, status string"
+    folder, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for part in (data[:5], data[5:8]):
+        make(part, ddl).coalesce(1).write.mode("append").parquet(folder)
+    schema = make(data, ddl).schema
+    jobs.run_append(jobs.silence_alerts(jobs.file_stream(spark, folder, schema, files_per_batch=1), 1), out, state=state)
+    make(data[8:], ddl).coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):  # restarted from its state: nothing is read or reported twice
+        jobs.run_append(jobs.silence_alerts(jobs.file_stream(spark, folder, schema, files_per_batch=1), 1), out, state=state)
+    got = rows(spark.read.parquet(out), "source", "last_success", "alert_at")
+    assert got == _silences_by_batch(data, 1, 24)
+    assert ("a", at(3), at(4)) in got and ("b", at(0), at(1)) in got and ("b", at(31), at(32)) in got
