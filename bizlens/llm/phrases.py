@@ -5,9 +5,9 @@ runs of bytes other than space and tab). Everything is per ``lang`` (null: ``und
 phrase's contiguous occurrences within pieces, overlaps included; ``n`` counts all word occurrences.
 
 Every shard (an Arrow batch of at most ``STEP_BYTES`` of text) turns its pieces into a sorted list of weighted
-n-grams: the language of a small acyclic automaton whose paths are phrases and whose weights are counts. Shards
-are united and their weights summed by prefix range (``repartitionByRange`` on language and phrase, then a sum that
-keeps that partitioning). The counts are built level by level: words, then pairs of frequent words, then phrases of
+n-grams: the language of a small acyclic automaton whose paths are phrases and whose weights are counts. Each task
+merges its shards' lists into one, and tasks are united and their weights summed by a partitioning of the phrases
+(by hash, not by prefix range: ``repartitionByRange`` samples its input first, which counted every shard twice). The counts are built level by level: words, then pairs of frequent words, then phrases of
 three to five words whose every adjacent pair is frequent, since a phrase is never more frequent than any part of it.
 Composition with the count automaton (joins on language and phrase) gives, for each candidate and each cut, the
 counts ``l`` and ``r`` of both parts; the score is ``floor(1000 * a * n / (l * r))`` in 38-digit decimals.
@@ -142,8 +142,8 @@ def level(docs: DataFrame, sizes: tuple[int, ...], frequent, step: int) -> DataF
     """Counts of the phrases of ``sizes`` words, united and summed by prefix range."""
     flush = FLUSH_ROWS
     shards = docs.mapInArrow(lambda it: counted(it, sizes, frequent, step, flush), COUNTS)
-    ranged = shards.repartitionByRange("lang", "size", "phrase")
-    return ranged.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+    # Hash partitioning of the whole key: a range partitioning would first sample, and so count every shard twice.
+    return shards.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_keys(spark: SparkSession, counts: DataFrame, least: int):
