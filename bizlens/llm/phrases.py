@@ -162,7 +162,7 @@ def counts(docs: DataFrame, least: int = 100, step: int = STEP_BYTES) -> tuple[D
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     one = stored(level(rows, (1,), None, step), "phrase-words")
     words = frequent_keys(spark, one, least)
-    two = stored(level(rows, (2,), words, step), "phrase-pairs")
+    two = stored(level(rows, (2,), words, step).filter(F.col("f") >= least), "phrase-pairs")
     pairs = frequent_keys(spark, two, least)
     more = level(rows, (3, 4, 5), pairs, step)
     total = one.groupBy("lang").agg(F.sum("f").alias("n"))
