@@ -10,8 +10,8 @@ Five document filters are judged on whole texts (null counts as empty; words are
 * E: when a row with a smaller id has the identical text, anywhere in the table, removed or not.
 
 A to D are row-wise. E needs the least id of each text over the whole table: the documents are read as a stream of
-available-now micro-batches, and a state per text (its least id so far, and the rows that hold it) is kept by
-``applyInPandasWithState``. Rows above the least id fail E at once; when a smaller id arrives, the rows that held the
+available-now micro-batches, and a state per text (its least id so far, and the rows that hold it) is kept in a
+map state of ``transformWithStateInPandas``, grouped by a hash bucket of the text so that one call serves many texts. Rows above the least id fail E at once; when a smaller id arrives, the rows that held the
 least id are retracted from the counters of their part and mask and counted again with E. Each input partition is
 summed per text before the state is reached, so a text with thousands of copies sends a few rows per partition.
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from bizlens.session import scratch_path
 
@@ -37,7 +37,8 @@ LETTERS = "ABCDE"
 E = 16
 ROWS = "text_key string, part string, mask int, good int, toxic int, n_ids long, min_id long, n_at_min long, n_null long"
 CHANGES = "part string, mask int, good int, toxic int, delta long"
-STATE = "min_id long, entries string"
+#: Groups of texts whose states one call handles; each text keeps its own entry in the map state.
+BUCKETS = 1024
 #: Files per micro-batch; the result does not depend on it.
 FILES_PER_BATCH = 4
 
@@ -72,37 +73,49 @@ def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.astype({"n_ids": "int64", "n_at_min": "int64", "n_null": "int64", "min_id": "Int64"})
 
 
-def retract(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Signed counter changes of one text: rows above the least id fail E; a smaller least id retracts the rows that held it."""
-    least, held = (None, {})
-    if state.exists:
-        least, entries = state.get
-        held = {tuple(e[:4]): e[4] for e in json.loads(entries)}
-    change: Counter = Counter()
-    for rows in parts:
-        for r in rows.itertuples(index=False):
-            own = (r.part, int(r.mask), int(r.good), int(r.toxic))
-            failed = (r.part, int(r.mask) | E, int(r.good), int(r.toxic))
-            change[own] += int(r.n_null)
-            if r.n_ids == 0:
-                continue
-            change[failed] += int(r.n_ids - r.n_at_min)
-            low = int(r.min_id)
-            if least is None or low < least:
-                for (p, m, g, t), c in held.items():
-                    change[(p, m, g, t)] -= c
-                    change[(p, m | E, g, t)] += c
-                least, held = low, {own: int(r.n_at_min)}
-                change[own] += int(r.n_at_min)
-            elif low == least:
-                held[own] = held.get(own, 0) + int(r.n_at_min)
-                change[own] += int(r.n_at_min)
-            else:
-                change[failed] += int(r.n_at_min)
-    if least is not None:
-        state.update((least, json.dumps([[*k, c] for k, c in held.items()])))
-    rows = [(*k, c) for k, c in change.items() if c != 0]
-    yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "delta"])
+class Retraction(StatefulProcessor):
+    """Per bucket of texts, a map from each text to its least id so far and the rows that hold it (RocksDB state).
+
+    Rows above the least id fail E at once; a smaller least id retracts the rows that held the old one and counts them
+    again with E. Output: signed changes of the (part, mask, good, toxic) counters."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.texts = handle.getMapState("texts", "text_key string", "min_id long, entries string")
+
+    def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        change: Counter = Counter()
+        for part in rows:
+            for text_key, group in part.groupby("text_key", sort=False):
+                least, held = None, {}
+                if self.texts.containsKey((text_key,)):
+                    least, entries = self.texts.getValue((text_key,))
+                    held = {tuple(e[:4]): e[4] for e in json.loads(entries)}
+                for r in group.itertuples(index=False):
+                    own = (r.part, int(r.mask), int(r.good), int(r.toxic))
+                    failed = (r.part, int(r.mask) | E, int(r.good), int(r.toxic))
+                    change[own] += int(r.n_null)
+                    if r.n_ids == 0:
+                        continue
+                    change[failed] += int(r.n_ids - r.n_at_min)
+                    low = int(r.min_id)
+                    if least is None or low < least:
+                        for (p, m, g, t), c in held.items():
+                            change[(p, m, g, t)] -= c
+                            change[(p, m | E, g, t)] += c
+                        least, held = low, {own: int(r.n_at_min)}
+                        change[own] += int(r.n_at_min)
+                    elif low == least:
+                        held[own] = held.get(own, 0) + int(r.n_at_min)
+                        change[own] += int(r.n_at_min)
+                    else:
+                        change[failed] += int(r.n_at_min)
+                if least is not None:
+                    self.texts.updateValue((text_key,), (least, json.dumps([[*k, c] for k, c in held.items()])))
+        out = [(*k, c) for k, c in change.items() if c != 0]
+        yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "delta"])
+
+    def close(self) -> None:
+        pass
 
 
 def changes(spark: SparkSession, documents: str, labels: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
@@ -120,7 +133,10 @@ def changes(spark: SparkSession, documents: str, labels: DataFrame, files_per_ba
     rows = masks(stream.select("doc_id", "text", "lang")).join(marks, "doc_id", "left").fillna(0, ["good", "toxic"])
     rows = rows.select("doc_id", "text_key", "part", "mask", F.col("good").cast("int").alias("good"), F.col("toxic").cast("int").alias("toxic"))
     parts = rows.mapInPandas(summed, ROWS)
-    out = parts.groupBy("text_key").applyInPandasWithState(retract, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    bucketed = parts.withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(BUCKETS)))
+    out = bucketed.groupBy("bucket").transformWithStateInPandas(Retraction(), CHANGES, "Append", "None")
     path, checkpoint = scratch_path(spark, "audit-changes"), scratch_path(spark, "audit-checkpoint")
     spark.createDataFrame([], CHANGES).write.parquet(path)
     out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint) \
