@@ -47,7 +47,8 @@ def _health(w: Warehouse) -> DataFrame:
 
 def _silences(w: Warehouse) -> DataFrame:
     runs = _streamed(w).table("events").select(F.col("event_type").alias("source"), "ts", F.when(F.col("value") < 1, "failed").otherwise("ok").alias("status"))
-    return _appended(w, jobs.silence_alerts(runs, 1), "silences")
+    out = _appended(w, jobs.silence_alerts(runs, 1), "silences")
+    return out.select("source", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("last_success", "alert_at")])
 
 
 def _per_day(w: Warehouse) -> DataFrame:
@@ -112,7 +113,7 @@ QUERIES = {
                date_sub('second', max(ts) FILTER (WHERE status = 'ok'), (SELECT max(ts) FROM runs)) / 3600.0 > 1 AS silent FROM runs GROUP BY source"""),
     "stream_silence_alerts": (q(_silences), RUNS + """
         , ok AS (SELECT source, ts, lead(ts) OVER (PARTITION BY source ORDER BY ts) AS next FROM (SELECT DISTINCT source, ts FROM runs WHERE status = 'ok'))
-        SELECT source, ts AS last_success, ts + INTERVAL 1 HOUR AS alert_at FROM ok
+        SELECT source, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS last_success, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS alert_at FROM ok
         WHERE CASE WHEN next IS NULL THEN (SELECT max(ts) FROM runs) - INTERVAL 1 DAY > ts + INTERVAL 1 HOUR ELSE next - ts > INTERVAL 1 HOUR END"""),
     "stream_signals_per_day": (q(_per_day), sql("mentions", "SELECT day, bucket AS rule, count(*) AS signals FROM mentions GROUP BY ALL")),
     "stream_mention_counts": (q(_counts), sql("mentions", f"SELECT day, entity, count(*) AS n FROM mentions WHERE ts < {CLOSED} GROUP BY ALL")),
