@@ -87,9 +87,11 @@ class Retraction(StatefulProcessor):
         for part in rows:
             for text_key, group in part.groupby("text_key", sort=False):
                 least, held = None, {}
-                if self.texts.containsKey((text_key,)):
-                    least, entries = self.texts.getValue((text_key,))
+                known = self.texts.getValue((text_key,))  # None for a text not seen before
+                if known is not None:
+                    least, entries = known
                     held = {tuple(e[:4]): e[4] for e in json.loads(entries)}
+                before = (least, dict(held))
                 for r in group.itertuples(index=False):
                     own = (r.part, int(r.mask), int(r.good), int(r.toxic))
                     failed = (r.part, int(r.mask) | E, int(r.good), int(r.toxic))
@@ -109,7 +111,7 @@ class Retraction(StatefulProcessor):
                         change[own] += int(r.n_at_min)
                     else:
                         change[failed] += int(r.n_at_min)
-                if least is not None:
+                if least is not None and (least, held) != before:
                     self.texts.updateValue((text_key,), (least, json.dumps([[*k, c] for k, c in held.items()])))
         out = [(*k, c) for k, c in change.items() if c != 0]
         yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "delta"])
