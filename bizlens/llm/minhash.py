@@ -1,18 +1,18 @@
-"""MinHash near-duplicates with tensored banding.
+"""MinHash near-duplicates by banded signatures.
 
 A document's set is its distinct 2-word shingles (lower-cased A-Z, words are maximal runs of non-space bytes; a text
-of one word is one shingle, a text without words has the empty set). Two small collections of minhashes, A and B,
-are computed per set, each cut into ``bands`` bands of ``rows`` values. Table ``(i, j)`` keys a set by band ``i`` of
-A together with band ``j`` of B, so ``bands * bands`` tables cost only ``2 * bands * rows`` minhashes: about the
-square root of what independent tables of ``2 * rows`` values would need. A pair of Jaccard similarity ``s`` meets
-in some table with probability ``(1 - (1 - s**rows)**bands)**2`` (0.9985 at 0.8 with the defaults).
-
-Candidates are never expanded into all pairs of a bucket: every member is verified on the full sets against the
-bucket's eight smallest members (its pivots), and members that match none are verified among themselves the same way,
-round by round, until no bucket holds two unverified members. Sets of fewer than ``least / (1 - least)`` elements can
-only equal another set, so they skip the tables. Links are ``100 * |A & B| >= 80 * |A | B|``; components are
-taken over verified links only. Exact copies of one set are folded into their smallest id before any of this, so a
-group of thousands of copies is one set.
+of one word is one shingle, a text without words has the empty set). Its minhashes are cut into ``bands`` bands of
+``rows`` values; each band is a bucket, and sets that share a bucket are candidates. A pair of Jaccard similarity ``s``
+meets in some bucket with probability ``1 - (1 - s**rows)**bands`` (0.9988 at 0.8 with the defaults).
+
+Candidates are verified on the full sets, without expanding a bucket into all pairs: every member is compared with its
+bucket's smallest member (the pivot); components of these links settle the buckets that lie in one component. In
+the others, members of different components are compared with one another, except where their distances to the pivot
+rule a link out: Jaccard distance is a metric, so two sets whose distances to a third differ by more than
+``1 - least`` lie further apart than that. No candidate pair that could join two components stays unverified.
+Sets of fewer than ``least / (1 - least)`` elements can only equal another set, so they skip the buckets. Links
+are ``100 * |A & B| >= 80 * |A | B|``; components are taken over verified links only. Exact copies of one set are
+folded into their smallest id before any of this, so a group of thousands of copies is one set.
 """
 
 from __future__ import annotations
@@ -22,18 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from bizlens.llm.common import is_space, lower_ascii, spans, stored, utf8
-from bizlens.session import scratch_path
 from bizlens.llm.components import components
 
-#: Bands per collection and minhashes per band; ``bands * bands`` tables of ``2 * rows`` minhashes each.
-BANDS, ROWS = 10, 3
-#: Shingle hashes that one vectorised step holds (times the number of minhashes, in 8-byte words).
-STEP = 1 << 16
+#: Bands and minhashes per band.
+BANDS, ROWS = 17, 5
+#: Shingle hashes that one vectorised step holds (times the number of minhashes, in 8-byte words); a step fits a core's cache.
+STEP = 1 << 9
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -115,71 +113,86 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return h, np.r_[0, np.cumsum(np.bincount(owner, minlength=rows))].astype(np.int64)
 
 
-def profiles(batches: Iterator[pa.RecordBatch], width: int, count: int, full: bool) -> Iterator[pa.RecordBatch]:
-    """``doc_id``, ``n`` (distinct shingles), ``set_key`` (null for an empty set) and ``sig`` (``count`` minhashes),
-    or with ``full`` the sorted hashes themselves as ``hashes``; rows are worked in spans of about ``STEP_BYTES``."""
+def set_keys(h: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A 64-bit key of each set (hashes ``h`` cut at ``off``); null for an empty one."""
+    sizes = np.diff(off)
+    with np.errstate(over="ignore"):
+        mixed = np.r_[np.uint64(0), np.cumsum(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
+        keys = (mixed[off[1:]] - mixed[off[:-1]]) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return pa.array(keys.view(np.int64), mask=sizes == 0)
+
+
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit key per row and band of the minhashes ``sig``."""
+    parts = sig.reshape(len(sig), bands, rows)
+    keys = np.zeros((len(sig), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(rows):
+            keys = _mix(keys * np.uint64(0xA24BAED4963EE407) + parts[:, :, j])
+    return keys
+
+
+def worked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The rows of ``batch`` (``doc_id``, ``text`` and any others) in spans of about ``STEP_BYTES``, with their sets."""
+    data, offsets = utf8(pc.fill_null(batch.column(1), ""))
+    for lo, hi in spans(offsets):
+        yield batch.slice(lo, hi - lo), *shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], width)
+
+
+def profiles(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """``doc_id``, ``n`` (distinct shingles), ``set_key`` (null for an empty set) and ``keys`` (one per band)."""
+    for batch in batches:
+        for part, h, off in worked(batch, width):
+            found = band_keys(signatures(h, off, bands * rows), bands, rows).view(np.int64)
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, bands, dtype=np.int32)), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), set_keys(h, off), keys], names=["doc_id", "n", "set_key", "keys"])
+
+
+def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``rep`` (the set's key), ``n`` and the sorted ``hashes`` of the rows ``doc_id``, ``text``, ``set_key`` whose text has this key's set."""
     for batch in batches:
-        data, offsets = utf8(pc.fill_null(batch.column(1), ""))
-        for lo, hi in spans(offsets):
-            part = batch.slice(lo, hi - lo)
-            h, off = shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], width)
-            sizes = np.diff(off)
-            with np.errstate(over="ignore"):
-                mixed = np.r_[np.uint64(0), np.cumsum(_mix(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
-                keys = (mixed[off[1:]] - mixed[off[:-1]]) ^ (sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            keys = pa.array(keys.view(np.int64), mask=sizes == 0)
-            if full:
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), keys, lists], names=["doc_id", "n", "set_key", "hashes"])
-                continue
-            found = signatures(h, off, count).view(np.int64)
-            sig = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, count, dtype=np.int32)), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), keys, sig], names=["doc_id", "n", "set_key", "sig"])
-
-
-def similar(a: Column, b: Column, na: Column, nb: Column, least: float) -> Column:
-    """Jaccard of two sets of distinct values at least ``least`` (as a percentage test on whole numbers)."""
-    inter = F.size(F.array_intersect(a, b)).cast("long")
-    return F.lit(100) * inter >= F.lit(int(round(least * 100))) * (na + nb - inter)
-
-
-def tables(sigs: DataFrame, bands: int, rows: int, least: float) -> DataFrame:
-    """``(rep, table, key, size)``: band ``i`` of collection A with band ``j`` of collection B, for every ``i, j``.
-
-    ``size`` is the set size's band on a scale of ratio ``1 / least``, given at its own band and the next; sets whose
-    sizes allow a Jaccard of ``least`` lie at most one band apart, so they still meet, and others never do."""
-    a = F.array(*[F.xxhash64(F.slice("sig", i * rows + 1, rows)) for i in range(bands)])
-    b = F.array(*[F.xxhash64(F.slice("sig", (bands + j) * rows + 1, rows)) for j in range(bands)])
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.0 / least)))).cast("long")
-    halves = sigs.select("rep", F.posexplode(a).alias("i", "a"), b.alias("bs"), F.array(band, band + 1).alias("sizes"))
-    both = halves.select("rep", "i", "a", F.posexplode("bs").alias("j", "b"), F.explode("sizes").alias("size"))
-    return both.select("rep", (F.col("i") * bands + F.col("j")).alias("table"), F.xxhash64("a", "b").alias("key"), "size")
-
-
-def verified_links(sets: DataFrame, members: DataFrame, least: float, pivots_per_round: int = 8) -> DataFrame:
-    """Links ``a``, ``b`` between sets that share a bucket: every member is verified against the bucket's
-    ``pivots_per_round`` smallest members (and these among themselves); members that match none of them go on to the
-    next round among themselves, until no bucket holds two unverified members.
-
-    ``sets`` holds ``rep``, ``n`` and ``hashes`` of every set in ``members``; each round's links are written out."""
-    spark = members.sparkSession
-    path = scratch_path(spark, "minhash-links")
-    spark.createDataFrame([], "a long, b long").write.parquet(path)
-    bucket = ["table", "key", "size"]
-    left = sets.select(F.col("rep"), F.col("hashes").alias("h1"), F.col("n").alias("n1"))
+        for part, h, off in worked(batch, width):
+            lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(h.view(np.int64)))
+            out = pa.RecordBatch.from_arrays([part.column(2), pa.array(np.diff(off)), lists], names=["rep", "n", "hashes"])
+            yield out.filter(pc.fill_null(pc.equal(set_keys(h, off), part.column(2)), False))
+
+
+def judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``rep, pivot`` with their sizes ``n1, n2``, the Jaccard ``distance`` of their full sets, and ``ok`` where the similarity is at least ``least``
+    (as a percentage test on whole numbers)."""
+    left = sets.select("rep", F.col("hashes").alias("h1"), F.col("n").alias("n1"))
     right = sets.select(F.col("rep").alias("pivot"), F.col("hashes").alias("h2"), F.col("n").alias("n2"))
-    while True:
-        first = F.row_number().over(Window.partitionBy(*bucket).orderBy("rep"))
-        pivots = members.withColumn("_r", first).filter(F.col("_r") <= pivots_per_round).select(*bucket, F.col("rep").alias("pivot"))
-        pairs = stored(members.join(pivots, bucket).filter("rep > pivot").select(*bucket, "rep", "pivot"), "minhash-pairs")
-        judged = stored(pairs.select("rep", "pivot").distinct().join(left, "rep").join(right, "pivot")
-                        .select("rep", "pivot", similar(F.col("h1"), F.col("h2"), F.col("n1"), F.col("n2"), least).alias("ok")), "minhash-judged")
-        judged.filter("ok").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).write.mode("append").parquet(path)
-        passed = pairs.join(judged.filter("ok"), ["rep", "pivot"]).select(*bucket, "rep")
-        tried = pairs.select(*bucket, "rep").distinct().join(pivots.select(*bucket, F.col("pivot").alias("rep")), [*bucket, "rep"], "left_anti")
-        members = stored(tried.join(passed, [*bucket, "rep"], "left_anti"), "minhash-rest")
-        if members.groupBy(*bucket).count().filter("count > 1").limit(1).count() == 0:
-            return spark.read.schema("a long, b long").parquet(path)
+    inter = F.size(F.array_intersect("h1", "h2")).cast("long")
+    found = pairs.join(left, "rep").join(right, "pivot").select("rep", "pivot", "n1", "n2", inter.alias("inter"))
+    union = F.col("n1") + F.col("n2") - F.col("inter")
+    return found.select("rep", "pivot", "n1", "n2", (F.lit(1.0) - F.col("inter") / union).alias("distance"),
+                        (F.lit(100) * F.col("inter") >= F.lit(int(round(least * 100))) * union).alias("ok"))
+
+
+def verified_links(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Links ``a``, ``b`` with the components of all links between sets that share a bucket (``rep`` and the bucket's columns in ``members``).
+
+    Every member is compared with its bucket's smallest member. Where the links found leave a bucket in several components,
+    its members of different components are compared too, unless sizes or distances to the pivot rule a link out.
+    ``sets`` holds ``rep``, ``n`` and ``hashes`` of every set in ``members``."""
+    bucket = [c for c in members.columns if c != "rep"]
+    pivots = members.groupBy(*bucket).agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
+    placed = stored(members.join(pivots, bucket).filter("rep > pivot"), "minhash-placed")
+    stars = stored(judged(placed.select("rep", "pivot").distinct(), sets, least), "minhash-stars")
+    linked = stored(components(stars.filter("ok").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))), "minhash-linked")
+    # buckets of three or more: two members other than the pivot, of different components
+    rooted = placed.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    split = rooted.groupBy(*bucket).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select(*bucket)
+    near = stars.select("rep", "pivot", F.col("n1").alias("n"), "distance")
+    rest = stored(rooted.join(split, bucket, "left_semi").join(near, ["rep", "pivot"]).select(*bucket, "rep", "root", "n", "distance"), "minhash-rest")
+    x, y = rest.alias("x"), rest.alias("y")
+    may = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in bucket] + [
+        F.col("x.rep") > F.col("y.rep"), F.col("x.root") != F.col("y.root"),
+        F.abs(F.col("x.distance") - F.col("y.distance")) <= F.lit(1.0 - least + 1e-9),
+        F.least("x.n", "y.n") >= F.lit(least - 1e-9) * F.greatest("x.n", "y.n")]
+    pairs = x.join(y, may).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("pivot")).distinct()
+    late = judged(pairs.join(stars, ["rep", "pivot"], "left_anti"), sets, least).filter("ok")
+    return linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 2, least: float = 0.8, bands: int = BANDS, rows: int = ROWS,
@@ -194,25 +207,29 @@ def near_duplicates(docs: DataFrame, width: int = 2, least: float = 0.8, bands:
     XXH64 hashes: two distinct shingles of one pair of documents that share a hash (odds near ``n**2 / 2**64``)
     would count as one.
     """
-    count = 2 * bands * rows
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prof = stored(text.mapInArrow(lambda it: profiles(it, width, count, False), "doc_id long, n long, set_key long, sig array<long>"), "minhash-profiles")
+    prof = stored(text.mapInArrow(lambda it: profiles(it, width, bands, rows), "doc_id long, n long, set_key long, keys array<long>"), "minhash-profiles")
     live = prof.filter("doc_id is not null and n > 0")
-    reps = stored(live.groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")), "minhash-reps")
+    reps = stored(live.groupBy("set_key", "n").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")), "minhash-reps")
     # Distinct sets A, B with |A & B| >= least * |A | B| >= least * (|A & B| + 1) share least / (1 - least) elements
     # at least: smaller sets link only with equal sets, which are folded already.
     smallest = int(np.ceil(least / (1.0 - least) - 1e-9)) if least < 1 else None
-    every = tables(reps.filter(F.col("n") >= F.lit(smallest)) if smallest is not None else reps.limit(0), bands, rows, least)
-    crowded = every.groupBy("table", "key", "size").count().filter("count > 1").drop("count")
-    shared = every.join(crowded, ["table", "key", "size"], "left_semi")
-    members = stored(shared, "minhash-tables")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    again = text.join(involved, "doc_id", "left_semi").mapInArrow(lambda it: profiles(it, width, count, True), "doc_id long, n long, set_key long, hashes array<long>")
-    sets = stored(again.join(reps.select(F.col("rep").alias("doc_id"), "set_key", "n"), ["doc_id", "set_key", "n"], "left_semi")
-                  .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "hashes"), "minhash-sets")
+    every = reps.filter(F.col("n") >= F.lit(smallest)) if smallest is not None else reps.limit(0)
+    every = every.select(F.col("set_key").alias("rep"), F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
+    crowded = every.groupBy("bucket").count().filter("count > 1").drop("count")
+    members = stored(every.join(crowded, "bucket", "left_semi"), "minhash-members")
+    met = members.select(F.col("rep").alias("set_key")).distinct()
+    involved = reps.join(met, "set_key", "left_semi").select(F.col("rep").alias("doc_id"), "set_key")
+    again = text.join(involved, "doc_id").select("doc_id", "text", "set_key")
+    sets = again.mapInArrow(lambda it: full_sets(it, width), "rep long, n long, hashes array<long>")
+    if not live.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows of one id and set: any one of them
+        sets = sets.dropDuplicates(["rep", "n"])
+    sets = stored(sets, "minhash-sets")
     linked = components(verified_links(sets, members, least))
-    roots = reps.select("set_key", "n", "rep").join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    roots = roots.withColumn("component_id", F.coalesce("root", "rep")).select("set_key", "n", "component_id")
+    roots = reps.select("set_key", "n", "rep").join(linked.select(F.col("node").alias("set_key"), "root"), "set_key", "left")
+    roots = roots.withColumn("root", F.coalesce("root", "set_key"))
+    first = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
+    roots = roots.join(first, "root").select("set_key", "n", "component_id")
     keyed = prof.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     out = keyed.join(roots, ["set_key", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))

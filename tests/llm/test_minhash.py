@@ -3,6 +3,7 @@ import random
 import pytest
 
 from bizlens.llm import minhash
+from bizlens.llm.components import components
 from tests.llm.conftest import FOLDER, ODD
 
 
@@ -86,3 +87,23 @@ def test_signatures_are_minima_of_the_salted_hashes():
         assert (got[0] == minhash._mix(values[:2, None] ^ salt).min(0)).all()
         assert (got[2] == minhash._mix(values[2:, None] ^ salt).min(0)).all()
     assert (got[1] == np.iinfo(np.uint64).max).all()
+
+
+def test_links_of_members_that_match_a_pivot_are_kept(spark):
+    """All in one bucket: 20 links to 1 (the pivot) and to 21, 21 only to 20; 2 to 8 match nothing."""
+    sets = [(1, list(range(100))), (20, list(range(10, 110))), (21, list(range(20, 120)))]
+    sets += [(k, list(range(1000 * k, 1000 * k + 100))) for k in range(2, 9)]
+    frame = spark.createDataFrame([(k, len(h), h) for k, h in sets], "rep long, n long, hashes array<long>")
+    members = spark.createDataFrame([(0, 0, 0, k) for k, _ in sets], "table int, key long, size long, rep long")
+    links = minhash.verified_links(frame, members, 0.8)
+    assert {(r.node, r.root) for r in components(links).collect()} == {(1, 1), (20, 1), (21, 1)}
+
+
+def test_chains_of_links_and_texts_of_one_id(spark, docs_of):
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    windows = [" ".join(words[k:k + 120]) for k in range(0, 260, 13)]  # each links only to the one before and after
+    ids = rnd.sample(range(100, 1000), len(windows))
+    pairs = list(zip(ids, windows)) + [(7, "q " * 30 + " ".join(words[:80])), (7, " ".join(words[300:])), (7, " ".join(words[300:]))]
+    got = minhash.near_duplicates(docs_of(pairs), bands=40, rows=1).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(pairs)
