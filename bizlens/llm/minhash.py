@@ -6,10 +6,11 @@ of one word is one shingle, a text without words has the empty set). Its minhash
 meets in some bucket with probability ``1 - (1 - s**rows)**bands`` (0.9988 at 0.8 with the defaults).
 
 Candidates are verified on the full sets, without expanding a bucket into all pairs: every member is compared with its
-bucket's smallest member (the pivot); components of these links settle the buckets that lie in one component. In
-the others, members of different components are compared with one another, except where their distances to the pivot
-rule a link out: Jaccard distance is a metric, so two sets whose distances to a third differ by more than
-``1 - least`` lie further apart than that. No candidate pair that could join two components stays unverified.
+bucket's pivot (the member whose buckets are the largest); components of these links settle the buckets that lie in one
+component. In the others, members of different components are compared with one another, except where their
+distances to the pivot rule a link out: Jaccard distance is a metric, so two sets whose distances to a third differ
+by more than ``1 - least`` lie further apart than that. In buckets with many such members those are compared that
+share one of their rarest hashes (prefix filtering), which loses no link. No candidate pair that could join two components stays unverified.
 Sets of fewer than ``least / (1 - least)`` elements can only equal another set, so they skip the buckets. Links
 are ``100 * |A & B| >= 80 * |A | B|``; components are taken over verified links only. Exact copies of one set are
 folded into their smallest id before any of this, so a group of thousands of copies is one set.
@@ -24,12 +25,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bizlens.llm.common import is_space, lower_ascii, spans, stored, utf8
 from bizlens.llm.components import components
 
 #: Bands and minhashes per band.
 BANDS, ROWS = 17, 5
+#: Unsettled members of a bucket that meet pair by pair; those of larger ones meet where they share a rare hash.
+FEW = 16
 #: Shingle hashes that one vectorised step holds (times the number of minhashes, in 8-byte words); a step fits a core's cache.
 STEP = 1 << 9
 
@@ -169,29 +173,57 @@ def judged(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                         (F.lit(100) * F.col("inter") >= F.lit(int(round(least * 100))) * union).alias("ok"))
 
 
-def verified_links(sets: DataFrame, members: DataFrame, least: float) -> DataFrame:
+def sharing_rare(wide: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``rep > pivot`` of the sets ``wide`` (``rep``, ``root``, ``n``) with different roots that may be similar: all that are, and few others.
+
+    Hashes are ranked from the rarest. Sets of sizes ``n`` and ``m`` that link share ``o = least / (1 + least) * (n + m)`` hashes at least, so they
+    share one among the first ``n - o + 1`` and ``m - o + 1``. Of each hash's list the commonest root meets only the others, not itself."""
+    tokens = stored(wide.join(sets.select("rep", "hashes"), "rep").select("rep", "root", "n", F.explode("hashes").alias("token")), "minhash-tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("_f", "token"))
+    first = tokens.join(often, "token").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1)
+    first = stored(first.filter("_f > 1").drop("_f"), "minhash-rare")
+    roots = first.groupBy("token", "root").agg(F.count(F.lit(1)).alias("_f"))
+    main = roots.groupBy("token").agg(F.max_by("root", "_f").alias("main"), F.count(F.lit(1)).alias("_r")).filter("_r > 1").drop("_r")
+    mixed = stored(first.join(main, "token"), "minhash-mixed")
+    x, y = mixed.filter("root <> main").alias("x"), mixed.alias("y")
+    share = F.ceil(F.lit(least / (1.0 + least)) * (F.col("x.n") + F.col("y.n")) - F.lit(1e-9))
+    may = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.rep") > F.col("y.rep")))
+    may &= (F.col("x.rank") <= F.col("x.n") - share + 1) & (F.col("y.rank") <= F.col("y.n") - share + 1)
+    may &= F.least("x.n", "y.n") >= F.lit(least - 1e-9) * F.greatest("x.n", "y.n")
+    return x.join(y, may).select(F.greatest("x.rep", "y.rep").alias("rep"), F.least("x.rep", "y.rep").alias("pivot")).distinct()
+
+
+def verified_links(sets: DataFrame, members: DataFrame, least: float, few: int = FEW) -> DataFrame:
     """Links ``a``, ``b`` with the components of all links between sets that share a bucket (``rep`` and the bucket's columns in ``members``).
 
-    Every member is compared with its bucket's smallest member. Where the links found leave a bucket in several components,
-    its members of different components are compared too, unless sizes or distances to the pivot rule a link out.
+    Every member is compared with its bucket's pivot, the member whose buckets are the largest. Where the links found leave a bucket in several
+    components, its members of different components are compared too: in buckets of up to ``few`` all but those that sizes or distances to
+    the pivot rule out, in larger ones those that share a rare hash, which every link does.
     ``sets`` holds ``rep``, ``n`` and ``hashes`` of every set in ``members``."""
     bucket = [c for c in members.columns if c != "rep"]
-    pivots = members.groupBy(*bucket).agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
-    placed = stored(members.join(pivots, bucket).filter("rep > pivot"), "minhash-placed")
+    sized = members.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1")
+    weight = members.join(sized, bucket).groupBy("rep").agg(F.sum("_m").alias("_w"))
+    pivots = members.join(weight, "rep").groupBy(*bucket).agg(F.max(F.struct("_w", "rep"))["rep"].alias("pivot"))
+    placed = stored(members.join(pivots, bucket).filter("rep <> pivot"), "minhash-placed")
     stars = stored(judged(placed.select("rep", "pivot").distinct(), sets, least), "minhash-stars")
     linked = stored(components(stars.filter("ok").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))), "minhash-linked")
     # buckets of three or more: two members other than the pivot, of different components
     rooted = placed.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    split = rooted.groupBy(*bucket).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo < _hi").select(*bucket)
+    split = rooted.groupBy(*bucket).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("members")).filter("_lo < _hi")
     near = stars.select("rep", "pivot", F.col("n1").alias("n"), "distance")
-    rest = stored(rooted.join(split, bucket, "left_semi").join(near, ["rep", "pivot"]).select(*bucket, "rep", "root", "n", "distance"), "minhash-rest")
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = rooted.join(split.select(*bucket, "members"), bucket).join(near, ["rep", "pivot"])
+    rest = stored(rest.select(*bucket, "rep", "root", "n", "distance", "members"), "minhash-rest")
+    x, y = rest.filter(F.col("members") <= few).alias("x"), rest.filter(F.col("members") <= few).alias("y")
     may = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in bucket] + [
         F.col("x.rep") > F.col("y.rep"), F.col("x.root") != F.col("y.root"),
         F.abs(F.col("x.distance") - F.col("y.distance")) <= F.lit(1.0 - least + 1e-9),
         F.least("x.n", "y.n") >= F.lit(least - 1e-9) * F.greatest("x.n", "y.n")]
-    pairs = x.join(y, may).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("pivot")).distinct()
-    late = judged(pairs.join(stars, ["rep", "pivot"], "left_anti"), sets, least).filter("ok")
+    pairs = x.join(y, may).select(F.col("x.rep").alias("rep"), F.col("y.rep").alias("pivot"))
+    wide = rest.filter(F.col("members") > few).select("rep", "root", "n").distinct()
+    seen = stars.select(F.greatest("rep", "pivot").alias("rep"), F.least("rep", "pivot").alias("pivot"))
+    pairs = stored(pairs.union(sharing_rare(wide, sets, least)).distinct().join(seen, ["rep", "pivot"], "left_anti"), "minhash-pairs")
+    late = judged(pairs, sets, least).filter("ok")
     return linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(late.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
 
 

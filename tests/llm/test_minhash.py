@@ -89,13 +89,14 @@ def test_signatures_are_minima_of_the_salted_hashes():
     assert (got[1] == np.iinfo(np.uint64).max).all()
 
 
-def test_links_of_members_that_match_a_pivot_are_kept(spark):
+@pytest.mark.parametrize("few", [16, 1])
+def test_links_of_members_that_match_a_pivot_are_kept(spark, few):
     """All in one bucket: 20 links to 1 (the pivot) and to 21, 21 only to 20; 2 to 8 match nothing."""
     sets = [(1, list(range(100))), (20, list(range(10, 110))), (21, list(range(20, 120)))]
     sets += [(k, list(range(1000 * k, 1000 * k + 100))) for k in range(2, 9)]
     frame = spark.createDataFrame([(k, len(h), h) for k, h in sets], "rep long, n long, hashes array<long>")
     members = spark.createDataFrame([(0, 0, 0, k) for k, _ in sets], "table int, key long, size long, rep long")
-    links = minhash.verified_links(frame, members, 0.8)
+    links = minhash.verified_links(frame, members, 0.8, few)
     assert {(r.node, r.root) for r in components(links).collect()} == {(1, 1), (20, 1), (21, 1)}
 
 
@@ -107,3 +108,22 @@ def test_chains_of_links_and_texts_of_one_id(spark, docs_of):
     pairs = list(zip(ids, windows)) + [(7, "q " * 30 + " ".join(words[:80])), (7, " ".join(words[300:])), (7, " ".join(words[300:]))]
     got = minhash.near_duplicates(docs_of(pairs), bands=40, rows=1).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(pairs)
+
+
+def test_large_buckets_meet_by_rare_hashes(spark):
+    """Near copies of one set in one bucket, at distances around the threshold from it and from one another; sizes vary."""
+    rnd = random.Random(11)
+    sets = []
+    for k in range(60):
+        h = set(rnd.sample(range(100), 100 - rnd.choice([0, 3, 8, 12, 20]))) | set(rnd.sample(range(1000, 1030), rnd.choice([0, 4, 9, 15, 22])))
+        sets.append((k * 7 % 60, sorted(h)))
+    frame = spark.createDataFrame([(k, len(h), h) for k, h in sets], "rep long, n long, hashes array<long>")
+    members = spark.createDataFrame([(5, k) for k, _ in sets], "bucket long, rep long")
+    want = {k: k for k, _ in sets}
+    for _ in sets:
+        for i, a in sets:
+            for j, b in sets:
+                if 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b)):
+                    want[i] = want[j] = min(want[i], want[j])
+    got = {r.node: r.root for few in (2, 100) for r in components(minhash.verified_links(frame, members, 0.8, few)).collect()}
+    assert {k: got.get(k, k) for k in want} == want and 1 < len(set(want.values())) < 50
