@@ -36,6 +36,7 @@ from bizlens.session import scratch_path
 LETTERS = "ABCDE"
 E = 16
 ROWS = "text_key string, part string, mask int, good int, toxic int, n_ids long, min_id long, n_at_min long, n_null long"
+ROW_COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 CHANGES = "part string, mask int, good int, toxic int, delta long"
 #: Groups of texts whose states one call handles; each text keeps its own entry in the map state.
 BUCKETS = 1024
@@ -84,35 +85,37 @@ class Retraction(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         change: Counter = Counter()
-        for part in rows:
-            for text_key, group in part.groupby("text_key", sort=False):
-                least, held = None, {}
-                known = self.texts.getValue((text_key,))  # None for a text not seen before
-                if known is not None:
-                    least, entries = known
-                    held = {tuple(e[:4]): e[4] for e in json.loads(entries)}
-                before = (least, dict(held))
-                for r in group.itertuples(index=False):
-                    own = (r.part, int(r.mask), int(r.good), int(r.toxic))
-                    failed = (r.part, int(r.mask) | E, int(r.good), int(r.toxic))
-                    change[own] += int(r.n_null)
-                    if r.n_ids == 0:
-                        continue
-                    change[failed] += int(r.n_ids - r.n_at_min)
-                    low = int(r.min_id)
-                    if least is None or low < least:
-                        for (p, m, g, t), c in held.items():
-                            change[(p, m, g, t)] -= c
-                            change[(p, m | E, g, t)] += c
-                        least, held = low, {own: int(r.n_at_min)}
-                        change[own] += int(r.n_at_min)
-                    elif low == least:
-                        held[own] = held.get(own, 0) + int(r.n_at_min)
-                        change[own] += int(r.n_at_min)
-                    else:
-                        change[failed] += int(r.n_at_min)
-                if least is not None and (least, held) != before:
-                    self.texts.updateValue((text_key,), (least, json.dumps([[*k, c] for k, c in held.items()])))
+        texts: dict[str, list[tuple]] = {}
+        for part in rows:  # plain tuples: a pandas group per text costs more than its state
+            for text_key, *row in zip(*(part[c].tolist() for c in ROW_COLUMNS)):
+                texts.setdefault(text_key, []).append(row)
+        for text_key, group in texts.items():
+            least, held = None, {}
+            known = self.texts.getValue((text_key,))  # None for a text not seen before
+            if known is not None:
+                least, entries = known
+                held = {tuple(e[:4]): e[4] for e in json.loads(entries)}
+            before = (least, dict(held))
+            for part, mask, good, toxic, n_ids, min_id, n_at_min, n_null in group:
+                own, failed = (part, mask, good, toxic), (part, mask | E, good, toxic)
+                change[own] += n_null
+                if n_ids == 0:
+                    continue
+                change[failed] += n_ids - n_at_min
+                low = int(min_id)
+                if least is None or low < least:
+                    for (p, m, g, t), c in held.items():
+                        change[(p, m, g, t)] -= c
+                        change[(p, m | E, g, t)] += c
+                    least, held = low, {own: n_at_min}
+                    change[own] += n_at_min
+                elif low == least:
+                    held[own] = held.get(own, 0) + n_at_min
+                    change[own] += n_at_min
+                else:
+                    change[failed] += n_at_min
+            if least is not None and (least, held) != before:
+                self.texts.updateValue((text_key,), (least, json.dumps([[*k, c] for k, c in held.items()])))
         out = [(*k, c) for k, c in change.items() if c != 0]
         yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "delta"])
 
@@ -137,6 +140,8 @@ def changes(spark: SparkSession, documents: str, labels: DataFrame, files_per_ba
     parts = rows.mapInPandas(summed, ROWS)
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # no space is set aside for the files of a state store: it would add up over the many small stores of a query
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     bucketed = parts.withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(BUCKETS)))
     out = bucketed.groupBy("bucket").transformWithStateInPandas(Retraction(), CHANGES, "Append", "None")
     path, checkpoint = scratch_path(spark, "audit-changes"), scratch_path(spark, "audit-checkpoint")

@@ -86,3 +86,38 @@ def test_long_texts_and_empty_table(spark, tmp_path):
     assert got[("ABCDE", 2)] == (0, 2) and got[("DCBAE", 1)] == (1, 1) and got[("CABDE", 1)] == (1, 1)
     empty = written(spark, tmp_path / "e", [[]])
     assert filter_audit.audit(spark, empty, labels).count() == 0
+
+
+def test_one_state_read_and_write_per_text_of_a_call():
+    """Batches of one call share the state of a text, and an unchanged state is not written."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.kept, self.calls = {}, []
+
+        def getMapState(self, *_):
+            return self
+
+        def getValue(self, key):
+            self.calls.append("get")
+            return self.kept.get(key)
+
+        def updateValue(self, key, value):
+            self.calls.append("put")
+            self.kept[key] = value
+
+    def batch(*rows):
+        return pd.DataFrame(rows, columns=filter_audit.ROWS.replace(",", "").split()[::2])
+
+    def summed(out):
+        return {tuple(r[:4]): r[4] for frame in out for r in frame.itertuples(index=False)}
+
+    state, audit = State(), filter_audit.Retraction()
+    audit.init(state)
+    first = [batch(("t", "en", 1, 0, 0, 2, 7, 1, 0), ("t", "de", 1, 1, 0, 1, 9, 1, 0)), batch(("t", "en", 1, 0, 0, 1, 5, 1, 3))]
+    assert summed(audit.handleInputRows((0,), iter(first), None)) == {("en", 1, 0, 0): 4, ("en", 17, 0, 0): 2, ("de", 17, 1, 0): 1}
+    assert state.calls == ["get", "put"]
+    assert summed(audit.handleInputRows((0,), iter([batch(("t", "de", 1, 1, 0, 1, 6, 1, 0))]), None)) == {("de", 17, 1, 0): 1}
+    assert state.calls == ["get", "put", "get"]
+    assert summed(audit.handleInputRows((0,), iter([batch(("t", "de", 1, 1, 0, 1, 2, 1, 0))]), None)) == {("en", 1, 0, 0): -1, ("en", 17, 0, 0): 1, ("de", 1, 1, 0): 1}
