@@ -37,7 +37,11 @@ HALF = 0.1
 GATES = (1, 4, 16, 64, 256, 1024)
 WORD = 0
 #: Bytes whose predictions are held at once (a few more where more texts than this are alive).
-BATCH = 2 << 20
+BATCH = 1 << 20
+#: Bytes whose words are hashed at once.
+STRETCH = 1 << 16
+#: Texts that advance side by side at most; what each learns takes a few KB.
+ABREAST = 1 << 14
 
 
 @dataclasses.dataclass(frozen=True)
@@ -75,25 +79,35 @@ def framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, begin, begin + lengths + 1
 
 
-@functools.lru_cache(2)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the base and of its inverse."""
-    up, down = np.full(n, K1, np.uint64), np.full(n, np.uint64(pow(int(K1), -1, 1 << 64)), np.uint64)
+@functools.lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, as many as a stretch needs."""
+    up, down = np.full(STRETCH + 1, K1, np.uint64), np.full(STRETCH + 1, np.uint64(pow(int(K1), -1, 1 << 64)), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
 def word_hash(data: np.ndarray) -> np.ndarray:
-    """Hash of the bytes since the last white space or padding, before each position."""
-    n = len(data)
-    up, down = powers(1 << (n + 1).bit_length())
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-    start = np.zeros(n, np.int64)
-    stop = is_space(data) | (data == 0)
-    start[1:] = np.where(stop[:-1], np.arange(1, n), 0)
-    start = np.maximum.accumulate(start)
-    return (prefix[:n] - prefix[start]) * down[start]
+    """Hash of the bytes since the last white space or padding, before each position. A stretch goes on with the word that the one before left."""
+    up, down = powers()
+    out = np.empty(len(data), np.uint64)
+    before, length, full = 0, 0, 1 << 64  # hash and bytes of the word so far
+    for lo in range(0, len(data), STRETCH):
+        part = data[lo:lo + STRETCH]
+        n = len(part)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+        start = np.zeros(n + 1, np.int64)
+        stop = is_space(part) | (part == 0)
+        start[1:] = np.where(stop, np.arange(1, n + 1), 0)
+        start = np.maximum.accumulate(start)
+        found = (prefix - prefix[start]) * down[start]
+        if length:
+            open_ = int(np.searchsorted(start, 0, "right"))
+            found[:open_] = found[:open_] * np.uint64(pow(int(K1), length, full)) + np.uint64(before)
+        out[lo:lo + n] = found[:n]
+        before, length = int(found[n]), n - int(start[n]) + (length if start[n] == 0 else 0)
+    return out
 
 
 def word_context(so_far: np.ndarray) -> np.ndarray:
@@ -130,6 +144,7 @@ def cells(data: np.ndarray, params: Params, word: np.ndarray | None = None, at:
 
 def count_cells(batches: Iterator[pa.RecordBatch], params: Params) -> Iterator[pa.RecordBatch]:
     """Counts of a task's texts, as (chunk of the table, places, counts)."""
+    unpacked.cache_clear()  # a worker that scored before still has that model
     total = np.zeros(params.bases[-1], np.uint32)
     for batch in batches:
         data, offsets = utf8(batch.column(0))
@@ -197,7 +212,15 @@ def score_framed(text: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.
         length = np.minimum(length, params.segment)
     order = np.argsort(-length, kind="stable")
     start, length, doc = start[order], length[order], doc[order]
-    state, sums, t, longest = mix_state(len(doc), params), np.zeros(len(doc)), 0, int(length[0])
+    sums = np.zeros(len(doc))
+    for at in range(0, len(doc), ABREAST):
+        sums[at:at + ABREAST] = score_abreast(text, start[at:at + ABREAST], length[at:at + ABREAST], word, table, gates, params)
+    return np.bincount(doc, weights=sums, minlength=len(begin)) / np.log(10.0)
+
+
+def score_abreast(text: np.ndarray, start: np.ndarray, length: np.ndarray, word: np.ndarray, table: np.ndarray, gates: np.ndarray, params: Params) -> np.ndarray:
+    """Natural log probability of the given segments of ``text``, the longest first."""
+    state, sums, t, longest = mix_state(len(start), params), np.zeros(len(start)), 0, int(length[0])
     while t < longest:
         steps = min(longest - t, max(1, BATCH // int(np.searchsorted(-length, -t, "left"))))
         # all bytes t, then all bytes t + 1 of the texts that have one, and so on
@@ -213,7 +236,7 @@ def score_framed(text: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.
         part = mix_segments(text[turn], alive, known.view(np.int8), np.zeros(len(turn), np.uint8) if gate is None else gate, params, state)
         sums[:len(part)] += part
         t += steps
-    return np.bincount(doc, weights=sums, minlength=len(begin)) / np.log(10.0)
+    return sums
 
 
 def mix_state(n: int, params: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -366,17 +389,22 @@ def score(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", te
         data, offsets = text_buffer(texts["text"])
         m = len(texts)
         model_parts = unpacked(model.value)
-        hashes, owners, frames, base = [], [], [], 0
+        hashes, owners, base = [], [], 0
+        whole = np.empty(len(data) + m * (PAD + 1), np.uint8)  # the framed texts, one span after the other
+        word = np.empty(len(whole), np.uint32)
+        begins, ends_at = np.empty(m, np.int64), np.empty(m, np.int64)
         for lo, hi in spans(offsets + 64 * np.arange(m + 1), BATCH):  # short texts weigh in too
             text, begin, end = framed(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
             so_far = word_hash(text)
             h, own = framed_words(text, begin, so_far)
             hashes.append(h)
             owners.append(own + lo)
-            frames.append((text, begin + base, end + base, word_context(so_far)))
+            whole[base:base + len(text)], word[base:base + len(text)] = text, word_context(so_far)
+            begins[lo:hi], ends_at[lo:hi] = begin + base, end + base
             base += len(text)
-        found = score_framed(*(np.concatenate(x) for x in zip(*frames)), *model_parts, params)
-        del frames
+        del data, text, so_far
+        found = score_framed(whole, begins, ends_at, word, *model_parts, params)
+        del whole, word
         h, owner = np.concatenate(hashes), np.concatenate(owners)
         _, inverse = np.unique(h, return_inverse=True)
         counts = counts.sort_values("bucket")

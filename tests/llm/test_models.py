@@ -172,3 +172,37 @@ def test_lm_learns(corpus):
 
 def test_lm_empty_table(docs_of):
     assert lm_score.score(docs_of([])).count() == 0
+
+
+def test_word_hashes_go_on_across_stretches_and_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    data = rng.integers(97, 122, 1 << 21).astype(np.uint8)
+    data[rng.random(len(data)) < 0.15] = 32
+    lm_score.powers.cache_clear()
+    tracemalloc.start()
+    lm_score.word_hash(data)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 4 << 20 and peak < 40 << 20
+    part = np.concatenate([data[:300], np.full(500, 120, np.uint8), data[:40], np.zeros(3, np.uint8), data[:200]])
+    whole = lm_score.word_hash(part)
+    for stretch in (1, 7, 64, 541):
+        monkeypatch.setattr(lm_score, "STRETCH", stretch)
+        lm_score.powers.cache_clear()
+        assert (lm_score.word_hash(part) == whole).all()
+    lm_score.powers.cache_clear()
+
+
+def test_texts_score_alike_however_many_advance_side_by_side(monkeypatch):
+    rng = np.random.default_rng(4)
+    params = lm_score.Params(contexts=((3, 8), (0, 8)), start_weight=((0.5, 0.5),) * 7)
+    table = rng.integers(0, 1 << 32, params.bases[-1], dtype=np.uint32)
+    gates = rng.integers(0, 7, params.bases[-1] // 16).astype(np.uint8)
+    offsets = np.r_[0, np.cumsum(rng.integers(0, 90, 200))]
+    data = rng.integers(32, 122, offsets[-1]).astype(np.uint8)
+    want = lm_score.score_texts(data, offsets, table, gates, params)
+    for abreast in (1, 30):
+        monkeypatch.setattr(lm_score, "ABREAST", abreast)
+        assert np.allclose(lm_score.score_texts(data, offsets, table, gates, params), want, rtol=1e-5)
