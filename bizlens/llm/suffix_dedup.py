@@ -32,7 +32,7 @@ from bizlens.llm.common import stored, utf8
 WINDOW, GRAM = 100, 32
 SCAN_BYTES = 1 << 20
 #: Symbols of a shard, and of all shards that one step of a task merges.
-SHARD, GROUP = 1 << 18, 1 << 21
+SHARD, GROUP = 1 << 18, 1 << 20
 #: Symbols per refinement step.
 STEP = 4
 #: Fragments of one key that meet; a key with more is dealt by single windows, whose copies never meet.
@@ -402,24 +402,26 @@ def whole_keys(batches: Iterator[pa.RecordBatch], group: int = GROUP) -> Iterato
 
     run: list[tuple] = []
 
-    def close() -> None:
-        nonlocal size
+    def close() -> Iterator[tuple]:
+        """The key's rows join the group; one that does not fit begins the next group."""
+        nonlocal held, size
+        own = sum(len(r[4]) for r in run)
         if len(run) > 1:
+            if held and size + own > group:
+                yield from pack(held)
+                held, size = [], 0
             held.extend(run)
-            size += sum(len(r[4]) for r in run)
+            size += own
         run.clear()
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if run and row[0] != run[0][0]:
-                close()
-                if size >= group:
-                    yield from pack(held)
-                    held, size = [], 0
+                yield from close()
             if run and row[1:4] == run[-1][1:4]:
                 continue
             run.append(row)
-    close()
+    yield from close()
     yield from pack(held)
 
 

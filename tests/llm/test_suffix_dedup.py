@@ -80,3 +80,14 @@ def test_kept_text_and_empty_table(docs_of):
     assert kept[1] == "first " + passage[:101] + passage[101:] or kept[1].startswith("first a passage")
     assert kept[2].startswith("second,") and kept[2].endswith("tail") and len(kept[2]) < 20
     assert suffix_dedup.remove_repeats(docs_of([])).count() == 0
+
+
+def test_groups_of_keys_stay_within_their_size():
+    """A key that does not fit begins a new group; only a key larger than a group makes a larger one."""
+    import pyarrow as pa
+
+    counts = {1: 8, 2: 6, 3: 1, 4: 3, 5: 30, 6: 2}  # texts of 10 bytes per key
+    rows = [(key, 100 * key + k, 0, k, b"0123456789") for key, n in counts.items() for k in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "doc", "sub", "start", "bytes"])
+    got = [sorted(keys.tolist()) for keys, *_ in suffix_dedup.whole_keys(iter([batch.slice(0, 11), batch.slice(11)]), group=100)]
+    assert got == [[1] * 8, [2] * 6 + [4] * 3, [5] * 30, [6] * 2]
