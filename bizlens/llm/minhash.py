@@ -18,6 +18,7 @@ folded into their smallest id before any of this, so a group of thousands of cop
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from bizlens.llm.components import components
 BANDS, ROWS = 17, 5
 #: Unsettled members of a bucket that meet pair by pair; those of larger ones meet where they share a rare hash.
 FEW = 16
+#: Bytes of text whose sets are made at once (a longer text stands alone), and bytes whose words are hashed at once.
+SPAN, STRETCH = 1 << 18, 1 << 16
 #: Shingle hashes that one vectorised step holds (times the number of minhashes, in 8-byte words); a step fits a core's cache.
 STEP = 1 << 9
 
@@ -79,6 +82,34 @@ def _byte_values() -> np.ndarray:
     return BYTE_VALUES
 
 
+@functools.lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers 1, 2, ... of the multiplier, and 0, 1, ... of its inverse, as many as a stretch needs."""
+    up, down = np.full(STRETCH, RADIX, np.uint64), np.full(STRETCH + 1, np.uint64(pow(int(RADIX), -1, 1 << 64)), np.uint64)
+    down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def word_hashes(data: np.ndarray, ws: np.ndarray, we: np.ndarray) -> np.ndarray:
+    """A hash of each word ``data[ws:we]``, made stretch by stretch; a word that runs on is the sum of its parts."""
+    up, down = powers()
+    word = np.zeros(len(ws), np.uint64)
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(data), STRETCH):
+            part = data[lo:lo + STRETCH]
+            first, last = np.searchsorted(we, lo, "right"), np.searchsorted(ws, lo + len(part))
+            if first == last:
+                continue
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_byte_values()[part] * up[:len(part)], out=sums[1:])
+            start = np.maximum(ws[first:last] - lo, 0)
+            found = (sums[np.minimum(we[first:last] - lo, len(part))] - sums[start]) * down[start]
+            if ws[first] < lo:
+                found[0] *= np.uint64(pow(int(RADIX), int(lo - ws[first]), 1 << 64))
+            word[first:last] += found
+        return _mix(word + (we - ws).astype(np.uint64))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit hashes of the ``width``-word shingles of each row (bytes ``data`` cut at ``offsets``),
     and the offsets of each row's hashes. A-Z are lower-cased; words are maximal runs of bytes other than 0x20 and
@@ -94,10 +125,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     finish = ~space & (np.r_[space[1:], True] | starts_row[1:])
     ws, we = np.flatnonzero(begin), np.flatnonzero(finish) + 1
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(data), RADIX, np.uint64))
-        inverse = np.cumprod(np.full(len(data), np.uint64(pow(int(RADIX), -1, 1 << 64)), np.uint64))
-        sums = np.r_[np.uint64(0), np.cumsum(_byte_values()[low] * power, dtype=np.uint64)]
-        word = _mix((sums[we] - sums[ws]) * np.r_[np.uint64(1), inverse][ws] + (we - ws).astype(np.uint64))
+        word = word_hashes(low, ws, we)
         row = np.searchsorted(offsets, ws, "right") - 1
         per_row = np.bincount(row, minlength=rows)
         first = np.r_[0, np.cumsum(per_row)][:-1]
@@ -137,9 +165,9 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def worked(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """The rows of ``batch`` (``doc_id``, ``text`` and any others) in spans of about ``STEP_BYTES``, with their sets."""
+    """The rows of ``batch`` (``doc_id``, ``text`` and any others) in spans of about ``SPAN`` bytes, with their sets."""
     data, offsets = utf8(pc.fill_null(batch.column(1), ""))
-    for lo, hi in spans(offsets):
+    for lo, hi in spans(offsets, SPAN):
         yield batch.slice(lo, hi - lo), *shingle_sets(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], width)
 
 
@@ -252,7 +280,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, least: float = 0.8, bands:
     members = stored(every.join(crowded, "bucket", "left_semi"), "minhash-members")
     met = members.select(F.col("rep").alias("set_key")).distinct()
     involved = reps.join(met, "set_key", "left_semi").select(F.col("rep").alias("doc_id"), "set_key")
-    again = text.join(involved, "doc_id").select("doc_id", "text", "set_key")
+    # the ids are hashed and the texts stream past them: a sort would hold whole texts
+    again = text.join(involved.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "set_key")
     sets = again.mapInArrow(lambda it: full_sets(it, width), "rep long, n long, hashes array<long>")
     if not live.groupBy("doc_id").count().filter("count > 1").isEmpty():  # repeated rows of one id and set: any one of them
         sets = sets.dropDuplicates(["rep", "n"])

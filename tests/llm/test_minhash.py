@@ -127,3 +127,44 @@ def test_large_buckets_meet_by_rare_hashes(spark):
                     want[i] = want[j] = min(want[i], want[j])
     got = {r.node: r.root for few in (2, 100) for r in components(minhash.verified_links(frame, members, 0.8, few)).collect()}
     assert {k: got.get(k, k) for k in want} == want and 1 < len(set(want.values())) < 50
+
+
+def test_word_hashes_go_on_across_stretches_and_sets_take_little_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    data = rng.integers(65, 122, 1 << 21).astype(np.uint8)
+    data[rng.random(len(data)) < 0.15] = 32
+    offsets = np.array([0, len(data)])
+    minhash.shingle_sets(data[:100], np.array([0, 100]), 2)
+    tracemalloc.start()
+    minhash.shingle_sets(data, offsets, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 56 << 20
+    part = np.concatenate([data[:300], np.full(500, 120, np.uint8), data[:40], np.full(90, 32, np.uint8), data[:200]])
+    cuts = np.array([0, 0, 310, 600, 850, 900, len(part)])
+    whole, off = minhash.shingle_sets(part, cuts, 2)
+    for stretch in (1, 7, 64, 541):
+        monkeypatch.setattr(minhash, "STRETCH", stretch)
+        minhash.powers.cache_clear()
+        h, o = minhash.shingle_sets(part, cuts, 2)
+        assert (h == whole).all() and (o == off).all()
+    minhash.powers.cache_clear()
+
+
+def test_texts_of_candidates_are_fetched_without_sorting_them(spark, docs_of, monkeypatch):
+    plans, write = {}, minhash.stored
+
+    def stored(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    texts = variants(3, 12)
+    got = minhash.near_duplicates(docs_of(list(enumerate(texts)))).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(list(enumerate(texts)))
+    assert "ShuffledHashJoin" in plans["minhash-sets"]
+    assert not [line for line in plans["minhash-sets"].splitlines() if " Sort [" in line and "doc_id" in line]
